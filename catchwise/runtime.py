@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only while Catalyst's own estimate stays under this.
@@ -38,11 +38,18 @@ def scratch_root(spark: SparkSession) -> str:
 class Cut:
     """A frame written to the scratch folder and read back with short lineage."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, count_if: Column | None = None):
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/catchwise/{uuid.uuid4().hex}"
+        schema = df.schema
+        watch = None
+        if count_if is not None:
+            # counted while the rows are written, so no second job is needed
+            watch = Observation(uuid.uuid4().hex)
+            df = df.observe(watch, F.count(F.when(count_if, 1)).alias("n"))
         df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.count = watch.get["n"] if watch is not None else None
+        self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
         """Remove the files once a later cut has replaced them."""
