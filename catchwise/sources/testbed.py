@@ -59,3 +59,54 @@ closure(outlet, linkno) AS (
   UNION ALL
   SELECT c.outlet, l.linkno FROM closure c JOIN links l ON l.downstream_id = c.linkno)
 """
+
+# --- catchments: one per supplier, measures by key arithmetic ------------------------------
+
+CATCHMENT_EXPRS = {
+    "area_km2": "15 + 3.0 * (s_suppkey % 97) + abs(s_acctbal) / 200",
+    "main_length_km": "1.4 * pow(15 + 3.0 * (s_suppkey % 97), 0.6)",
+    "main_lc_km": "CASE WHEN s_suppkey % 11 = 3 THEN 1.7 ELSE 0.8 END * pow(15 + 3.0 * (s_suppkey % 97), 0.6)",
+    "main_slope_pct": "CASE WHEN s_suppkey % 17 <> 5 THEN 0.5 + (s_suppkey % 13) * 0.4 END",
+    "flow_length_km": "1.6 * pow(15 + 3.0 * (s_suppkey % 97), 0.6)",
+    "flow_lc_km": "0.85 * pow(15 + 3.0 * (s_suppkey % 97), 0.6)",
+    "flow_slope_pct": "0.8 + (s_suppkey % 7) * 0.5",
+    "total_stream_length_km": "1.7 * (15 + 3.0 * (s_suppkey % 97))",
+    "stream_count": "5.0 + s_suppkey % 40",
+    "source_stream_length_km": "0.9 * (15 + 3.0 * (s_suppkey % 97))",
+    "source_stream_count": "3.0 + s_suppkey % 20",
+    "width_upstream_km": "2.0 + (s_suppkey % 5) * 0.5",
+    "width_lower_km": "3.0 + (s_suppkey % 3) * 0.7",
+    "upstream_area_km2": "CASE WHEN s_suppkey % 19 <> 4 THEN 0.45 * (15 + 3.0 * (s_suppkey % 97)) END",
+    "junction_count": "4.0 + s_suppkey % 30",
+    "perimeter_km": "4.6 * sqrt(15 + 3.0 * (s_suppkey % 97))",
+    "relief_m": "50.0 + (s_suppkey % 31) * 12",
+    "mean_slope_pct": "3.0 + (s_suppkey % 29) * 1.3",
+    "mean_height_m": "20.0 + (s_suppkey % 41) * 7",
+    "cn": "CASE WHEN s_suppkey % 23 <> 7 THEN 45.0 + s_suppkey % 50 END",
+}
+
+
+def catchments(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "supplier").select(
+        F.concat(F.lit("P"), "s_suppkey").alias("point_id"), "s_suppkey",
+        *[F.expr(e).cast("double").alias(c) for c, e in CATCHMENT_EXPRS.items()])
+    return df.withColumns({
+        "drainage_density": F.col("total_stream_length_km") / F.col("area_km2"),
+        "stream_frequency": F.col("stream_count") / F.col("area_km2"),
+        "source_factor": F.col("source_stream_length_km") / F.col("total_stream_length_km"),
+        "source_frequency": F.col("source_stream_count") / F.col("stream_count"),
+        "width_factor": F.col("width_upstream_km") / F.col("width_lower_km"),
+        "relative_upstream_area": F.col("upstream_area_km2") / F.col("area_km2"),
+    }).withColumn("symmetry_factor", F.col("width_factor") * F.col("relative_upstream_area"))
+
+
+CATCHMENTS_SQL = "catch0 AS (SELECT 'P' || s_suppkey AS point_id, s_suppkey, " + ", ".join(
+    f"CAST({e} AS DOUBLE) AS {c}" for c, e in CATCHMENT_EXPRS.items()) + """ FROM supplier),
+catchments AS (
+  SELECT *, total_stream_length_km / area_km2 AS drainage_density, stream_count / area_km2 AS stream_frequency,
+         source_stream_length_km / total_stream_length_km AS source_factor,
+         source_stream_count / stream_count AS source_frequency, width_upstream_km / width_lower_km AS width_factor,
+         upstream_area_km2 / area_km2 AS relative_upstream_area,
+         width_upstream_km / width_lower_km * (upstream_area_km2 / area_km2) AS symmetry_factor
+  FROM catch0)
+"""
