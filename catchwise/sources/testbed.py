@@ -110,3 +110,192 @@ catchments AS (
          width_upstream_km / width_lower_km * (upstream_area_km2 / area_km2) AS symmetry_factor
   FROM catch0)
 """
+
+# --- rainfall, ET0 and discharge from line items ---------------------------------------------
+
+
+def _span(spark: SparkSession, sf: str) -> DataFrame:
+    """First whole calendar year up to the last ship date (one row)."""
+    lo, hi = F.min(F.to_date("l_shipdate")), F.max(F.to_date("l_shipdate"))
+    b = table(spark, sf, "lineitem").agg(lo.alias("lo"), hi.alias("hi"))
+    jan1 = (F.month("lo") == 1) & (F.day("lo") == 1)
+    return b.select(F.when(jan1, F.col("lo")).otherwise(F.make_date(F.year("lo") + 1, F.lit(1), F.lit(1))).alias("lo"), "hi")
+
+
+def rain_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """``date, cell, mm`` on a complete day axis (the testbed defines an empty day as dry)."""
+    days = _span(spark, sf).select(F.explode(F.sequence("lo", "hi")).alias("date"))
+    cells = table(spark, sf, "supplier").select((F.col("s_suppkey") % 8).alias("cell")).distinct().agg(F.collect_list("cell").alias("cells"))
+    axis = days.join(F.broadcast(cells)).select("date", F.explode("cells").alias("cell"))
+    fell = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("date"), (F.col("l_suppkey") % 8).alias("cell")).agg(
+        F.sum(F.col("l_quantity").cast("long")).alias("_q"))
+    return axis.join(fell, ["date", "cell"], "left").select("date", "cell", (F.coalesce("_q", F.lit(0)) / 100.0).alias("mm"))
+
+
+RAIN_SQL = """
+bounds AS (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem),
+span AS (SELECT CASE WHEN month(lo) = 1 AND day(lo) = 1 THEN lo ELSE make_date(year(lo) + 1, 1, 1) END AS lo, hi FROM bounds),
+spine AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM span),
+rcells AS (SELECT DISTINCT s_suppkey % 8 AS cell FROM supplier),
+fell AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey % 8 AS cell, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2),
+rain_daily AS (SELECT s.date, c.cell, CAST(coalesce(f.q, 0) AS DOUBLE) / 100.0 AS mm
+  FROM spine s CROSS JOIN rcells c LEFT JOIN fell f ON f.date = s.date AND f.cell = c.cell)
+"""
+
+
+def rain_weights(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Cell weights and full areas: each catchment touches three cells; every tenth is not fully covered."""
+    s = table(spark, sf, "supplier")
+    pid = F.concat(F.lit("P"), F.col("s_suppkey"))
+    weights = s.select(pid.alias("point_id"), "s_suppkey", F.posexplode(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.25))).alias("i", "w")).select(
+        "point_id", ((F.col("s_suppkey") + F.col("i")) % 8).alias("cell"), "w")
+    areas = s.select(pid.alias("point_id"), F.when(F.col("s_suppkey") % 10 == 9, 1.9).otherwise(1.75).alias("area"))
+    return weights, areas
+
+
+WEIGHTS_SQL = """
+weights AS (SELECT 'P' || s_suppkey AS point_id, (s_suppkey + i) % 8 AS cell, CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END AS w
+  FROM supplier, (VALUES (0), (1), (2)) t(i)),
+areas AS (SELECT 'P' || s_suppkey AS point_id, CASE WHEN s_suppkey % 10 = 9 THEN 1.9 ELSE 1.75 END AS area FROM supplier)
+"""
+
+PERIOD_SQL = "CAST(2 * (month({d}) - 1) + CASE WHEN day({d}) >= 16 THEN 1 ELSE 0 END AS INTEGER)"
+DAYS_SQL = ("CAST(CASE WHEN {p} % 2 = 0 THEN 15 ELSE day(last_day(make_date(CAST({y} AS BIGINT), CAST({p} // 2 + 1 AS BIGINT), 1))) - 15 END AS INTEGER)")
+
+
+def climate_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily areal rain (9 decimals) and ET0 of every fully covered catchment."""
+    from catchwise.operators.climate import areal_rain, split_coverage
+
+    weights, areas = rain_weights(spark, sf)
+    ok, _ = split_coverage(areal_rain(rain_daily(spark, sf), weights, areas, ["date"]))
+    return ok.select("point_id", "date", F.round("mm", 9).alias("p_mm"), (3 + F.sin(2 * 3.141592653589793 * F.dayofyear("date") / 365)).alias("et0_mm"))
+
+
+def climate(spark: SparkSession, sf: str) -> DataFrame:
+    from catchwise.operators.climate import halfmonth
+
+    return halfmonth(climate_daily(spark, sf))
+
+
+CLIMATE_SQL = RAIN_SQL + "," + WEIGHTS_SQL + f""",
+areal AS (SELECT w.point_id, r.date, sum(w.w * r.mm) / sum(w.w) AS mm, least(1, sum(w.w) / any_value(a.area)) AS coverage
+  FROM rain_daily r JOIN weights w USING (cell) JOIN areas a USING (point_id) GROUP BY 1, 2),
+climate_daily AS (SELECT point_id, date, round(mm, 9) AS p_mm, 3 + sin(2 * pi() * dayofyear(date) / 365) AS et0_mm FROM areal WHERE coverage >= 0.95),
+climate AS (
+  SELECT point_id, CAST(year(date) AS INTEGER) AS year, {PERIOD_SQL.format(d='date')} AS period, min(date) AS start,
+         CAST(count(*) AS INTEGER) AS days, sum(p_mm) AS p_mm, sum(et0_mm) AS et0_mm, CAST(count(*) FILTER (p_mm >= 1) AS INTEGER) AS wet_days
+  FROM climate_daily GROUP BY 1, 2, 3
+  HAVING count(*) = any_value({DAYS_SQL.format(p=PERIOD_SQL.format(d='date'), y='year(date)')}))
+"""
+
+
+def discharge(spark: SparkSession, sf: str) -> DataFrame:
+    """Half-month discharge of eight gauges; only years with all 24 periods."""
+    from catchwise.functions.calendar import period
+
+    d = F.to_date("l_shipdate")
+    li = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("G"), F.col("l_suppkey") % 8).alias("gauge"), F.year(d).alias("year"), period(d).alias("period"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    agg = li.groupBy("gauge", "year", "period").agg((F.sum("cents") / 1e8).alias("q"))
+    full = agg.groupBy("gauge", "year").agg(F.count("*").alias("n")).filter("n = 24").select("gauge", "year")
+    return agg.join(F.broadcast(full), ["gauge", "year"], "left_semi")
+
+
+DISCHARGE_SQL = f"""
+q_all AS (SELECT 'G' || (l_suppkey % 8) AS gauge, CAST(year(l_shipdate) AS INTEGER) AS year, {PERIOD_SQL.format(d='l_shipdate')} AS period,
+    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 1e8 AS q FROM lineitem GROUP BY 1, 2, 3),
+discharge AS (SELECT * FROM q_all WHERE (gauge, year) IN (SELECT (gauge, year) FROM q_all GROUP BY gauge, year HAVING count(*) = 24))
+"""
+
+
+def donors(spark: SparkSession, sf: str) -> DataFrame:
+    g = table(spark, sf, "supplier").select((F.col("s_suppkey") % 8).alias("g")).distinct()
+    return g.select(F.concat(F.lit("G"), "g").alias("gauge"), (F.col("g") % 2).alias("donor_set"), (100 + 25.0 * F.col("g")).alias("area_km2"))
+
+
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select(
+        F.concat(F.lit("P"), "s_suppkey").alias("point_id"), (F.col("s_suppkey") % 2).alias("donor_set"), (15 + 3.0 * (F.col("s_suppkey") % 97)).alias("area_km2"))
+
+
+TRANSFER_SQL = """
+donors AS (SELECT DISTINCT 'G' || (s_suppkey % 8) AS gauge, s_suppkey % 8 % 2 AS donor_set, CAST(100 + 25 * (s_suppkey % 8) AS DOUBLE) AS area_km2 FROM supplier),
+targets AS (SELECT 'P' || s_suppkey AS point_id, s_suppkey % 2 AS donor_set, CAST(15 + 3 * (s_suppkey % 97) AS DOUBLE) AS area_km2 FROM supplier)
+"""
+
+MOCK_EXPRS = {
+    "smc_mm": "80.0 + s_suppkey % 90", "exposed_fraction": "(s_suppkey % 10) / 20.0", "smc_multiplier": "1.0",
+    "infiltration": "0.2 + (s_suppkey % 7) * 0.1", "k30": "0.3 + (s_suppkey % 6) * 0.1", "area_km2": "15 + 3.0 * (s_suppkey % 97)",
+    "ksat_mm_h": "2.0 + (s_suppkey % 11)", "slope_pct": "4.0 + (s_suppkey % 17)",
+}
+
+
+def mock_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select(
+        F.concat(F.lit("P"), "s_suppkey").alias("point_id"), "s_suppkey", *[F.expr(e).cast("double").alias(c) for c, e in MOCK_EXPRS.items()])
+
+
+MOCK_SQL = "params AS (SELECT 'P' || s_suppkey AS point_id, s_suppkey, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in MOCK_EXPRS.items()) + " FROM supplier)"
+
+
+# --- soil cells from parts -----------------------------------------------------------------------
+
+SOIL_EXPRS = {
+    "sand": "200.0 + (k * 7 + d * 31) % 400", "silt": "100.0 + (k * 3 + d) % 300",
+    "clay": "1000.0 - (200 + (k * 7 + d * 31) % 400) - (100 + (k * 3 + d) % 300) + CASE WHEN k % 29 = 0 THEN 90 ELSE k % 5 END",
+    "bd": "110.0 + k % 40", "coarse": "0.0 + k % 200", "carbon": "50.0 + k % 300", "swc0033": "250.0 + k % 100", "swc1500": "100.0 + k % 80",
+}
+
+
+def soil_cells(spark: SparkSession, sf: str) -> DataFrame:
+    base = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("d"))
+    return base.select(
+        F.concat(F.lit("B"), F.expr("k div 250")).alias("point_id"), F.expr("CAST(k div 50 AS INT)").alias("row"), (F.col("k") % 50).cast("int").alias("col"),
+        F.col("d").alias("depth_idx"), (-7.0 - F.expr("k div 50") * 0.01).alias("lat"), *[F.expr(e).cast("double").alias(c) for c, e in SOIL_EXPRS.items()])
+
+
+SOIL_SQL = "soil_cells AS (SELECT 'B' || (k // 250) AS point_id, CAST(k // 50 AS INTEGER) AS row, CAST(k % 50 AS INTEGER) AS col, CAST(d AS INTEGER) AS depth_idx, -7.0 - (k // 50) * 0.01 AS lat, " + ", ".join(
+    f"CAST({e} AS DOUBLE) AS {c}" for c, e in SOIL_EXPRS.items()) + " FROM (SELECT p_partkey AS k FROM part), (SELECT unnest(range(6)) AS d))"
+
+
+def soil_weights(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    w = table(spark, sf, "part").select(F.concat(F.lit("B"), F.expr("p_partkey div 250")).alias("point_id"), F.expr("CAST(p_partkey div 50 AS INT)").alias("row"),
+                                        (k % 50).cast("int").alias("col"), (1 + (k % 3) * 0.25).alias("w"))
+    return w, w.groupBy("point_id").agg(F.sum("w").alias("area"))
+
+
+SOIL_WEIGHTS_SQL = """
+sweights AS (SELECT 'B' || (p_partkey // 250) AS point_id, CAST(p_partkey // 50 AS INTEGER) AS row, CAST(p_partkey % 50 AS INTEGER) AS col,
+   1 + (p_partkey % 3) * 0.25 AS w FROM part),
+sareas AS (SELECT point_id, sum(w) AS area FROM sweights GROUP BY 1)
+"""
+
+
+# --- class compositions per supplier -----------------------------------------------------------------
+
+def class_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Two classes per catchment and layer; fractions sum to one."""
+    s = table(spark, sf, "supplier")
+    half = (F.col("s_suppkey") % 5) / 10.0
+    rows = F.array(
+        *[F.struct(F.lit(layer).alias("layer"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("s_suppkey") % len(names) + 1).cast("int")).alias("class"), (1 - half).alias("fraction"))
+          for layer, names in SHARE_CLASSES.items()],
+        *[F.struct(F.lit(layer).alias("layer"), F.element_at(F.array(*[F.lit(n) for n in names]), ((F.col("s_suppkey") + 1) % len(names) + 1).cast("int")).alias("class"), half.alias("fraction"))
+          for layer, names in SHARE_CLASSES.items()])
+    return s.select(F.concat(F.lit("P"), "s_suppkey").alias("point_id"), (F.col("s_suppkey") % 13 != 5).alias("_c"), F.inline(rows)).select(
+        "point_id", "layer", "class", "fraction", F.when(F.col("_c"), 0.99).otherwise(0.9).alias("coverage")).filter("fraction > 0")
+
+
+SHARE_CLASSES = {
+    "lithology": ("Endapan Lepas", "Batuan Volkanik", "Batuan Padu", "Batugamping", "Tubuh Air"),
+    "aquifer": ("Produktif Tinggi", "Produktif Sedang", "Langka"),
+    "groundwater_availability": ("Setempat Produktif", "Produktif Rendah"),
+}
+
+SHARES_SQL = "shares AS (" + " UNION ALL ".join(
+    f"""SELECT 'P' || s_suppkey AS point_id, '{layer}' AS layer, list_extract({list(names)!r}, (s_suppkey + {off}) % {len(names)} + 1) AS class,
+    {frac} AS fraction, CASE WHEN s_suppkey % 13 <> 5 THEN 0.99 ELSE 0.9 END AS coverage FROM supplier WHERE {frac} > 0"""
+    for layer, names in SHARE_CLASSES.items() for off, frac in ((0, "1 - (s_suppkey % 5) / 10.0"), (1, "(s_suppkey % 5) / 10.0"))) + ")"
