@@ -317,11 +317,11 @@ def m2(spark, sf):
     return rounded(_weights(spark, sf), 6)
 
 
-@query("m3_weighted_transfer", WEIGHT_SQL + """ SELECT t.point_id, q.year, q.period, round(sum(wt.weight * q.q * t.area_km2 / d.area_km2), 9) AS q,
-   round(min(q.q * t.area_km2 / d.area_km2), 9) AS q_min, round(max(q.q * t.area_km2 / d.area_km2), 9) AS q_max
+@query("m3_weighted_transfer", WEIGHT_SQL + """ SELECT t.point_id, q.year, q.period, round(sum(wt.weight * q.q * pow(t.area_km2 / d.area_km2, 0.9)), 6) AS q,
+   round(min(q.q * pow(t.area_km2 / d.area_km2, 0.9)), 6) AS q_min, round(max(q.q * pow(t.area_km2 / d.area_km2, 0.9)), 6) AS q_max
  FROM targets t JOIN wt USING (point_id) JOIN donors d USING (gauge) JOIN discharge q USING (gauge) JOIN cy ON cy.donor_set = t.donor_set AND cy.year = q.year GROUP BY 1, 2, 3""")
 def m3w(spark, sf):
-    return rounded(tr.transfer(tb.discharge(spark, sf), tb.donors(spark, sf), tb.targets(spark, sf), 1.0, _weights(spark, sf)), 9)
+    return rounded(tr.transfer(tb.discharge(spark, sf), tb.donors(spark, sf), tb.targets(spark, sf), 0.9, _weights(spark, sf)), 6)
 
 
 @query("c13_pairs", T + " SELECT point_id, gauge, round(t.area_km2 / d.area_km2, 6) AS area_ratio FROM targets t JOIN donors d USING (donor_set)")
@@ -506,7 +506,7 @@ GRID = f"""WITH RECURSIVE {tb.CLIMATE_SQL}, {tb.MOCK_SQL}, {D}, {OBS},
 GRID = GRID.replace("JOIN mean USING (point_id) GROUP", "JOIN mean ON mean.point_id = c.point_id GROUP")
 
 
-@query("m10_objective_grid", GRID + " SELECT point_id, round(ma, 6) AS smc_multiplier, round(inf, 6) AS infiltration, round(k30, 6) AS k30, CAST(pairs AS INTEGER) AS pairs, round(sse, 4) AS sse FROM scored")
+@query("m10_objective_grid", GRID + " SELECT point_id, round(CAST(ma AS DOUBLE), 6) AS smc_multiplier, round(CAST(inf AS DOUBLE), 6) AS infiltration, round(CAST(k30 AS DOUBLE), 6) AS k30, CAST(pairs AS INTEGER) AS pairs, round(sse, 4) AS sse FROM scored")
 def m10_grid(spark, sf):
     p, obs = tb.mock_parameters(spark, sf), _observed(spark, sf)
     cl_ = tb.climate(spark, sf)

@@ -299,3 +299,62 @@ SHARES_SQL = "shares AS (" + " UNION ALL ".join(
     f"""SELECT 'P' || s_suppkey AS point_id, '{layer}' AS layer, list_extract({list(names)!r}, (s_suppkey + {off}) % {len(names)} + 1) AS class,
     {frac} AS fraction, CASE WHEN s_suppkey % 13 <> 5 THEN 0.99 ELSE 0.9 END AS coverage FROM supplier WHERE {frac} > 0"""
     for layer, names in SHARE_CLASSES.items() for off, frac in ((0, "1 - (s_suppkey % 5) / 10.0"), (1, "(s_suppkey % 5) / 10.0"))) + ")"
+
+# --- raster cells from orders: 125 columns, row-major by order key ------------------------------
+
+LC_CODES = (2001, 2002, 2005, 20051, 2004, 20041, 2007, 20071, 3000, 2006, 2010, 20091, 20092, 20122, 6009, 20093, 20094, 2014, 20141, 2012, 5001, 20121, 5011, 50011)
+GRID = {"x0": 0.0, "y0": 0.0, "cell": 30.0}
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    row, col = F.expr("CAST(o_orderkey div 125 AS INT)"), (k % 125).cast("int")
+    lc = F.element_at(F.array(*[F.lit(c) for c in LC_CODES]), (F.col("o_custkey") % 24 + 1).cast("int"))
+    base = table(spark, sf, "orders").select(
+        row.alias("row"), col.alias("col"), (F.col("o_totalprice") / 1000).alias("z"),
+        F.when(F.col("o_custkey") % 3 == 0, 1).when(F.col("o_custkey") % 3 == 1, 7).otherwise(8).alias("d8"), F.when(F.col("o_custkey") % 97 != 0, (40 + F.col("o_custkey") % 70).cast("double")).otherwise(0.0).alias("cn"), lc.alias("lc"))
+    block = F.floor(F.col("row") / 25) * 5 + F.floor(F.col("col") / 25)
+    return base.withColumns({"x": (F.col("col") + 0.5) * 30.0, "y": -(F.col("row") + 0.5) * 30.0, "link_id": (block + 1).cast("long"), "point_id": F.concat(F.lit("B"), block)})
+
+
+CELLS_SQL = f"""
+cells0 AS (SELECT o_orderkey AS k, CAST(o_orderkey // 125 AS INTEGER) AS row, CAST(o_orderkey % 125 AS INTEGER) AS col, o_totalprice / 1000 AS z,
+  CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 8 END AS d8, CASE WHEN o_custkey % 97 <> 0 THEN CAST(40 + o_custkey % 70 AS DOUBLE) ELSE 0 END AS cn,
+  list_extract({list(LC_CODES)}, o_custkey % 24 + 1) AS lc FROM orders),
+cells AS (SELECT *, (col + 0.5) * 30.0 AS x, -(row + 0.5) * 30.0 AS y, CAST(row // 25 * 5 + col // 25 + 1 AS BIGINT) AS link_id, 'B' || (row // 25 * 5 + col // 25) AS point_id FROM cells0)
+"""
+
+# receiver of each cell (NULL outside the grid) and every (cell, downstream cell, distance)
+FLOW_SQL = CELLS_SQL + """,
+recv AS (SELECT c.k, c.link_id, t.k AS r, t.link_id AS rlink, CASE WHEN t.k IS NULL THEN NULL WHEN c.d8 = 8 THEN sqrt(2.0) ELSE 1.0 END AS step
+  FROM cells c LEFT JOIN cells t ON t.row = c.row + CASE WHEN c.d8 IN (7, 8) THEN 1 ELSE 0 END AND t.col = c.col + CASE WHEN c.d8 IN (1, 8) THEN 1 ELSE 0 END),
+down(k, cur, dist) AS (SELECT k, k, CAST(0 AS DOUBLE) FROM recv UNION ALL SELECT d.k, r.r, d.dist + r.step FROM down d JOIN recv r ON r.k = d.cur WHERE r.r IS NOT NULL)
+"""
+
+
+def cell_outlets(spark: SparkSession, sf: str) -> DataFrame:
+    """One outlet cell per supplier: ``point_id, row, col, linkno, x, y``."""
+    n = table(spark, sf, "orders").agg(F.count("*").alias("n"))
+    k = (F.col("s_suppkey") * 149 + 60) % F.col("n")
+    base = table(spark, sf, "supplier").join(F.broadcast(n)).select(F.concat(F.lit("P"), "s_suppkey").alias("point_id"), k.alias("k"))
+    base = base.select("point_id", "k", F.expr("CAST(k div 125 AS INT)").alias("row"), (F.col("k") % 125).cast("int").alias("col"))
+    return base.withColumns({"x": (F.col("col") + 0.5) * 30.0, "y": -(F.col("row") + 0.5) * 30.0,
+                             "linkno": (F.floor(F.col("row") / 25) * 5 + F.floor(F.col("col") / 25) + 1).cast("long")})
+
+
+CELL_OUTLETS_SQL = """
+couts AS (SELECT 'P' || s_suppkey AS point_id, (s_suppkey * 149 + 60) % (SELECT count(*) FROM orders) AS k FROM supplier)
+"""
+
+
+def block_outlets(cell_table: DataFrame) -> DataFrame:
+    """Outlet height of each block: its last cell."""
+    return cell_table.groupBy("point_id").agg(F.max_by("z", F.col("row") * 125 + F.col("col")).alias("outlet_z"))
+
+
+def land_classes(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(F.lit("A"), F.lit("B"), F.lit("C"))
+    return cells(spark, sf).select("row", "col", F.element_at(names, ((F.floor(F.col("row") / 10) + F.floor(F.col("col") / 10)) % 3 + 1).cast("int")).alias("class"))
+
+
+LAND_CLASSES_SQL = "lclass AS (SELECT row, col, list_extract(['A', 'B', 'C'], (row // 10 + col // 10) % 3 + 1) AS class FROM cells)"
