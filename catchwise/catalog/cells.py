@@ -272,8 +272,8 @@ def g15(spark, sf):
  sp AS (SELECT mk.point_id, m, round(arg_min(x + (ms - s) / (s2 - s) * (x2 - x), step), 6) AS px, round(arg_min(y + (ms - s) / (s2 - s) * (y2 - y), step), 6) AS py FROM mk JOIN seg ON seg.point_id = mk.point_id AND ms BETWEEN s AND s2 GROUP BY 1, 2),
  z AS (SELECT sp.point_id, max(z) FILTER (m = 'out') AS zo, max(z) FILTER (m = 'up') AS zu, max(z) FILTER (m = 'lca') AS zl, max(z) FILTER (m = 'p10') AS z10, max(z) FILTER (m = 'p85') AS z85
    FROM sp LEFT JOIN cells c ON c.row = floor(-py / 30) AND c.col = floor(px / 30) GROUP BY 1)
- SELECT ln.point_id, round(len, 5) AS length_m, round(lca, 5) AS lca_m, round(len * 0.75, 5) AS l10_85_m, round((zu - zo) / nullif(len, 0) * 100, 5) AS slope_pct, round((zl - zo) / nullif(lca, 0) * 100, 5) AS lca_slope_pct,
-   round((z85 - z10) / nullif(len * 0.75, 0) * 100, 5) AS slope_10_85_pct, round(len / nullif(sqrt(pow(xu - x0, 2) + pow(yu - y0, 2)), 0), 5) AS sinuosity FROM ln LEFT JOIN lca USING (point_id) LEFT JOIN z USING (point_id)""")
+ SELECT ln.point_id, round(len, 3) AS length_m, round(lca, 3) AS lca_m, round(len * 0.75, 3) AS l10_85_m, round((zu - zo) / nullif(len, 0) * 100, 3) AS slope_pct, round((zl - zo) / nullif(lca, 0) * 100, 3) AS lca_slope_pct,
+   round((z85 - z10) / nullif(len * 0.75, 0) * 100, 3) AS slope_10_85_pct, round(len / nullif(sqrt(pow(xu - x0, 2) + pow(yu - y0, 2)), 0), 3) AS sinuosity FROM ln LEFT JOIN lca USING (point_id) LEFT JOIN z USING (point_id)""")
 def g16(spark, sf):
     graph, path = _path(spark, sf)
     pts = tb.cell_outlets(spark, sf).withColumn("node", rs.cell_id(F.col("row"), F.col("col")))
@@ -281,7 +281,7 @@ def g16(spark, sf):
     centers = members.join(graph.select("node", "row", "col"), "node").groupBy("point_id").agg(
         F.avg((F.col("col") + 0.5) * 30.0).alias("cx"), F.avg(-(F.col("row") + 0.5) * 30.0).alias("cy"))
     line = path.select("point_id", "step", ((F.col("col") + 0.5) * 30.0).alias("x"), (-(F.col("row") + 0.5) * 30.0).alias("y"), (F.col("station") * 30.0).alias("station"))
-    return rounded(d8.path_stations(line, centers, tb.cells(spark, sf), **tb.GRID), 5)
+    return rounded(d8.path_stations(line, centers, tb.cells(spark, sf), **tb.GRID), 3)
 
 
 @query("c16_nested_donors", FO + """ SELECT a.point_id AS inner_point, b.point_id AS outer_point, CAST(1 AS DOUBLE) AS shared_ratio FROM couts a JOIN down d ON d.k = a.k JOIN couts b ON b.k = d.cur WHERE a.k <> b.k""")

@@ -358,3 +358,112 @@ def land_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LAND_CLASSES_SQL = "lclass AS (SELECT row, col, list_extract(['A', 'B', 'C'], (row // 10 + col // 10) % 3 + 1) AS class FROM cells)"
+
+# --- polygons from suppliers, line segments from parts, places from customers -------------------
+
+_SQUARE = ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))
+
+
+def _square_rows(part: int, ring: int, x, y, side, clockwise: bool = False):
+    rows = []
+    for i, (a, b, c, d) in enumerate(reversed(_SQUARE) if clockwise else _SQUARE):
+        p, q = ((c, d), (a, b)) if clockwise else ((a, b), (c, d))
+        rows.append(F.struct(F.lit(part).alias("part"), F.lit(ring).alias("ring"), F.lit(i).alias("seq"),
+                             (x + p[0] * side).cast("double").alias("x1"), (y + p[1] * side).cast("double").alias("y1"),
+                             (x + q[0] * side).cast("double").alias("x2"), (y + q[1] * side).cast("double").alias("y2")))
+    return rows
+
+
+def polygons(spark: SparkSession, sf: str, outer_only: bool = False) -> DataFrame:
+    """One 1 km square per supplier on a 40-wide grid; some with a hole, some with a small second part."""
+    k = F.col("s_suppkey")
+    x, y = (k % 40) * 1000, F.expr("s_suppkey div 40") * 1000
+    s = table(spark, sf, "supplier")
+    base = s.select(k.alias("poly_id"), F.inline(F.array(*_square_rows(0, 0, x, y, F.lit(1000)))))
+    if outer_only:
+        return base
+    hole = s.filter(k % 3 == 0).select(k.alias("poly_id"), F.inline(F.array(*_square_rows(0, 1, x + 400, y + 400, 100 + 50 * (k % 5), True))))
+    extra = s.filter(k % 4 == 1).select(k.alias("poly_id"), F.inline(F.array(*_square_rows(1, 0, x + 100000, y, F.lit(200)))))
+    return base.unionByName(hole).unionByName(extra)
+
+
+def _sq_sql(part, ring, x, y, side, cw, where):
+    out = []
+    for i, (a, b, c, d) in enumerate(reversed(_SQUARE) if cw else _SQUARE):
+        p, q = ((c, d), (a, b)) if cw else ((a, b), (c, d))
+        out.append(f"SELECT s_suppkey AS poly_id, {part} AS part, {ring} AS ring, {i} AS seq, CAST({x} + {p[0]} * ({side}) AS DOUBLE) AS x1, CAST({y} + {p[1]} * ({side}) AS DOUBLE) AS y1, "
+                   f"CAST({x} + {q[0]} * ({side}) AS DOUBLE) AS x2, CAST({y} + {q[1]} * ({side}) AS DOUBLE) AS y2 FROM supplier WHERE {where}")
+    return " UNION ALL ".join(out)
+
+
+_PX, _PY = "(s_suppkey % 40) * 1000", "(s_suppkey // 40) * 1000"
+PARCELS_SQL = f"parcels AS ({_sq_sql(0, 0, _PX, _PY, '1000', False, 'true')})"
+POLYGONS_SQL = f"""{PARCELS_SQL}, edges AS (SELECT * FROM parcels UNION ALL {_sq_sql(0, 1, _PX + ' + 400', _PY + ' + 400', '100 + 50 * (s_suppkey % 5)', True, 's_suppkey % 3 = 0')}
+  UNION ALL {_sq_sql(1, 0, _PX + ' + 100000', _PY, '200', False, 's_suppkey % 4 = 1')})"""
+
+
+def points_xy(spark: SparkSession, sf: str) -> DataFrame:
+    """One position per customer over the polygon grid, some exactly on edges."""
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("Q"), k).alias("point_id"), ((k * 7919) % 41000).cast("double").alias("x"),
+        F.when(k % 11 == 0, ((k * 13) % 3 * 1000)).otherwise((k * 104729) % 3500).cast("double").alias("y"))
+
+
+POINTS_XY_SQL = """pts AS (SELECT 'Q' || c_custkey AS point_id, CAST((c_custkey * 7919) % 41000 AS DOUBLE) AS x,
+  CAST(CASE WHEN c_custkey % 11 = 0 THEN (c_custkey * 13) % 3 * 1000 ELSE (c_custkey * 104729) % 3500 END AS DOUBLE) AS y FROM customer)"""
+
+
+def link_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """One segment per link from its own node to the downstream node, on a 50-wide grid."""
+    l = links(spark, sf).filter("downstream_id is not null")
+    def nx(c):
+        return (F.col(c) % 50 * 1000).cast("double")
+    def ny(c):
+        return (F.expr(f"{c} div 50") * 1000).cast("double")
+    return l.select("linkno", F.lit(0).alias("part"), F.lit(0).alias("seq"), nx("linkno").alias("x1"), ny("linkno").alias("y1"),
+                    nx("downstream_id").alias("x2"), ny("downstream_id").alias("y2"), F.lit(0.0).alias("station"),
+                    (F.col("area_km2") * 7).alias("ds_cont_area_km2"), F.concat(F.when(F.col("linkno") % 3 == 0, "Kali ").when(F.col("linkno") % 3 == 1, "K. ").otherwise(""), F.lit("R"), F.col("linkno")).alias("raw_name"),
+                    (F.col("linkno") % 4 == 0).alias("_unnamed")).withColumn("river_name", F.when(~F.col("_unnamed"), F.col("raw_name"))).drop("raw_name", "_unnamed")
+
+
+SEGMENTS_SQL = """segs AS (SELECT linkno, 0 AS part, 0 AS seq, CAST(linkno % 50 * 1000 AS DOUBLE) AS x1, CAST(linkno // 50 * 1000 AS DOUBLE) AS y1,
+  CAST(downstream_id % 50 * 1000 AS DOUBLE) AS x2, CAST(downstream_id // 50 * 1000 AS DOUBLE) AS y2, area_km2 * 7 AS ds_cont_area_km2,
+  CASE WHEN linkno % 4 <> 0 THEN 'Kali R' || linkno END AS river_label FROM links WHERE downstream_id IS NOT NULL)"""
+
+
+def toponyms_raw(spark: SparkSession, sf: str) -> DataFrame:
+    cats = ("Permukiman Lainnya", "Ibukota Desa", "Desa", "Kecamatan", "Kota", "Ibukota Kabupaten", "Gunung")
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        k.alias("id"), F.when(k % 50 == 7, "  ").otherwise(F.concat(F.lit("  "), F.col("c_name"), F.lit("  é"))).alias("name"),
+        F.element_at(F.array(*[F.lit(c) for c in cats]), (k % 7 + 1).cast("int")).alias("category"),
+        (110 + ((k * 37) % 1000) / 1000.0).alias("lon"), (-7.5 + ((k * 53) % 1000) / 1000.0).alias("lat"))
+
+
+TOPONYMS_SQL = """topo AS (SELECT c_custkey AS id, c_name || '  é' AS name, lower(c_name) || ' e' AS name_norm,
+  list_extract(['Permukiman Lainnya', 'Ibukota Desa', 'Desa', 'Kecamatan', 'Kota', 'Ibukota Kabupaten', 'Gunung'], c_custkey % 7 + 1) AS category,
+  list_extract([0, 0, 1, 2, 3, 4, NULL], c_custkey % 7 + 1) AS priority,
+  110 + ((c_custkey * 37) % 1000) / 1000.0 AS lon, -7.5 + ((c_custkey * 53) % 1000) / 1000.0 AS lat FROM customer WHERE c_custkey % 50 <> 7)"""
+
+
+def lonlat_points(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(F.concat(F.lit("P"), k).alias("point_id"), k.alias("k"),
+                                               (110 + ((k * 91) % 1000) / 1000.0).alias("lon"), (-7.5 + ((k * 17) % 1000) / 1000.0).alias("lat"))
+
+
+LONLAT_SQL = "lp AS (SELECT 'P' || s_suppkey AS point_id, s_suppkey AS k, 110 + ((s_suppkey * 91) % 1000) / 1000.0 AS lon, -7.5 + ((s_suppkey * 17) % 1000) / 1000.0 AS lat FROM supplier)"
+
+
+def ring_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    """A wavy 36-vertex ring per supplier."""
+    k = F.col("s_suppkey")
+    v = table(spark, sf, "supplier").select(k.alias("ring_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(35).cast("long"))).alias("seq"))
+    r = 600 + ((F.col("ring_id") * 7 + F.col("seq") * 13) % 11) * 4.0
+    a = F.col("seq") * (3.141592653589793 / 18)
+    return v.select("ring_id", "seq", (F.col("ring_id") * 2000 + r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"))
+
+
+RINGS_SQL = """rv AS (SELECT s_suppkey AS ring_id, i AS seq, s_suppkey * 2000 + (600 + ((s_suppkey * 7 + i * 13) % 11) * 4.0) * cos(i * pi() / 18) AS x,
+  (600 + ((s_suppkey * 7 + i * 13) % 11) * 4.0) * sin(i * pi() / 18) AS y FROM supplier, (SELECT unnest(range(36)) AS i))"""
