@@ -22,15 +22,15 @@ PG = f"WITH {tb.POLYGONS_SQL}"
 @query("p1_utm", LP + """, g AS (SELECT *, sin(radians(lat)) AS s, radians(lon - 111) AS dl FROM lp),
  h AS (SELECT *, sinh(atanh(s) - 0.08181919084262149 * atanh(0.08181919084262149 * s)) AS t FROM g),
  i AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS et FROM h)
- SELECT point_id, round(500000 + 0.9996e0 * 6367449.145823415e0 * (et + 0.0008377318206244698 * cos(2 * xi) * sinh(2 * et) + 7.608527773572489e-07 * cos(4 * xi) * sinh(4 * et) + 1.1976455033294527e-09 * cos(6 * xi) * sinh(6 * et)), 3) AS x,
-   round(10000000 + 0.9996e0 * 6367449.145823415e0 * (xi + 0.0008377318206244698 * sin(2 * xi) * cosh(2 * et) + 7.608527773572489e-07 * sin(4 * xi) * cosh(4 * et) + 1.1976455033294527e-09 * sin(6 * xi) * cosh(6 * et)), 3) AS y,
+ SELECT point_id, round(500000 + 0.9996e0 * 6367449.145823415e0 * (et + 0.0008377318206244698 * cos(2 * xi) * sinh(2 * et) + 7.608527773572489e-07 * cos(4 * xi) * sinh(4 * et) + 1.1976455033294527e-09 * cos(6 * xi) * sinh(6 * et)), 2) AS x,
+   round(10000000 + 0.9996e0 * 6367449.145823415e0 * (xi + 0.0008377318206244698 * sin(2 * xi) * cosh(2 * et) + 7.608527773572489e-07 * sin(4 * xi) * cosh(4 * et) + 1.1976455033294527e-09 * sin(6 * xi) * cosh(6 * et)), 2) AS y,
    round(lon, 7) AS lon_back, round(lat, 7) AS lat_back FROM i""")
 def p1(spark, sf):
     p = tb.lonlat_points(spark, sf)
     x, y = pj.to_utm(F.col("lon"), F.col("lat"))
     p = p.withColumns({"x": x, "y": y})
     lon, lat = pj.from_utm(F.col("x"), F.col("y"))
-    return p.select("point_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 7).alias("lon_back"), F.round(lat, 7).alias("lat_back"))
+    return p.select("point_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round(lon, 7).alias("lon_back"), F.round(lat, 7).alias("lat_back"))
 
 
 @query("p2_equal_area", LP + """, c AS (SELECT *, sin(radians(lat)) AS s, 0.0066943799901413165 AS e2, 0.08181919084262149 AS e FROM lp),
@@ -471,5 +471,5 @@ def t12(spark, sf):
 @query("p17_display_tiers")
 def p17(spark, sf):
     v = tb.ring_vertices(spark, sf).withColumnRenamed("ring_id", "linkno")
-    lines = v.select("linkno").distinct().withColumn("strm_order", (F.col("linkno") % 7 + 1).cast("int"))
+    lines = v.select("linkno").distinct().withColumn("river_order", (F.col("linkno") % 4 + 1).cast("int"))
     return bd.display_tiers(v, lines)

@@ -35,11 +35,12 @@ def search_text(value: Column) -> Column:
 
 
 def safe_name(value: Column, fallback: str) -> Column:
-    """Text usable as a file name."""
-    text = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r'[<>:"/\\|?*\x00-\x1f]+', "_")
-    text = F.regexp_replace(text, r"\s+", "_")
-    text = F.regexp_replace(text, r"_+", "_")
-    text = F.regexp_replace(text, r"^[._]+|[._]+$", "")
+    """Text usable as a file name: river prefix shortened, other characters become '_'."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    text = F.when(text == "", fallback).otherwise(text)
+    text = F.regexp_replace(text, r"(?i)^[KS]\.\s*", "K_")
+    text = F.regexp_replace(text, r"[^0-9A-Za-zÀ-ÿ_-]+", "_")
+    text = F.regexp_replace(F.regexp_replace(text, "_+", "_"), "^_+|_+$", "")
     return F.when(text != "", text).otherwise(fallback)
 
 

@@ -294,21 +294,20 @@ def arc_distance_score(samples: DataFrame, arcs: DataFrame, target: DataFrame) -
 def display_tiers(vertices: DataFrame, lines: DataFrame) -> DataFrame:
     """River geometry per display tier: order filter, then simplification by the tier's tolerance.
 
-    ``vertices``: ``linkno, seq, x, y``; ``lines``: ``linkno, strm_order``.
+    ``vertices``: ``linkno, seq, x, y``; ``lines``: ``linkno, river_order`` (1 = largest).
     """
-    tiers = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(o).alias("min_order"), F.lit(t).alias("tolerance_m")) for i, o, t in DISPLAY_TIERS])
-    kept = lines.select("linkno", "strm_order", F.inline(tiers)).filter("strm_order >= min_order")
-    v = vertices.join(kept.select("linkno", "tier", "tolerance_m"), "linkno").withColumn("_g", F.concat_ws(":", "linkno", "tier"))
+    tiers = F.array(*[F.struct(F.lit(k).alias("tier"), F.lit(t).alias("tolerance_m"), F.array(*[F.lit(o) for o in (orders or ())]).cast("array<int>").alias("orders"))
+                      for k, t, orders in DISPLAY_TIERS])
+    kept = lines.select("linkno", "river_order", F.inline(tiers)).filter((F.size("orders") == 0) | F.array_contains("orders", F.col("river_order")))
+    v = vertices.join(kept.select("linkno", "tier", "tolerance_m"), "linkno")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tol = float(pdf.tolerance_m.iloc[0])
         return pdf if tol <= 0 else _simplify_ring(pdf, tol, False)
 
-    schema = "linkno long, seq long, x double, y double, tier int, tolerance_m double, _g string"
-    return v.select("linkno", F.col("seq").cast("long").alias("seq"), "x", "y", "tier", "tolerance_m", "_g").groupBy("_g").applyInPandas(run, schema).drop("_g")
-
-
-# tier, least stream order shown, tolerance in metres (fixed tolerances)
-DISPLAY_TIERS = ((0, 6, 300.0), (1, 5, 150.0), (2, 4, 75.0), (3, 3, 35.0), (4, 2, 12.0), (5, 1, 0.0))
+    return v.select("linkno", F.col("seq").cast("long").alias("seq"), "x", "y", "tier", "tolerance_m").groupBy("linkno", "tier").applyInPandas(
+        run, "linkno long, seq long, x double, y double, tier string, tolerance_m double")
 
 
+# display tier, simplification tolerance in metres, river orders shown (fixed values)
+DISPLAY_TIERS = (("z6-8", 300.0, (1, 2)), ("z8-10", 150.0, (1, 2)), ("z10-11", 75.0, (1, 2, 3)), ("z11-12", 35.0, (1, 2, 3)), ("z12-14", 12.0, None), ("full", 0.0, None))
