@@ -4,7 +4,7 @@ from importlib import import_module
 
 from catchwise.catalog.base import ORACLES, QUERIES
 
-MODULES = ["network", "response", "streamflow", "cells", "space", "exchange"]
+MODULES = ["network", "response", "streamflow", "cells", "space", "exchange", "plans"]
 
 for _m in MODULES:
     import_module(f"catchwise.catalog.{_m}")
