@@ -135,8 +135,7 @@ def h9(spark, sf):
  SELECT point_id, CAST(len(t) AS INTEGER) AS n, round(t[-1], 6) AS t_last, round(list_sum(t), 5) AS t_sum FROM g""")
 def h10(spark, sf):
     df = tb.catchments(spark, sf)
-    grid = hg.time_grid(F.col("flow_length_km"), F.lit(0.5), [F.col("main_lc_km")])
-    df = df.select("point_id", grid.alias("t"))
+    df = df.selectExpr("point_id", hg.time_grid_sql("flow_length_km", "0.5D", ["main_lc_km"]) + " AS t")
     return df.select("point_id", F.size("t").alias("n"), F.round(F.element_at("t", -1), 6).alias("t_last"),
                      F.round(F.aggregate("t", F.lit(0.0), lambda a, v: a + v), 5).alias("t_sum"))
 

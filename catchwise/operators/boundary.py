@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from catchwise.operators import ordered
 from catchwise.operators.geometry import densify
 from catchwise.operators.spatial import _projected, near_segments
-from catchwise.runtime import cut, small
+from catchwise.runtime import cut, small, spread
 
 MATCH_M = 90.0
 SMOOTH_M = 150.0
@@ -130,7 +130,7 @@ def simplify(vertices: DataFrame, tolerance_m: float = SIMPLIFY_M, *, closed: bo
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _simplify_ring(pdf, tolerance_m, closed)
 
-    return vertices.select("ring_id", "seq", "x", "y").groupBy("ring_id").applyInPandas(run, "ring_id long, seq long, x double, y double")
+    return spread(vertices.select("ring_id", "seq", "x", "y"), "ring_id").groupBy("ring_id").applyInPandas(run, "ring_id long, seq long, x double, y double")
 
 
 # --- contact with the reference boundary -----------------------------------------------------
@@ -305,7 +305,8 @@ def display_tiers(vertices: DataFrame, lines: DataFrame) -> DataFrame:
         tol = float(pdf.tolerance_m.iloc[0])
         return pdf if tol <= 0 else _simplify_ring(pdf, tol, False)
 
-    return v.select("linkno", F.col("seq").cast("long").alias("seq"), "x", "y", "tier", "tolerance_m").groupBy("linkno", "tier").applyInPandas(
+    rows = v.select("linkno", F.col("seq").cast("long").alias("seq"), "x", "y", "tier", "tolerance_m")
+    return spread(rows, "linkno", "tier").groupBy("linkno", "tier").applyInPandas(
         run, "linkno long, seq long, x double, y double, tier string, tolerance_m double")
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchwise.functions.numeric import finite, param
+from catchwise.functions.numeric import finite
 
 # Dimensionless curvilinear ordinates t/Tp and q/Qp (fixed values)
 SCS_T = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.8, 2.0, 2.2,
@@ -43,14 +43,12 @@ REQUIRED = {
 INPUTS = ("A", "L", "Lc", "S", "Lt", "L1", "N", "N1", "WU", "WL", "AU", "D", "JN", "SF", "SN", "WF", "RUA", "SIM")
 
 
-def lngamma(x: Column) -> Column:
-    """ln of the gamma function for x > 0: argument raised by 8, then Stirling's series."""
-    z = x + 8
-    product = x
-    for i in range(1, 8):
-        product = product * (x + i)
-    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+def lngamma_sql(x: str) -> str:
+    """ln of the gamma function for x > 0 as SQL: argument raised by 8, then Stirling's series."""
+    z = f"({x} + 8)"
+    product = " * ".join(f"({x} + {i})" for i in range(8))
+    series = f"1 / (12 * {z}) - 1 / (360 * pow({z}, 3)) + 1 / (1260 * pow({z}, 5)) - 1 / (1680 * pow({z}, 7))"
+    return f"(({z} - 0.5D) * ln({z}) - {z} + {0.5 * math.log(2 * math.pi)!r}D + {series} - ln({product}))"
 
 
 # --- inputs ---------------------------------------------------------------------------
@@ -117,117 +115,95 @@ def apply_overrides(inputs: DataFrame, overrides: DataFrame | None = None) -> Da
 
 
 # --- method parameters: peak time, peak flow, base time, break points, shape -----------------
+# Expressions are SQL text: one parsed string per method instead of hundreds of Column calls.
 
-def _method_struct(method: str, tr: float, given: dict | None) -> Column:
-    p = {k: param(F.lit((given or {}).get(k)), *spec) for k, spec in PARAMETERS[method].items()}
-    A, L, Lc, S = (F.col(c) for c in ("A", "L", "Lc", "S"))
-    zero = F.lit(0.0)
-    e1 = e2 = e3 = s1 = s2 = s3 = F.lit(None).cast("double")
-    dt = F.lit(tr)
-    lag = None
-    tg = F.when(L >= 15.0, 0.5279 + 0.058 * L).otherwise(0.21 * F.pow(L, F.lit(0.7)))
+def _clamped(method: str, given: dict | None) -> dict[str, float]:
+    out = {}
+    for name, (default, lo, hi) in PARAMETERS[method].items():
+        try:
+            value = float((given or {}).get(name))
+        except (TypeError, ValueError):
+            value = default
+        out[name] = min(hi, max(lo, value if math.isfinite(value) else default))
+    return out
+
+
+_TG = "(CASE WHEN L >= 15 THEN 0.5279D + 0.058D * L ELSE 0.21D * pow(L, 0.7D) END)"
+
+
+def _method_fields(method: str, tr: float, given: dict | None) -> dict[str, str]:
+    p = {k: f"{v!r}D" for k, v in _clamped(method, given).items()}
+    r = f"{tr!r}D"
+    f = dict.fromkeys(("lag_hours", "e1", "e2", "e3", "s1", "s2", "s3"), "NULL")
+    f["dt_hours"] = r
     if method == "scs":
-        lag = p["Ct"] * F.pow(L * Lc, F.lit(0.3))
-        tp = lag + 0.5 * tr
-        qp, tb = 0.2083 * A / tp, 5.0 * tp
-        e1 = tp
+        lag = f"({p['Ct']} * pow(L * Lc, 0.3D))"
+        tp = f"({lag} + 0.5D * {r})"
+        f |= {"lag_hours": lag, "tp": tp, "qp": f"0.2083D * A / {tp}", "tb": f"5 * {tp}", "e1": tp}
     elif method == "nakayasu":
-        tp, t03 = tg + 0.8 * tr, p["alpha"] * tg
-        qp, tb = A / (3.6 * (0.3 * tp + t03)), tp + 8.5 * t03
-        e1, e2, e3, s1 = tp, tp + t03, tp + 2.5 * t03, t03
+        tp, t03 = f"({_TG} + 0.8D * {r})", f"({p['alpha']} * {_TG})"
+        f |= {"tp": tp, "qp": f"A / (3.6D * (0.3D * {tp} + {t03}))", "tb": f"{tp} + 8.5D * {t03}", "e1": tp, "e2": f"{tp} + {t03}", "e3": f"{tp} + 2.5D * {t03}", "s1": t03}
     elif method == "snyder_alexeyev":
-        lag = p["Ct"] * F.pow(L * Lc, F.lit(0.3))
-        te = lag / 5.5
-        tp = F.greatest(F.lit(0.05), F.when(te > tr, lag + 0.25 * (tr - te)).otherwise(lag + 0.5 * tr))
-        qp, tb = 0.275 * p["Cp"] * A / tp, 10.0 * tp
-        lam = qp * tp * 3600.0 / (A * 1000.0)
-        e1, s1, s2 = tp, 1.32 * lam * lam + 0.15 * lam + 0.045, lam
+        lag = f"({p['Ct']} * pow(L * Lc, 0.3D))"
+        tp = f"greatest(0.05D, CASE WHEN {lag} / 5.5D > {r} THEN {lag} + 0.25D * ({r} - {lag} / 5.5D) ELSE {lag} + 0.5D * {r} END)"
+        # peak flow times peak time over the unit volume does not depend on either of them
+        lam = f"(0.275D * {p['Cp']} * 3.6D)"
+        f |= {"lag_hours": lag, "tp": tp, "qp": f"0.275D * {p['Cp']} * A / {tp}", "tb": f"10 * {tp}", "e1": tp, "s1": f"1.32D * {lam} * {lam} + 0.15D * {lam} + 0.045D", "s2": lam}
     elif method == "gama1":
-        dt = F.lit(1.0)
-        tp = 0.43 * F.pow(L / (100.0 * F.col("SF")), F.lit(3)) + 1.0665 * F.col("SIM") + 1.2775
-        qp = 0.1836 * F.pow(A, F.lit(0.5886)) * F.pow("JN", F.lit(0.2381)) * F.pow(tp, F.lit(-0.4008))
-        tb = 27.4132 * F.pow(tp, F.lit(0.1457)) * F.pow(S, F.lit(-0.0986)) * F.pow("SN", F.lit(0.7344)) * F.pow("RUA", F.lit(0.2574))
-        tb = F.greatest(tb, tp + 0.05)
-        k = 0.5617 * F.pow(A, F.lit(0.1798)) * F.pow(S, F.lit(-0.1446)) * F.pow("SF", F.lit(-1.0897)) * F.pow("D", F.lit(0.0452))
-        e1, e2, s1 = tp, F.greatest(tp, tb - 1.0), k
-        s2 = e2
+        tp = "(0.43D * pow(L / (100 * SF), 3) + 1.0665D * SIM + 1.2775D)"
+        tb = f"greatest(27.4132D * pow({tp}, 0.1457D) * pow(S, -0.0986D) * pow(SN, 0.7344D) * pow(RUA, 0.2574D), {tp} + 0.05D)"
+        tail = f"greatest({tp}, {tb} - 1)"
+        f |= {"dt_hours": "1.0D", "tp": tp, "qp": f"0.1836D * pow(A, 0.5886D) * pow(JN, 0.2381D) * pow({tp}, -0.4008D)", "tb": tb, "e1": tp, "e2": tail,
+              "s1": "0.5617D * pow(A, 0.1798D) * pow(S, -0.1446D) * pow(SF, -1.0897D) * pow(D, 0.0452D)", "s2": tail}
     elif method == "limantara":
-        tp = tg + 0.8 * tr
-        qp = (0.042 * F.pow(A, F.lit(0.451)) * F.pow(L, F.lit(0.497)) * F.pow(Lc, F.lit(0.356))
-              * F.pow(S, F.lit(-0.131)) * F.pow(p["n"], F.lit(0.168)))
-        tb, e1 = tp + 3.0 / 0.175, tp
+        tp = f"({_TG} + 0.8D * {r})"
+        f |= {"tp": tp, "qp": f"0.042D * pow(A, 0.451D) * pow(L, 0.497D) * pow(Lc, 0.356D) * pow(S, -0.131D) * pow({p['n']}, 0.168D)", "tb": f"{tp} + 3 / 0.175D", "e1": tp}
     elif method == "itb1b":
-        lag = p["Ct"] * 0.81225 * F.pow(L, F.lit(0.6))
-        tp, m = lag + 0.5 * tr, p["alpha"] * p["Cp"]
-        area = F.exp(m + lngamma(m + 1) - (m + 1) * F.log(m))
-        qp, tb, e1, s1, s2 = A / (3.6 * area * tp), p["k"] * tp, tp, m, area
+        lag, m = f"({p['Ct']} * 0.81225D * pow(L, 0.6D))", f"({p['alpha']} * {p['Cp']})"
+        tp = f"({lag} + 0.5D * {r})"
+        area = f"exp({m} + {lngamma_sql(f'({m} + 1)')} - ({m} + 1) * ln({m}))"
+        f |= {"lag_hours": lag, "tp": tp, "qp": f"A / (3.6D * {area} * {tp})", "tb": f"{p['k']} * {tp}", "e1": tp, "s1": m, "s2": area}
     else:
-        lag = p["Ct"] * (0.0394 * L + 0.201 * F.sqrt(L))
-        tp, nb = lag + 0.5 * tr, p["beta"] * p["Cp"]
-        area = 1.0 / (p["alpha"] + 1.0) + 1.0 / nb
-        qp, tb, e1, s1, s2, s3 = A / (3.6 * area * tp), p["k"] * tp, tp, p["alpha"], nb, area
-    missing = F.array_compact(F.array(*[
-        F.when(finite(F.col(c), positive=True).isNull(), F.lit(c)) for c in REQUIRED[method]]))
-    ok = F.size(missing) == 0
-
-    def num(c):
-        return F.when(ok, finite(c)).cast("double")
-
-    return F.struct(
-        F.lit(method).alias("method"), missing.alias("missing"), dt.cast("double").alias("dt_hours"),
-        num(tp).alias("tp"), num(qp).alias("qp"), num(tb).alias("tb"),
-        num(e1).alias("e1"), num(e2).alias("e2"), num(e3).alias("e3"),
-        num(s1).alias("s1"), num(s2).alias("s2"), num(s3).alias("s3"),
-        num(lag if lag is not None else zero * F.lit(None)).alias("lag_hours"),
-    )
+        lag, nb = f"({p['Ct']} * (0.0394D * L + 0.201D * sqrt(L)))", f"({p['beta']} * {p['Cp']})"
+        tp = f"({lag} + 0.5D * {r})"
+        area = f"(1 / ({p['alpha']} + 1) + 1 / {nb})"
+        f |= {"lag_hours": lag, "tp": tp, "qp": f"A / (3.6D * {area} * {tp})", "tb": f"{p['k']} * {tp}", "e1": tp, "s1": p["alpha"], "s2": nb, "s3": area}
+    return f
 
 
-def _scs_ratio(x: Column) -> Column:
-    out = F.when(x < SCS_T[0], 0.0)
-    for i in range(1, len(SCS_T)):
-        slope = (SCS_Q[i] - SCS_Q[i - 1]) / (SCS_T[i] - SCS_T[i - 1])
-        out = out.when(x <= SCS_T[i], SCS_Q[i - 1] + (x - SCS_T[i - 1]) * slope)
-    return out.otherwise(0.0)
+def _method_struct(method: str, tr: float, given: dict | None) -> str:
+    fields = _method_fields(method, tr, given)
+    need = REQUIRED[method]
+    ok = " AND ".join(f"{c} IS NOT NULL" for c in need)
+    missing = ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in need)
+    parts = [f"'method', '{method}'", f"'missing', array_compact(array({missing}))", f"'dt_hours', {fields['dt_hours']}"]
+    for name in ("tp", "qp", "tb", "e1", "e2", "e3", "s1", "s2", "s3", "lag_hours"):
+        parts.append(f"'{name}', CASE WHEN {ok} THEN CAST({fields[name]} AS DOUBLE) END")
+    return f"named_struct({', '.join(parts)})"
 
 
-def _flow(t: Column) -> Column:
+def _flow_sql(t: str) -> str:
     """Discharge at time ``t`` for the row's method."""
-    m = F.col("method")
-    tp, qp, tb, s1, s2 = (F.col(c) for c in ("tp", "qp", "tb", "s1", "s2"))
-    x = t / tp
-
-    def power(base, exponent):
-        return F.pow(base, exponent if isinstance(exponent, Column) else F.lit(float(exponent)))
-
-    nak = (
-        F.when(t <= tp, power(x, 2.4))
-        .when(t <= tp + s1, power(F.lit(0.3), (t - tp) / s1))
-        .when(t <= tp + 2.5 * s1, power(F.lit(0.3), (t - tp + 0.5 * s1) / (1.5 * s1)))
-        .otherwise(power(F.lit(0.3), (t - tp + 1.5 * s1) / (2.0 * s1)))
-    )
-    tail = F.when(s2 > tp, F.exp(-(s2 - tp) / s1)).otherwise(1.0)
-    gama = (
-        F.when(t >= s2, tail * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (tb - t) / F.greatest(tb - s2, F.lit(1e-9)))))
-        .when(t <= tp, x).otherwise(F.exp(-(t - tp) / s1))
-    )
-    ratio = (
-        F.when(m == "scs", _scs_ratio(x))
-        .when(m == "nakayasu", nak)
-        .when(m == "snyder_alexeyev", F.when(x > 0, power(F.lit(10.0), -s1 * (1 - x) * (1 - x) / x)).otherwise(0.0))
-        .when(m == "gama1", gama)
-        .when(m == "limantara", F.when(t <= tp, power(x, 1.107)).otherwise(power(F.lit(10.0), 0.175 * (tp - t))))
-        .when(m == "itb1b", power(x * F.exp(1 - x), s1))
-        .otherwise(F.when(x <= 1, power(x, s1)).otherwise(F.exp((1 - x) * s2)))
-    )
-    return qp * ratio
-
-
-def time_grid(end: Column, step: Column, extras: list[Column]) -> Column:
+    x = f"({t} / tp)"
+    scs = " ".join(f"WHEN {x} <= {SCS_T[i]}D THEN {SCS_Q[i - 1]}D + ({x} - {SCS_T[i - 1]}D) * {(SCS_Q[i] - SCS_Q[i - 1]) / (SCS_T[i] - SCS_T[i - 1])!r}D" for i in range(1, len(SCS_T)))
+    tail = "(CASE WHEN s2 > tp THEN exp(-(s2 - tp) / s1) ELSE 1 END)"
+    ratio = f"""CASE method
+      WHEN 'scs' THEN CASE {scs} ELSE 0 END
+      WHEN 'nakayasu' THEN CASE WHEN {t} <= tp THEN pow({x}, 2.4D) WHEN {t} <= tp + s1 THEN pow(0.3D, ({t} - tp) / s1)
+        WHEN {t} <= tp + 2.5D * s1 THEN pow(0.3D, ({t} - tp + 0.5D * s1) / (1.5D * s1)) ELSE pow(0.3D, ({t} - tp + 1.5D * s1) / (2 * s1)) END
+      WHEN 'snyder_alexeyev' THEN CASE WHEN {x} > 0 THEN pow(10.0D, -s1 * (1 - {x}) * (1 - {x}) / {x}) ELSE 0 END
+      WHEN 'gama1' THEN CASE WHEN {t} >= s2 THEN {tail} * greatest(0D, least(1D, (tb - {t}) / greatest(tb - s2, 1e-9D))) WHEN {t} <= tp THEN {x} ELSE exp(-({t} - tp) / s1) END
+      WHEN 'limantara' THEN CASE WHEN {t} <= tp THEN pow({x}, 1.107D) ELSE pow(10.0D, 0.175D * (tp - {t})) END
+      WHEN 'itb1b' THEN pow({x} * exp(1 - {x}), s1)
+      ELSE CASE WHEN {x} <= 1 THEN pow({x}, s1) ELSE exp((1 - {x}) * s2) END END"""
+    return f"CAST(qp * {ratio} AS DOUBLE)"
+
+
+def time_grid_sql(end: str, step: str, extras: list[str]) -> str:
     """0..end by ``step`` joined with the break points inside and the end itself."""
-    steps = F.transform(F.sequence(F.lit(0), (F.ceil(end / step + 0.5) - 1).cast("int")), lambda i: i * step)
-    inner = [F.when((e > 0) & (e < end), e) for e in extras]
-    every = F.array_compact(F.concat(steps, F.array(*inner, end)))
-    return F.array_sort(F.array_distinct(F.transform(every, lambda v: F.round(v, 10))))
+    inner = ", ".join(f"CASE WHEN {e} > 0 AND {e} < {end} THEN {e} END" for e in extras)
+    return (f"array_sort(array_distinct(transform(array_compact(concat(transform(sequence(0, CAST(ceil({end} / {step} + 0.5D) AS INT) - 1), i -> i * {step}), "
+            f"array({inner}, {end}))), v -> round(v, 10))))")
 
 
 def hydrographs(inputs: DataFrame, *, methods=METHODS, parameters: dict | None = None, tr: float = 1.0) -> DataFrame:
@@ -236,43 +212,27 @@ def hydrographs(inputs: DataFrame, *, methods=METHODS, parameters: dict | None =
     chosen = [m for m in methods if m in METHODS]
     if not chosen:
         raise ValueError("choose at least one hydrograph method")
-    structs = [_method_struct(m, tr, (parameters or {}).get(m)) for m in chosen]
-    rows = inputs.select("point_id", "A", F.inline(F.array(*structs)))
-    ok = F.col("tp").isNotNull() & F.col("qp").isNotNull() & F.col("tb").isNotNull()
-    rows = rows.withColumn("available", ok & (F.size("missing") == 0))
-    grid = F.when(F.col("available"), time_grid(F.col("tb"), F.col("dt_hours"), [F.col("e1"), F.col("e2"), F.col("e3")]))
-    rows = rows.withColumn("t", grid)
-    flow = F.transform("t", lambda t: _flow(t))
+    structs = ", ".join(_method_struct(m, tr, (parameters or {}).get(m)) for m in chosen)
+    used = ("A", "L", "Lc", "S", "D", "JN", "SF", "SN", "WF", "RUA", "SIM")
+    clean = inputs.selectExpr("point_id", *[f"CASE WHEN {c} > 0 AND {c} < double('infinity') THEN {c} END AS {c}" for c in used])
+    rows = clean.selectExpr("point_id", "A", f"inline(array({structs}))")
+    inf = "double('infinity')"
+    rows = rows.selectExpr("*", f"size(missing) = 0 AND abs(tp) < {inf} AND abs(qp) < {inf} AND abs(tb) < {inf} AND tp > 0 AND tb > 0 AS ok").selectExpr("* EXCEPT (ok)", "coalesce(ok, false) AS available")
+    rows = rows.selectExpr("*", f"CASE WHEN available THEN {time_grid_sql('tb', 'dt_hours', ['e1', 'e2', 'e3'])} END AS t")
     # the last ordinate of the Gama method is zero by definition
-    flow = F.when(F.col("method") == "gama1", F.concat(F.slice(flow, F.lit(1), F.size("t") - 1), F.array(F.lit(0.0)))).otherwise(flow)
-    rows = rows.withColumn("q", F.when(F.col("available"), flow))
-    areas = F.zip_with(
-        F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("t"), F.slice("q", F.lit(1), F.size("q") - 1).alias("q")),
-        F.arrays_zip(F.slice("t", F.lit(2), F.size("t") - 1).alias("t"), F.slice("q", F.lit(2), F.size("q") - 1).alias("q")),
-        lambda a, b: (b["t"] - a["t"]) * 3600.0 * (a["q"] + b["q"]) / 2.0,
-    )
-    volume = F.aggregate(areas, F.lit(0.0), lambda acc, v: acc + v)
-    target = F.col("A") * 1000.0
-    return rows.withColumn("volume_m3", F.when(F.col("available"), volume)).select(
-        "point_id", "method", "available", "missing", "dt_hours", "lag_hours",
-        F.col("tp").alias("tp_hours"), F.col("qp").alias("qp_m3s"), F.col("tb").alias("tb_hours"), "s1", "s2", "s3",
-        F.when(F.col("available"), target).alias("volume_target_m3"), "volume_m3",
-        (F.col("volume_m3") / target).alias("equivalent_mm"),
-        ((F.col("volume_m3") - target) / target * 100.0).alias("volume_error_pct"),
-        F.when(F.col("volume_m3") > 0, target / F.col("volume_m3")).when(F.col("available"), 1.0).alias("normalization_factor"),
-        "t", "q",
-    )
+    rows = rows.selectExpr("*", f"transform(t, (x, i) -> CASE WHEN method = 'gama1' AND i = size(t) - 1 THEN 0D ELSE {_flow_sql('x')} END) AS q")
+    rows = rows.selectExpr("*", "aggregate(sequence(1, size(t) - 1), 0D, (acc, i) -> acc + (t[i] - t[i - 1]) * 3600 * (q[i - 1] + q[i]) / 2) AS volume_m3")
+    return rows.selectExpr(
+        "point_id", "method", "available", "missing", "dt_hours", "lag_hours", "tp AS tp_hours", "qp AS qp_m3s", "tb AS tb_hours", "s1", "s2", "s3",
+        "CASE WHEN available THEN A * 1000 END AS volume_target_m3", "volume_m3", "volume_m3 / (A * 1000) AS equivalent_mm", "(volume_m3 - A * 1000) / (A * 1000) * 100 AS volume_error_pct",
+        "CASE WHEN volume_m3 > 0 THEN A * 1000 / volume_m3 WHEN available THEN 1D END AS normalization_factor", "t", "q")
 
 
 def ordinates(curves: DataFrame) -> DataFrame:
     """Long form: one row per ordinate of every available curve."""
-    pts = F.posexplode(F.arrays_zip(F.col("t"), F.col("q")))
-    rows = curves.filter("available").select(
-        "point_id", "method", "tp_hours", "qp_m3s", "normalization_factor", pts.alias("step", "o"))
-    return rows.select(
-        "point_id", "method", "step", F.col("o.t").alias("t_h"), (F.col("o.t") / F.col("tp_hours")).alias("t_over_tp"),
-        F.when(F.col("qp_m3s") > 0, F.col("o.q") / F.col("qp_m3s")).otherwise(0.0).alias("q_over_qp"), F.col("o.q").alias("q"),
-        (F.col("o.q") * F.col("normalization_factor")).alias("q_norm"))
+    rows = curves.filter("available").selectExpr("point_id", "method", "tp_hours", "qp_m3s", "normalization_factor", "posexplode(arrays_zip(t, q)) AS (step, o)")
+    return rows.selectExpr("point_id", "method", "step", "o.t AS t_h", "o.t / tp_hours AS t_over_tp", "CASE WHEN qp_m3s > 0 THEN o.q / qp_m3s ELSE 0D END AS q_over_qp", "o.q AS q",
+                           "o.q * normalization_factor AS q_norm")
 
 
 def availability(curves: DataFrame) -> DataFrame:

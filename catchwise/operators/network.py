@@ -223,30 +223,31 @@ def drainage_metrics(links: DataFrame, outlets: DataFrame, area: str = "area_km2
     """
     links = cut(links)
     parts = outlet_tree(links, outlets)
-    joined = links.join(junctions(links).select("linkno", F.lit(1).cast("long").alias("_j")), "linkno", "left")
+    below = links.select(F.col("linkno").alias("downstream_id"), F.col("strm_order").alias("_ds"))
+    joined = links.join(below, "downstream_id", "left").join(junctions(links).select("linkno", F.lit(1).cast("long").alias("_j")), "linkno", "left")
     sloped = (F.col("length_m") > 0) & F.col("slope").isNotNull()
-    values = joined.select(
-        "linkno",
-        F.lit(1).cast("long").alias("link_count"),
-        F.coalesce("length_m", F.lit(0.0)).alias("length_m"),
-        F.coalesce(F.col(area), F.lit(0.0)).alias("area_km2"),
-        F.when(F.col("strm_order") == 1, F.col("length_m")).otherwise(0.0).alias("source_m"),
-        F.when(sloped, F.col("slope") * F.col("length_m")).otherwise(0.0).alias("slope_m"),
-        F.when(sloped, F.col("length_m")).otherwise(0.0).alias("sloped_m"),
-        F.coalesce("_j", F.lit(0)).cast("long").alias("junction_count"),
-        F.col("strm_order").alias("stream_order_max"),
-    )
-    sums = rollup_to_outlets(
-        links, outlets, values,
-        {**{c: F.sum for c in ("link_count", "length_m", "area_km2", "source_m", "slope_m", "sloped_m", "junction_count")},
-         "stream_order_max": F.max}, parts=parts,
-    )
-    streams = strahler_counts(links, outlets, parts).groupBy("outlet").agg(
-        F.sum("streams").alias("stream_count"),
-        F.sum(F.when(F.col("strm_order") == 1, F.col("streams")).otherwise(0)).alias("source_count"),
-        F.avg("bifurcation_ratio").alias("bifurcation_ratio"),
-    )
-    return with_drainage_ratios(sums.join(streams, "outlet", "left"))
+    head = F.col("_ds").isNull() | (F.col("_ds") != F.col("strm_order"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    values = cut(joined.select(
+        "linkno", F.coalesce("strm_order", F.lit(0)).alias("strm_order"), one.alias("link_count"), F.coalesce("length_m", F.lit(0.0)).alias("length_m"), F.coalesce(F.col(area), F.lit(0.0)).alias("area_km2"),
+        F.when(sloped, F.col("slope") * F.col("length_m")).otherwise(0.0).alias("slope_m"), F.when(sloped, F.col("length_m")).otherwise(0.0).alias("sloped_m"),
+        F.coalesce("_j", zero).alias("junction_count"), F.when((F.col("strm_order") > 0) & head, one).otherwise(zero).alias("streams")))
+    sums = ("link_count", "length_m", "area_km2", "slope_m", "sloped_m", "junction_count", "streams")
+    # one fold keyed by order carries every measure; orders are a handful per network
+    by_order = rollup_to_outlets(links, outlets, values, {c: F.sum for c in sums}, ["strm_order"], parts)
+    # the outlet link ends a stream of its own set even when the reach below has the same order
+    extra = values.filter("streams = 0 and strm_order > 0").join(outlets.select("linkno").distinct(), "linkno", "left_semi").select(
+        F.col("linkno").alias("outlet"), "strm_order", one.alias("_x"))
+    by_order = by_order.join(extra, ["outlet", "strm_order"], "left").withColumn("streams", F.col("streams") + F.coalesce("_x", zero)).drop("_x")
+    # orders bound this group to a few rows, so the ratio of neighbouring orders is a small window
+    nxt = F.lead(F.struct("strm_order", "streams")).over(W.partitionBy("outlet").orderBy("strm_order"))
+    ratio = F.when((F.col("_n.strm_order") == F.col("strm_order") + 1) & (F.col("_n.streams") > 0) & (F.col("streams") > 0), F.col("streams") / F.nullif(F.col("_n.streams"), zero))
+    by_order = by_order.withColumn("_n", nxt).withColumn("_ratio", ratio)
+    first = F.col("strm_order") == 1
+    out = by_order.groupBy("outlet").agg(
+        *[F.sum(c).alias(c) for c in sums if c != "streams"], F.sum("streams").alias("stream_count"), F.max(F.when(F.col("strm_order") > 0, F.col("strm_order"))).alias("stream_order_max"),
+        F.sum(F.when(first, F.col("length_m")).otherwise(0.0)).alias("source_m"), F.sum(F.when(first, F.col("streams")).otherwise(zero)).alias("source_count"), F.avg("_ratio").alias("bifurcation_ratio"))
+    return with_drainage_ratios(out)
 
 
 def with_drainage_ratios(df: DataFrame) -> DataFrame:

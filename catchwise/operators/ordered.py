@@ -71,8 +71,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], *,
     clean = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     # equal values collapse into one counted row, so ties never swell a bucket
     counted = clean.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    ranked = cut(running_sum(counted, keys, ["_v"], {"_hi": "_c"}))
-    sizes = ranked.groupBy(*keys).agg(F.max("_hi").alias("_n"))
+    rows = bucketed(counted, keys, ["_v"])
+    ranked = running_sum(rows, keys, ["_v"], {"_hi": "_c"}, bucketed_already=True)
+    sizes = rows.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     wanted = sizes.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
     if weibull:
         rank = (F.col("_n") + 1) * F.col("prob")

@@ -47,10 +47,9 @@ def series_stats(df: DataFrame, by: list[str], value: str = "q", *, bounded: boo
     wq = ordered.quantiles(df, by, value, [1 - e / 100 for e in EXCEEDANCES], weibull=True)
     names = {round(1 - e / 100, 6): f"q{e}" for e in EXCEEDANCES}
     wide = wq.groupBy(*by).agg(*[F.max(F.when(F.abs(F.col("prob") - p) < 1e-9, F.col("q"))).alias(n) for p, n in names.items()])
-    med = ordered.quantiles(df, by, value, [0.5]).select(*by, F.col("q").alias("median"))
-    if not by:
-        return agg.join(F.broadcast(med)).join(F.broadcast(wide))
-    return agg.join(med, by, "left").join(wide, by, "left")
+    # the median is the exclusive quantile at one half for every sample size
+    wide = wide.withColumn("median", F.col("q50"))
+    return agg.join(F.broadcast(wide)) if not by else agg.join(wide, by, "left")
 
 
 def weibull_median(name: str) -> Column:

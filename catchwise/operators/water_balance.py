@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from catchwise.functions.calendar import discharge_from_depth
 from catchwise.operators.stats import fit_metrics
-from catchwise.runtime import small
+from catchwise.runtime import small, spread
 
 PARAMETERS = ("smc_multiplier", "infiltration", "k30")
 # Default calibration bounds (fixed values)
@@ -28,14 +28,14 @@ TRACE_SCHEMA = ("point_id string, year int, period int, days int, p_mm double, e
 
 
 def walk(p, et0, days, wet, capacity, infiltration, k30, exposed, soil0=None, ground0=0.0):
-    """Step through time; every storage argument may be a vector of parameter sets.
+    """Step through time; every argument may be a vector of catchments or parameter sets.
 
     Yields ``(aet, soil, groundwater, recharge, direct, baseflow, runoff, residual)``.
     """
     soil = capacity / 2 if soil0 is None else soil0
     ground = ground0
     for pi, ei, di, wi in zip(p, et0, days, wet):
-        demand = ei * (1 - exposed / 20 * max(18 - wi * 30 / di, 0))
+        demand = ei * (1 - exposed / 20 * np.maximum(18 - wi * 30 / di, 0))
         held = pi + soil
         aet = np.minimum(demand, held)
         rest = held - aet
@@ -52,16 +52,35 @@ def walk(p, et0, days, wet, capacity, infiltration, k30, exposed, soil0=None, gr
         yield aet, soil, ground, recharge, direct, base, runoff, residual
 
 
-def _trace_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["year", "period"])
-    r = pdf.iloc[0]
-    soil0 = None if pd.isna(r.initial_soil_mm) else float(r.initial_soil_mm)
-    rows = np.array(list(walk(
-        pdf.p_mm.to_numpy(), pdf.et0_mm.to_numpy(), pdf.days.to_numpy(), pdf.wet_days.to_numpy(),
-        r.smc_mm * r.smc_multiplier, r.infiltration, r.k30, r.exposed_fraction, soil0, float(r.initial_groundwater_mm))))
-    head = pdf[["point_id", "year", "period", "days", "p_mm", "et0_mm", "wet_days"]].reset_index(drop=True)
-    names = ["aet_mm", "soil_mm", "groundwater_mm", "recharge_mm", "direct_mm", "baseflow_mm", "runoff_mm", "balance_error_mm"]
-    return pd.concat([head, pd.DataFrame(rows, columns=names)], axis=1)
+FLOWS = ("aet_mm", "soil_mm", "groundwater_mm", "recharge_mm", "direct_mm", "baseflow_mm", "runoff_mm", "balance_error_mm")
+BLOCK = 512  # catchments walked side by side
+
+
+def _trace_batches(batches):
+    """Walk blocks of catchments through time together; series are padded to a common length."""
+    for batch in batches:
+        for lo in range(0, len(batch), BLOCK):
+            pdf = batch.iloc[lo:lo + BLOCK]
+            series = [[np.array([r[k] for r in rows], dtype=float) for k in ("year", "period", "days", "p_mm", "et0_mm", "wet_days")] for rows in pdf.steps]
+            steps = max(len(x[0]) for x in series)
+            pad = np.ones((6, steps, len(series)))
+            pad[5] = 0.0
+            for j, cols in enumerate(series):
+                pad[:, :len(cols[0]), j] = cols
+            num = {c: pdf[c].to_numpy(dtype=float) for c in ("smc_mm", "smc_multiplier", "infiltration", "k30", "exposed_fraction", "initial_soil_mm", "initial_groundwater_mm")}
+            capacity = num["smc_mm"] * num["smc_multiplier"]
+            soil0 = np.where(np.isnan(num["initial_soil_mm"]), capacity / 2, num["initial_soil_mm"])
+            walked = np.array([np.stack(np.broadcast_arrays(*row)) for row in walk(
+                pad[3], pad[4], pad[2], pad[5], capacity, num["infiltration"], num["k30"], num["exposed_fraction"], soil0, num["initial_groundwater_mm"])])
+            used = [len(x[0]) for x in series]
+            keep = np.concatenate([np.arange(n) for n in used]), np.repeat(np.arange(len(used)), used)
+            out = {"point_id": np.repeat(pdf.point_id.to_numpy(), used)}
+            for i, name in enumerate(("year", "period", "days")):
+                out[name] = pad[i][keep].astype("int32")
+            out["p_mm"], out["et0_mm"], out["wet_days"] = pad[3][keep], pad[4][keep], pad[5][keep].astype("int32")
+            for i, name in enumerate(FLOWS):
+                out[name] = walked[:, i, :][keep]
+            yield pd.DataFrame(out)
 
 
 def parameter_problems(params: DataFrame) -> DataFrame:
@@ -86,8 +105,10 @@ def mock(climate: DataFrame, params: DataFrame) -> DataFrame:
         if name not in params.columns:
             params = params.withColumn(name, F.lit(default).cast("double"))
     cols = ["point_id", "smc_mm", "exposed_fraction", *PARAMETERS, "initial_soil_mm", "initial_groundwater_mm"]
-    joined = climate.select("point_id", "year", "period", "days", "p_mm", "et0_mm", "wet_days").join(small(params.select(*cols)), "point_id")
-    return joined.groupBy("point_id").applyInPandas(_trace_one, TRACE_SCHEMA)
+    # one row per catchment: its calendar bounds the array to 24 steps a year
+    steps = climate.groupBy("point_id").agg(F.sort_array(F.collect_list(F.struct("year", "period", "days", "p_mm", "et0_mm", "wet_days"))).alias("steps"))
+    rows = spread(steps, "point_id").join(small(params.select(*cols)), "point_id")
+    return rows.mapInPandas(_trace_batches, TRACE_SCHEMA)
 
 
 def discharge(trace: DataFrame, areas: DataFrame) -> DataFrame:
@@ -195,8 +216,8 @@ def objective(climate: DataFrame, observed: DataFrame, points: DataFrame, candid
         out["pairs"], out["sse"] = int(seen.sum()), sse
         return out[cols]
 
-    left = series.groupBy("point_id")
-    right = candidates.select("point_id", *PARAMETERS).groupBy("point_id")
+    left = spread(series, "point_id").groupBy("point_id")
+    right = spread(candidates.select("point_id", *PARAMETERS), "point_id").groupBy("point_id")
     return left.cogroup(right).applyInPandas(run, OBJECTIVE_SCHEMA)
 
 

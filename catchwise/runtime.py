@@ -120,3 +120,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's shuffle partitions before Python work.
+
+    AQE would fold small inputs into one task; Python stages are bound by CPU, not bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys])

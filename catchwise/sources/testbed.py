@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwise.catalog.base import table
+from catchwise.runtime import table
 
 # --- river network: parts form a binary tree -------------------------------------------
 
