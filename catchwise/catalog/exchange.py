@@ -4,7 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catchwise.catalog.base import query, table
+from catchwise.catalog.base import ORACLES, query, table
+from catchwise.catalog.response import INPUT_SQL
 from catchwise.functions import text as tx
 from catchwise.functions.numeric import finite, param, rounded
 from catchwise.operators import hydrograph as hg
@@ -220,9 +221,12 @@ def k9(spark, sf):
     return rounded(rp.parameter_rows(df.select(*keep)), 6)
 
 
-@query("k10_hss_summary")
+@query("k10_hss_summary", f"SELECT i.point_id, m.method, coalesce(x.tp_hours IS NOT NULL, false) AS available, x.tp_hours, x.qp_m3s, x.tb_hours, x.equivalent_mm, x.volume_error_pct, "
+       "CASE WHEN m.method = 'gama1' THEN concat_ws(',', CASE WHEN i.S IS NULL THEN 'S' END, CASE WHEN i.RUA IS NULL THEN 'RUA' END, CASE WHEN i.SIM IS NULL THEN 'SIM' END) WHEN m.method = 'limantara' AND i.S IS NULL THEN 'S' ELSE '' END AS missing_inputs "
+       f"FROM ({INPUT_SQL} SELECT * FROM inputs) i CROSS JOIN (SELECT unnest({list(hg.METHODS)}) AS method) m LEFT JOIN ({ORACLES['h11_volume_check']}) x ON x.point_id = i.point_id AND x.method = m.method")
 def k10(spark, sf):
-    return rp.hss_summary(hg.hydrographs(hg.resolve_inputs(tb.catchments(spark, sf))))
+    out = rp.hss_summary(hg.hydrographs(hg.resolve_inputs(tb.catchments(spark, sf))))
+    return out.withColumn("volume_error_pct", F.round("volume_error_pct", 4)).withColumns({c: F.round(c, 6) for c in ("tp_hours", "qp_m3s", "tb_hours", "equivalent_mm")})
 
 
 @query("k11_model_quantiles", f"WITH {tb.DISCHARGE_SQL}, s AS (SELECT gauge AS point_id, count(*) AS count, avg(q) AS mean, quantile_cont(q, 0.5) AS q50 FROM discharge GROUP BY 1) SELECT point_id, count, round(mean, 6) AS mean, 'Q50' AS quantile, round(q50, 6) AS value FROM s")

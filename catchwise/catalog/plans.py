@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catchwise.catalog import cells as cc
 from catchwise.catalog import response  # noqa: F401  (its oracle is reused below)
+from catchwise.catalog import space as sp_
 from catchwise.catalog import streamflow as ss
 from catchwise.catalog.base import ORACLES, query
 from catchwise.functions.numeric import rounded
@@ -48,12 +49,21 @@ def r1_qa(spark, sf):
     return _prepared(spark, sf)["qa"]
 
 
-@query("r2_location_check", None)
+R2 = sp_.PIP + f""", {tb.LINKS_SQL}, {tb.SEGMENTS_SQL}, st AS (SELECT p.point_id, x, y, poly_id AS basin_code, CASE WHEN poly_id IS NULL THEN 'outside_region' WHEN poly_id % 10 = 3 THEN 'karst' WHEN poly_id % 4 = 0 THEN 'official_direct' ELSE 'dem' END AS status FROM pts p LEFT JOIN pip USING (point_id)),
+ pr AS (SELECT point_id, status, linkno, ds_cont_area_km2, river_label, x, y, x1, y1, x2, y2, least(1, greatest(0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM st, segs
+   WHERE x BETWEEN least(x1, x2) - 1000 AND greatest(x1, x2) + 1000 AND y BETWEEN least(y1, y2) - 1000 AND greatest(y1, y2) + 1000),
+ nd AS (SELECT *, sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2)) AS d FROM pr),
+ b AS (SELECT point_id, arg_min({{'l': linkno, 'd': d}}, (round(d, 7), -ds_cont_area_km2, linkno)) AS m FROM nd WHERE d <= 300 AND status = 'dem' GROUP BY 1)
+ SELECT st.point_id, basin_code, status, m.l AS linkno, round(m.d, 4) AS snap_distance_m FROM st LEFT JOIN b USING (point_id)"""
+
+
+@query("r2_location_check", R2)
 def r2(spark, sf):
     edges = tb.polygons(spark, sf)
     basins = edges.select(F.col("poly_id").alias("basin_code")).distinct().select(
         "basin_code", F.when(F.col("basin_code") % 10 == 3, "Bribin").otherwise(F.concat(F.lit("B"), "basin_code")).alias("basin_name"), (F.col("basin_code") % 4 != 0).alias("supported"))
-    return pn.location_check(tb.points_xy(spark, sf), edges, basins, tb.link_segments(spark, sf), size=1000.0)
+    out = pn.location_check(tb.points_xy(spark, sf), edges, basins, tb.link_segments(spark, sf), size=1000.0)
+    return out.select("point_id", "basin_code", "status", "linkno", F.round("snap_distance_m", 4).alias("snap_distance_m"))
 
 
 def _block_reaches(spark, sf):
@@ -123,14 +133,16 @@ def r8(spark, sf):
     return pc.descriptors(areas, rain, tb.class_shares(spark, sf), soil, terrain)
 
 
-@query("r9_parameter_preview")
+@query("r9_parameter_preview", ss.LAYERS + f""", {tb.SHARES_SQL}, z(depth_idx, dz) AS (VALUES (0, 50.0), (1, 100.0), (2, 150.0), (3, 300.0), (4, 400.0)), r AS (SELECT point_id, sum(awc * dz) AS smc, sum(dz) / sum(dz / ksat) AS ks FROM ly JOIN z USING (depth_idx) GROUP BY 1),
+  c AS (SELECT point_id, min(coverage) >= 0.95 AS ok FROM ly GROUP BY 1), p AS (SELECT *, 3.0 + CAST(substr(point_id, 2) AS BIGINT) % 12 AS slope FROM r JOIN c USING (point_id))
+ SELECT point_id, CASE WHEN ok THEN round(smc, 6) END AS smc_mm, CASE WHEN ok THEN round(ks, 6) END AS ksat_mm_h, CASE WHEN ok THEN round(least(1, pow(ks / (ks + 10) * (1 / (1 + slope / 15)) * 0.95, 1.0 / 3)), 6) END AS infiltration FROM p""")
 def r9(spark, sf):
     w, a = tb.soil_weights(spark, sf)
     n = F.expr("CAST(substring(point_id, 2) AS BIGINT)")
     slope = a.select("point_id", (3.0 + n % 12).alias("slope_pct"))
     land = a.select("point_id", F.lit(2001).alias("code"), F.lit(1.0).alias("fraction"))
     shares = tb.class_shares(spark, sf).withColumn("point_id", F.concat(F.lit("B"), F.expr("substring(point_id, 2)")))
-    return pc.parameter_preview(tb.soil_cells(spark, sf).drop("point_id"), w, a, slope, land, shares)
+    return rounded(pc.parameter_preview(tb.soil_cells(spark, sf).drop("point_id"), w, a, slope, land, shares).select("point_id", "smc_mm", "ksat_mm_h", "infiltration"), 6)
 
 
 @query("r10_area_ratio_model", ss.T + """, f AS (SELECT t.point_id, q.year, q.period, avg(q.q * t.area_km2 / d.area_km2) AS q FROM targets t JOIN donors d USING (donor_set) JOIN discharge q USING (gauge) JOIN cy ON cy.donor_set = t.donor_set AND cy.year = q.year GROUP BY 1, 2, 3)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catchwise.runtime import Cut, cut
+from catchwise.runtime import Cut, cut, cuts
 
 MAX_ROUNDS = 40  # 2**40 hops: deeper than any network that could be stored
 
@@ -108,20 +108,24 @@ def fold_upstream(nodes: DataFrame, values: DataFrame, aggs: dict[str, Callable[
     return state.df.drop("jump").filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in aggs]))
 
 
+def _onward(jumps: DataFrame) -> DataFrame:
+    """Pointers twice as long; those that would leave the network drop out."""
+    far = jumps.select(F.col("node").alias("jump"), F.col("jump").alias("_far"))
+    return jumps.join(far, "jump").select("node", F.col("_far").alias("jump"))
+
+
 def _fold_by_key(nodes: DataFrame, values: DataFrame, aggs: dict, keys: list[str]) -> DataFrame:
     group = ["node", *keys]
     folded = [fn(F.col(c)).alias(c) for c, fn in aggs.items()]
-    state = Cut(values.groupBy(*group).agg(*folded))
-    jumps = Cut(nodes.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("jump")),
-                count_if=F.lit(True))
+    first = nodes.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("jump"))
+    state, jumps = cuts((values.groupBy(*group).agg(*folded), None), (first, F.lit(True)))
     round_no = 0
     while jumps.count:
         round_no += 1
         _check_rounds(round_no)
         message = state.df.join(jumps.df, "node").select(F.col("jump").alias("node"), *keys, *aggs)
-        new_state = Cut(state.df.unionByName(message).groupBy(*group).agg(*folded))
-        far = jumps.df.select(F.col("node").alias("jump"), F.col("jump").alias("_far"))
-        new_jumps = Cut(jumps.df.join(far, "jump").select("node", F.col("_far").alias("jump")), count_if=F.lit(True))
+        merged = state.df.unionByName(message).groupBy(*group).agg(*folded)
+        new_state, new_jumps = cuts((merged, None), (_onward(jumps.df), F.lit(True)))
         state.drop()
         jumps.drop()
         state, jumps = new_state, new_jumps
@@ -161,16 +165,15 @@ def first_marked(nodes: DataFrame, marked: DataFrame) -> DataFrame:
 
 def ancestors(tree: DataFrame) -> DataFrame:
     """All (node, ancestor) pairs of a tree ``node, parent`` - as many rows as pairs exist."""
-    pairs = Cut(tree.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("ancestor")))
-    jumps = Cut(pairs.df.select("node", F.col("ancestor").alias("jump")), count_if=F.lit(True))
+    first = tree.filter(F.col("parent").isNotNull())
+    pairs, jumps = cuts((first.select("node", F.col("parent").alias("ancestor")), None), (first.select("node", F.col("parent").alias("jump")), F.lit(True)))
     round_no = 0
     while jumps.count:
         round_no += 1
         _check_rounds(round_no)
         far_pairs = pairs.df.select(F.col("node").alias("jump"), "ancestor")
-        new_pairs = Cut(pairs.df.unionByName(jumps.df.join(far_pairs, "jump").select("node", "ancestor")))
-        far = jumps.df.select(F.col("node").alias("jump"), F.col("jump").alias("_far"))
-        new_jumps = Cut(jumps.df.join(far, "jump").select("node", F.col("_far").alias("jump")), count_if=F.lit(True))
+        grown = pairs.df.unionByName(jumps.df.join(far_pairs, "jump").select("node", "ancestor"))
+        new_pairs, new_jumps = cuts((grown, None), (_onward(jumps.df), F.lit(True)))
         pairs.drop()
         jumps.drop()
         pairs, jumps = new_pairs, new_jumps
@@ -185,8 +188,7 @@ def on_cycles(nodes: DataFrame) -> DataFrame:
     total = jumps.count
     span = 1
     while span <= total and jumps.count:
-        far = jumps.df.select(F.col("node").alias("jump"), F.col("jump").alias("_far"))
-        new = Cut(jumps.df.join(far, "jump").select("node", F.col("_far").alias("jump")), count_if=F.lit(True))
+        new = Cut(_onward(jumps.df), count_if=F.lit(True))
         jumps.drop()
         jumps = new
         span *= 2

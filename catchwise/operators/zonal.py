@@ -34,22 +34,30 @@ def stencil(cells: DataFrame, cols: list[str]) -> DataFrame:
 
     Two windows, one along rows and one along columns, replace an eight-fold join:
     each shuffle moves every cell once and a group is one raster row or column.
+    Beside a gap a placeholder row passes the side values on, so diagonal neighbours
+    are seen across missing cells too.
     """
-    here = F.struct("col", *cols)
     along = W.partitionBy("row").orderBy("col")
-
-    def beside(step, gap):
-        s = step(here).over(along)
-        return F.when(s["col"] == F.col("col") + gap, F.struct(*[s[c].alias(c) for c in cols]))
-
-    wide = cells.withColumns({"_w": beside(F.lag, -1), "_e": beside(F.lead, 1)})
-    row_pack = F.struct("row", F.struct(*cols).alias("_c"), "_w", "_e")
-    down = W.partitionBy("col").orderBy("row")
-    wide = wide.withColumns({"_n3": F.lag(row_pack).over(down), "_s3": F.lead(row_pack).over(down)})
-    wide = wide.withColumns({
-        "_n3": F.when(F.col("_n3.row") == F.col("row") - 1, F.col("_n3")), "_s3": F.when(F.col("_s3.row") == F.col("row") + 1, F.col("_s3"))})
-    around = F.array("_n3._c", "_n3._e", "_e", "_s3._e", "_s3._c", "_s3._w", "_w", "_n3._w")
-    return wide.withColumn("around", around).drop("_n3", "_s3", "_w", "_e")
+    mine = F.struct("col", F.struct(*cols).alias("v"))
+    wide = cells.withColumns({"_p": F.lag(mine).over(along), "_q": F.lead(mine).over(along)})
+    col = F.col("col")
+    own = F.struct(*cols)
+    left = F.when(F.col("_p.col") == col - 1, F.col("_p.v"))
+    right = F.when(F.col("_q.col") == col + 1, F.col("_q.v"))
+
+    def slot(at, body, centre, w, e):
+        return F.struct(at.cast("int").alias("_col"), body.alias("_cell"), centre.alias("_c"), w.alias("_w"), e.alias("_e"))
+
+    empty_cell = F.when(F.lit(False), F.struct(*cells.columns))
+    nothing = F.when(F.lit(False), own)
+    after = F.when(F.col("_q").isNull() | (F.col("_q.col") > col + 1), slot(col + 1, empty_cell, nothing, own, F.when(F.col("_q.col") == col + 2, F.col("_q.v"))))
+    before = F.when(F.col("_p").isNull() | (F.col("_p.col") < col - 2), slot(col - 1, empty_cell, nothing, nothing, own))
+    rows = wide.select("row", F.inline(F.array_compact(F.array(slot(col, F.struct(*cells.columns), own, left, right), after, before))))
+    pack = F.struct("row", "_c", "_w", "_e")
+    down = W.partitionBy("_col").orderBy("row")
+    rows = rows.withColumns({"_n": F.lag(pack).over(down), "_s": F.lead(pack).over(down)}).filter("_cell is not null")
+    rows = rows.withColumns({"_n": F.when(F.col("_n.row") == F.col("row") - 1, F.col("_n")), "_s": F.when(F.col("_s.row") == F.col("row") + 1, F.col("_s"))})
+    return rows.select("_cell.*", F.array("_n._c", "_n._e", "_e", "_s._e", "_s._c", "_s._w", "_w", "_n._w").alias("around"))
 
 
 def local_terrain(cells: DataFrame, cell_run: float, zone: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -58,6 +59,12 @@ class Cut:
         target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def cuts(*jobs: tuple[DataFrame, Column | None]) -> list[Cut]:
+    """Several independent cuts at once, so their stages overlap."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(lambda job: Cut(*job), jobs))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the scratch folder; later plans start from the files."""
     return Cut(df).df
