@@ -243,3 +243,9 @@ def g20(spark, sf):
     _, tree = net.outlet_tree(links, points)
     areas = points.select(F.col("linkno").alias("outlet"), "area_km2")
     return rounded(net.incremental_area(tree, areas), 6)
+
+
+@query("c14_next_downstream", POINTS + """ SELECT a.point_id AS upstream_point, arg_min(b.point_id, b.area_km2) AS downstream_point
+ FROM points a JOIN closure c ON c.linkno = a.linkno JOIN points b ON b.linkno = c.outlet WHERE a.linkno <> b.linkno GROUP BY 1""")
+def c14_next(spark, sf):
+    return net.next_downstream(tb.links(spark, sf), _points(spark, sf))

@@ -298,6 +298,20 @@ def flow_path_pairs(links: DataFrame, points: DataFrame) -> DataFrame:
     return across.unionByName(shared)
 
 
+def next_downstream(links: DataFrame, points: DataFrame) -> DataFrame:
+    """Nearest point below each point: ``(upstream_point, downstream_point)``, one row per point at most.
+
+    Flow-path relation is transitive, so these links carry all of it in linear size.
+    Points on one link are ordered by area, then id.  ``points``: ``point_id, linkno, area_km2``.
+    """
+    same = ordered.neighbours(points.select("point_id", "linkno", "area_km2"), ["linkno"], ["area_km2", "point_id"], ["point_id"], ahead=True)
+    _, tree = outlet_tree(links, points)
+    top = points.groupBy(F.col("linkno").alias("parent")).agg(F.min(F.struct("area_km2", "point_id")).alias("_f")).select("parent", F.col("_f.point_id").alias("_below"))
+    below = tree.join(top, "parent").select(F.col("node").alias("linkno"), "_below")
+    return same.join(below, "linkno", "left").select(F.col("point_id").alias("upstream_point"), F.coalesce(F.col("next.point_id"), F.col("_below")).alias("downstream_point")).filter(
+        "downstream_point is not null")
+
+
 def classify_pairs(pairs: DataFrame, links: DataFrame, points: DataFrame) -> DataFrame:
     """Relation of each requested pair ``(point_a, point_b)`` by equality joins only."""
     flow = cut(flow_path_pairs(links, points))

@@ -23,8 +23,11 @@ def bucketed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return cut(ranged.withColumn("_bucket", F.spark_partition_id()))
 
 
-def _key_match(a: DataFrame, b: DataFrame, keys: list[str]):
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+def _join_by_bucket(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach one summary row per (bucket, group); NULL keys form a group of their own."""
+    named = side.withColumnsRenamed({"_bucket": "_kb", **{k: f"_k{i}" for i, k in enumerate(keys)}})
+    match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_bucket") == F.col("_kb"))
+    return rows.join(named, match)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str],
@@ -37,7 +40,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], sums: dict[str
     offsets = totals.select("_bucket", *keys, *[
         F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums])
     part = rows.select("*", *[F.sum(c).over(inside).alias(f"_i_{o}") for o, c in sums.items()])
-    joined = part.join(offsets, ["_bucket", *keys])
+    joined = _join_by_bucket(part, offsets, keys)
     return joined.select(*[c for c in rows.columns if c != "_bucket"],
                          *[(F.col(f"_i_{o}") + F.col(f"_o_{o}")).alias(o) for o in sums])
 
@@ -59,7 +62,8 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list[str]
     edges = rows.groupBy("_bucket", *keys).agg(pick(payload, rank).alias("_edge"))
     across = edges.select("_bucket", *keys, step("_edge").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_far"))
     part = rows.withColumn(name, step(payload).over(inside))
-    return part.join(across, ["_bucket", *keys]).withColumn(name, F.coalesce(name, "_far")).drop("_bucket", "_far")
+    joined = _join_by_bucket(part, across, keys).withColumn(name, F.coalesce(name, "_far"))
+    return joined.select(*df.columns, name)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], *, weibull: bool = False) -> DataFrame:

@@ -181,13 +181,20 @@ def outlet_cell(points: DataFrame, segs: DataFrame, cells: DataFrame, *, x0: flo
 
     ``points``: ``point_id, linkno, x, y``; adds ``row, col, on_reach``.
     """
-    reach = touched_cells(segs, x0=x0, y0=y0, cell=cell).withColumn("_on", F.lit(True))
-    local = cells.select(F.col("link_id").alias("linkno"), "row", "col").join(reach, ["linkno", "row", "col"], "left")
-    j = points.select("point_id", "linkno", "x", "y").join(local, "linkno")
+    local = cells.select(F.col("link_id").alias("linkno"), "row", "col")
+    reach = touched_cells(segs, x0=x0, y0=y0, cell=cell).join(local, ["linkno", "row", "col"], "left_semi")
+    p = points.select("point_id", "linkno", "x", "y")
     rf, cf = (y0 - F.col("y")) / cell, (F.col("x") - x0) / cell
-    d2 = (F.col("row") + 0.5 - rf) ** 2 + (F.col("col") + 0.5 - cf) ** 2
-    best = j.groupBy("point_id").agg(F.min(F.struct(F.col("_on").isNull().alias("off"), F.round(d2, 9).alias("d2"), "row", "col")).alias("_b"))
-    return points.join(best.select("point_id", "_b.row", "_b.col", (~F.col("_b.off")).alias("on_reach")), "point_id", "left")
+    d2 = F.round((F.col("row") + 0.5 - rf) ** 2 + (F.col("col") + 0.5 - cf) ** 2, 9)
+
+    def nearest(df, on):
+        best = df.groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), "row", "col")).alias("_b"))
+        return best.select("point_id", "_b.row", "_b.col", F.lit(on).alias("on_reach"))
+
+    # a reach has few cells; only points whose reach touches none look at the whole subbasin
+    first = cut(nearest(p.join(reach, "linkno"), True))
+    rest = nearest(p.join(first, "point_id", "left_anti").join(local, "linkno"), False)
+    return points.join(first.unionByName(rest), "point_id", "left")
 
 
 # --- shared edges ----------------------------------------------------------------------------
