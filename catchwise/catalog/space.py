@@ -112,17 +112,7 @@ def p25(spark, sf):
 def p7(spark, sf):
     main = cut(ge.largest_component(tb.polygons(spark, sf)))
     c = ge.polygon_measures(main).select("poly_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    return label_points(main, c)
-
-
-def label_points(edges, centers, size=1000.0):
-    """Centroid when it lies inside, otherwise the midpoint of the lowest edge."""
-    pairs = centers.select("poly_id", "x", "y")
-    flags = sp.inside_flags(pairs, edges, size, []).select("poly_id", "within")
-    edge = edges.groupBy("poly_id").agg(F.min(F.struct("part", "ring", "seq", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))).alias("_e"))
-    j = centers.join(flags, "poly_id", "left").join(edge, "poly_id")
-    ok = F.coalesce("within", F.lit(False))
-    return j.select("poly_id", F.when(ok, F.col("x")).otherwise(F.col("_e.x")).alias("x"), F.when(ok, F.col("y")).otherwise(F.col("_e.y")).alias("y"), ok.alias("centroid_inside"))
+    return sp.label_points(main, c)
 
 
 # --- spatial joins ------------------------------------------------------------------------------------

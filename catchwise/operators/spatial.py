@@ -54,6 +54,19 @@ def pip_join(points: DataFrame, edges: DataFrame, *, size: float, key: str = "po
     return points.join(best.select(key, F.col("_b.poly_id").alias("poly_id")), key, "left")
 
 
+def label_points(edges: DataFrame, centers: DataFrame, size: float = 1000.0) -> DataFrame:
+    """Label position per polygon: its centroid when inside, otherwise the midpoint of its first edge.
+
+    ``centers``: ``poly_id, x, y`` of the largest component.
+    """
+    pairs = centers.select("poly_id", "x", "y")
+    flags = inside_flags(pairs, edges, size, []).select("poly_id", "within")
+    edge = edges.groupBy("poly_id").agg(F.min(F.struct("part", "ring", "seq", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))).alias("_e"))
+    j = centers.join(flags, "poly_id", "left").join(edge, "poly_id")
+    ok = F.coalesce("within", F.lit(False))
+    return j.select("poly_id", F.when(ok, F.col("x")).otherwise(F.col("_e.x")).alias("x"), F.when(ok, F.col("y")).otherwise(F.col("_e.y")).alias("y"), ok.alias("centroid_inside"))
+
+
 # --- nearest segment ------------------------------------------------------------------------
 
 def _segment_tiles(segs: DataFrame, size: float, radius: float) -> DataFrame:
