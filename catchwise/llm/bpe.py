@@ -25,7 +25,7 @@ from catchwise.llm.common import map_text
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces remembered per worker and generation (a speed parameter; it never changes a result).
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -72,8 +72,13 @@ class Codec:
             self.parts.setdefault(ids[left + right], (rank, *pair))
         self.automaton = ahocorasick.Automaton()
         for entry, token in ids.items():
-            self.automaton.add_word(entry, (token, len(entry)))
+            self.automaton.add_word(entry, (token, len(entry) - 1))
         self.automaton.make_automaton()
+        #: of each token: its bytes, and the longest other entry that it starts with, -1 if none
+        self.size, self.shorter = [0] * (max(ids.values()) + 1), [-1] * (max(ids.values()) + 1)
+        for entry, token in ids.items():
+            self.size[token] = len(entry)
+            self.shorter[token] = next((ids[entry[:k]] for k in range(len(entry) - 1, 0, -1) if entry[:k] in ids), -1)
         self.letters = dict(enumerate(byte_letters()))
         self.pieces = regex.compile(PATTERN).findall
         self.added = vocabulary.added
@@ -125,32 +130,29 @@ class Codec:
     def piece(self, piece: str) -> list[int]:
         text = piece.encode().decode("latin-1").translate(self.letters)
         n = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (token, size) in self.automaton.iter(text):
-            starts[last + 1 - size].append((last + 1, token))  # shorter ones come first
-        open_at = [True] * (n + 1)
-        taken: list[int] = []  # tokens so far
-        tried: list[tuple[int, int]] = []  # of each: its start and its place among the entries there
-        at, choice = 0, len(starts[0]) - 1
-        while at < n:
-            before = taken[-1] if taken else None
-            here = starts[at]
-            while choice >= 0:
-                end, token = here[choice]
-                if open_at[end] and (before is None or self.fits(before, token)):
+        longest = [0] * n  # the longest entry that starts here; a byte is always one
+        for last, (token, back) in self.automaton.iter(text):
+            longest[last - back] = token
+        size, shorter, compatible, fits = self.size, self.shorter, self.compatible, self.fits
+        closed = set()  # borders found to lead nowhere
+        taken: list[int] = []
+        at, token, before = 0, longest[0], -1
+        while True:
+            while token >= 0:
+                end = at + size[token]
+                if end not in closed and (before < 0 or (fits(before, token) if (known := compatible.get((before, token))) is None else known)):
                     break
-                choice -= 1
-            if choice >= 0:
+                token = shorter[token]
+            if token >= 0:
                 taken.append(token)
-                tried.append((at, choice))
-                at = end
-                choice = len(starts[at]) - 1 if at < n else -1
+                if end == n:
+                    return taken
+                at, before, token = end, token, longest[end]
             else:
-                open_at[at] = False
-                taken.pop()
-                at, choice = tried.pop()
-                choice -= 1
-        return taken
+                closed.add(at)
+                token = shorter[taken.pop()]
+                at -= size[before]
+                before = taken[-1] if taken else -1
 
     def _known(self, piece: str) -> bytes:
         found = self.older.get(piece)
