@@ -34,7 +34,7 @@ def map_text(df: DataFrame, columns: list[str], fn: Callable[..., list], schema:
     names = {f.name for f in added.fields}
     kept = [f for f in df.schema.fields if f.name not in names]
     out = StructType(kept + list(added.fields))
-    arrow = to_arrow_schema(out, timezone="UTC")
+    arrow = to_arrow_schema(out)
     n_kept = len(kept)
     kept_names = [f.name for f in kept]
 

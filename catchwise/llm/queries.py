@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwise.llm import bpe
+from catchwise.llm import bpe, shards
 from catchwise.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,27 @@ def tokenizer_path() -> str:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: CRC-32 of a text's bytes in SQL: a table of 256 remainders, then one step a byte.
+CRC_SQL = """
+rem AS (SELECT list(r ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS r FROM range(256) AS g(i))),
+hexed AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+summed AS (SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, (2 * k + 1)::INT, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::INT])), 4294967295) AS text_crc32 FROM hexed, rem)"""
+
+
+@query("op1_sampled_splitters", f"""
+WITH {CRC_SQL},
+sized AS (SELECT doc_id, md5(text) AS g, strlen(text) + 1 AS size, text_crc32 FROM summed),
+placed AS (SELECT *, (sum(size) OVER ())::HUGEINT AS total, (sum(size) OVER (PARTITION BY g))::HUGEINT AS gs, (sum(size) OVER (ORDER BY g))::HUGEINT AS ge,
+    (sum(size) OVER (ORDER BY g, doc_id ROWS UNBOUNDED PRECEDING))::HUGEINT AS e, row_number() OVER (ORDER BY g, doc_id) AS rank FROM sized),
+dealt AS (SELECT *, least(7, (CASE WHEN gs * 1600 <= total THEN ge - gs ELSE e - size END) * 8 // total)::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM dealt""")
+def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``bytes``; a null text counts as an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, sf_dir).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text_md5"))
+    made = shards.shards(docs, F.col("text_md5"), F.col("doc_id"), F.col("size"), 8)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
