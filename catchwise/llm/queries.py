@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwise.llm import bpe, mixing, shards
+from catchwise.llm import bpe, mixing, pii, secrets, shards
 from catchwise.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,15 @@ def op5_subset_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     made = mixing.mix(docs, "doc_id", "source", mixing.words("text"))
     return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op6_multipart_secrets")
+def op6_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query("op2_feistel_pseudonyms")
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), pii.DEMO_KEY)
+    return made.select("doc_id", "text", "n_found", "spans")
