@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwise.llm import bpe, mixing, pii, secrets, shards
+from catchwise.llm import bpe, language, mixing, pii, quality, secrets, shards
 from catchwise.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,19 @@ def op6_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), pii.DEMO_KEY)
     return made.select("doc_id", "text", "n_found", "spans")
+
+
+@query("op7_viterbi_language")
+def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs.select("doc_id", "text", "lang"), "lang", quality.fold("doc_id", 3) != 1)
+    made = language.identify(docs.select("doc_id", "text"), model)
+    return made.select("doc_id", (quality.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_byte_cnn")
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", quality.fold("doc_id", 5) != 0)
+    made = quality.classify(docs, net)
+    return made.select("doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
