@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwise.llm import bpe, language, mixing, pii, quality, secrets, shards
+from catchwise.llm import bpe, language, minhash, mixing, pii, quality, secrets, shards
 from catchwise.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,19 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", quality.fold("doc_id", 5) != 0)
     made = quality.classify(docs, net)
     return made.select("doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op3_circulant_minhash", """
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+listed AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [md5(array_to_string(w, ' '))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i + 3], ' ')))) END AS s FROM words),
+sized AS (SELECT doc_id, len(s) AS n_shingles, s FROM listed),
+flat AS (SELECT doc_id, unnest(s) AS x FROM sized),
+shared AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT i, j FROM shared JOIN sized p ON p.doc_id = i JOIN sized q ON q.doc_id = j WHERE 100 * c >= 80 * (p.n_shingles + q.n_shingles - c)),
+sym AS (SELECT i AS a, j AS b FROM link UNION ALL SELECT j, i FROM link),
+walk(a, b) AS (SELECT a, b FROM sym UNION SELECT walk.a, sym.b FROM walk JOIN sym ON sym.a = walk.b),
+least_of AS (SELECT a, min(b) AS m FROM walk GROUP BY a)
+SELECT doc_id, n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept FROM sized LEFT JOIN least_of ON a = doc_id""")
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(documents(spark, sf_dir).select("doc_id", "text"), 4, 80)
