@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwise.llm import bpe, language, minhash, mixing, pii, quality, secrets, shards
+from catchwise.llm import bpe, hyperplanes, language, minhash, mixing, pii, quality, secrets, shards
 from catchwise.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,16 @@ least_of AS (SELECT a, min(b) AS m FROM walk GROUP BY a)
 SELECT doc_id, n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept FROM sized LEFT JOIN least_of ON a = doc_id""")
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(documents(spark, sf_dir).select("doc_id", "text"), 4, 80)
+
+
+@query("op4_sign_hashing", """
+WITH RECURSIVE good AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS i, b.vec_id AS j FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+walk(a, b) AS (SELECT i, j FROM link UNION SELECT walk.a, link.j FROM walk JOIN link ON link.i = walk.b),
+least_of AS (SELECT a, min(b) AS m FROM walk GROUP BY a),
+many AS (SELECT i, count(*) AS n FROM link GROUP BY i)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN many ON i = vec_id LEFT JOIN least_of ON a = vec_id""")
+def op4_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplanes.groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label", 0.93)
