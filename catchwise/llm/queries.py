@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwise.llm import bpe, hyperplanes, language, minhash, mixing, pii, quality, secrets, shards
+from catchwise.llm import bpe, forest, hyperplanes, language, minhash, mixing, pii, quality, secrets, shards
 from catchwise.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,12 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_
 FROM embeddings LEFT JOIN many ON i = vec_id LEFT JOIN least_of ON a = vec_id""")
 def op4_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperplanes.groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label", 0.93)
+
+
+@query("op8_projection_forest", """
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM good q JOIN good c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs QUALIFY rank <= 20""")
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
