@@ -14,6 +14,7 @@ empty table. An input column named like an output column is replaced.
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -201,6 +202,16 @@ def codec(content: str) -> Codec:
     return _codecs[key]
 
 
+def tokenizer_path() -> str:
+    """Place of the public vocabulary file; ``BPE_TOKENIZER`` overrides it."""
+    given = os.environ.get("BPE_TOKENIZER")
+    if given:
+        return given
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def tokenizer_file(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from catchwise.llm import bpe, forest, hyperplanes, language, minhash, mixing, pii, quality, secrets, shards
 from catchwise.llm.common import documents
 
@@ -25,19 +25,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
-    """Place of the public vocabulary file; ``BPE_TOKENIZER`` overrides it."""
-    given = os.environ.get("BPE_TOKENIZER")
-    if given:
-        return given
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
+    made = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), bpe.tokenizer_path())
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -136,3 +126,8 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs QUALIFY rank <= 20""")
 def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
