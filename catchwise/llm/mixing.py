@@ -9,7 +9,8 @@ is ranked in one task, and the documents themselves are never shuffled.
 
 Null sizes count as 0, null sources form a source of their own (last in order), null ids come first. Repeated rows
 count singly: where the last place of a length falls among rows with one id, so many of them are taken as fit. A
-source without words has target 0. Columns of the input named like an added column are replaced.
+source without words has target 0. Columns of the input named like an added column are replaced; names that begin
+with an underscore are reserved.
 """
 
 from __future__ import annotations
@@ -59,24 +60,26 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFra
 
 
 def knapsack(lengths: Iterable[int], counts: Iterable[int], budget: int) -> dict[int, int]:
-    """How many of each length to take so that their sum comes as near below ``budget`` as can be."""
-    reached = np.zeros(budget + 1, dtype=bool)
+    """How many of each length to take so that their sum comes as near to ``budget`` as can be (the lower of two)."""
+    room = 2 * budget  # beyond it, nothing is nearer than taking none
+    reached = np.zeros(room + 1, dtype=bool)
     reached[0] = True
-    by = np.full(budget + 1, -1, dtype=np.int64)
+    by = np.full(room + 1, -1, dtype=np.int64)
     bundles: list[tuple[int, int]] = []
     for length, count in zip(lengths, counts, strict=True):
-        left, k = min(int(count), budget // max(length, 1)), 1
+        left, k = min(int(count), room // max(length, 1)), 1
         while left > 0 and length > 0 and not reached[budget]:
             size = min(k, left)
             new = np.zeros_like(reached)
-            new[size * length:] = reached[: budget + 1 - size * length]
+            new[size * length:] = reached[: room + 1 - size * length]
             new &= ~reached
             by[new] = len(bundles)
             bundles.append((length, size))
             reached |= new
             left -= size
             k *= 2
-    at, taken = int(np.flatnonzero(reached)[-1]), {}
+    sums = np.flatnonzero(reached)
+    at, taken = int(sums[np.argmin(np.abs(sums - budget))]), {}
     while at:
         length, size = bundles[by[at]]
         taken[length] = taken.get(length, 0) + size
@@ -117,9 +120,9 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mix(df: DataFrame, doc_id: str, source: str, size: Column) -> DataFrame:
     """``df`` with ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix takes the row)."""
-    added = ("size", "source_size", "target", "copies")
-    keyed = df.withColumns({
-        "_size": F.coalesce(size.cast("long"), F.lit(0)), "_source": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")),
+    added = {"size", "source_size", "target", "copies"} - {doc_id, source}
+    keyed = df.select(*[c for c in df.columns if c not in added], size.cast("long").alias("_words")).withColumns({
+        "_size": F.coalesce("_words", F.lit(0)), "_source": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")),
         "_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_draw": F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("long"), F.lit(SEED)), 1)})
     rows = Cut(keyed.select(F.col(source).cast("string").alias("source"), "_source", "_size", "_id", "_draw")).df
     counts = Cut(rows.groupBy("_source", "source", "_size").agg(F.count("*").alias("n"))).df
@@ -141,19 +144,21 @@ def mix(df: DataFrame, doc_id: str, source: str, size: Column) -> DataFrame:
     whole = planned.df.join(
         ends.select("_source", "_size", F.col("_draw").alias("last_draw"), F.col("_id").alias("last_id"), F.when(F.col("_alike") > F.col("place") - F.col("_first") + 1, F.col("place") - F.col("_first") + 1).alias("last_of")),
         ["_source", "_size"], "left")
-    whole = Cut(whole.select("_source", "_size", "source_size", "target", "repeats", F.when(F.col("take") == F.col("n"), 1).when(F.col("take") == 0, 0).alias("all_taken"), "last_draw", "last_id", "last_of"))
+    whole = Cut(whole.select(
+        "_source", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("repeats").alias("_repeats"),
+        F.when(F.col("take") == F.col("n"), 1).when(F.col("take") == 0, 0).alias("_all_taken"), F.col("last_draw").alias("_last_draw"), F.col("last_id").alias("_last_id"), F.col("last_of").alias("_last_of")))
 
     kept = [c for c in df.columns if c not in added]
     met = keyed.join(side(whole), ["_source", "_size"])
-    key, end = F.struct("_draw", "_id"), F.struct(F.col("last_draw").alias("_draw"), F.col("last_id").alias("_id"))
-    on_end = F.col("last_of").isNotNull() & (key == end)
-    once = F.coalesce(F.col("all_taken"), F.when(key <= end, 1).otherwise(0))
-    out = lambda frame, more: frame.select(*kept, F.col("_size").alias("size"), "source_size", "target", (F.col("repeats") + more).cast("int").alias("copies"))
-    if whole.df.filter("last_of is not null").isEmpty():
+    key, end = F.struct("_draw", "_id"), F.struct(F.col("_last_draw").alias("_draw"), F.col("_last_id").alias("_id"))
+    on_end = F.col("_last_of").isNotNull() & (key == end)
+    once = F.coalesce(F.col("_all_taken"), F.when(key <= end, 1).otherwise(0))
+    out = lambda frame, more: frame.select(*kept, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_repeats") + more).cast("int").alias("copies"))
+    if whole.df.filter("_last_of is not null").isEmpty():
         return out(met, once)
     place = F.row_number().over(W.partitionBy("_source", "_size").orderBy("_draw"))
     tied = met.filter(on_end).withColumn("_place", place)
-    return out(met.filter(~F.coalesce(on_end, F.lit(False))), once).unionByName(out(tied, F.when(F.col("_place") <= F.col("last_of"), 1).otherwise(0)))
+    return out(met.filter(~F.coalesce(on_end, F.lit(False))), once).unionByName(out(tied, F.when(F.col("_place") <= F.col("_last_of"), 1).otherwise(0)))
 
 
 def repeat_rows(df: DataFrame, copies: str = "copies") -> DataFrame:

@@ -11,7 +11,7 @@ ones are cut where the shard is full. The result depends on the rows alone, not
 
 Null keys count as empty or smallest, null or negative sizes as 0; rows equal in every key are interchangeable and
 dealt out by a number given when the table is first written. An empty table gives an empty table. Columns of the
-input named ``shard`` or ``slot`` are replaced.
+input named ``shard`` or ``slot`` are replaced; names that begin with an underscore are reserved.
 """
 
 from __future__ import annotations

@@ -21,10 +21,17 @@ from catchwise.runtime import Cut
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` over ``docs`` whose own columns of these names are renamed meanwhile; it returns ``docs``' columns."""
+    held = {c: f"aside_{c}" for c in docs.columns if c in names}
+    renamed = docs.withColumnsRenamed(held)
+    return work(renamed).select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = quality.train(docs, labels, "quality", quality.fold("doc_id", 5) != 0)
-    return quality.classify(docs, net).filter("predicted = 1").select(*docs.columns)
+    return _aside(docs, ("score", "predicted"), lambda d: quality.classify(d, net).filter("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +46,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat_rows(mixing.mix(docs, "doc_id", "source", mixing.words("text"))).select(*docs.columns)
+    return _aside(docs, ("size", "source_size", "target", "copies"), lambda d: mixing.repeat_rows(mixing.mix(d, "doc_id", "source", mixing.words("text"))))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
