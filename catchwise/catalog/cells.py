@@ -307,8 +307,12 @@ REC = FO + """, raw AS MATERIALIZED (SELECT o.point_id, c.row, c.col FROM couts
  sz AS MATERIALIZED (SELECT point_id, count(*) AS rc FROM raw GROUP BY 1),
  outs AS MATERIALIZED (SELECT DISTINCT m.point_id, m.row, m.col FROM mem m JOIN nest n ON n.up = m.point_id WHERE NOT EXISTS (SELECT 1 FROM mem q WHERE q.point_id = n.dn AND q.row = m.row AND q.col = m.col)),
  cl AS MATERIALIZED (SELECT * FROM mem EXCEPT SELECT * FROM outs),
- own AS MATERIALIZED (SELECT row, col, arg_max(point_id, (rc, point_id)) AS ow FROM cl JOIN sz USING (point_id) GROUP BY 1, 2),
- jd AS MATERIALIZED (SELECT cl.*, cl.point_id = ow OR EXISTS (SELECT 1 FROM nest n WHERE n.up = cl.point_id AND n.dn = ow) AS keep FROM cl JOIN own USING (row, col))"""
+ rk AS MATERIALIZED (SELECT row, col, point_id, coalesce(inside, []) AS inside, row_number() OVER (PARTITION BY row, col ORDER BY rc DESC, point_id) AS r
+   FROM cl JOIN sz USING (point_id) LEFT JOIN (SELECT up AS point_id, list(dn) AS inside FROM nest GROUP BY 1) USING (point_id)),
+ turn AS (SELECT row, col, point_id, r, true AS keep, [point_id] AS held FROM rk WHERE r = 1
+  UNION ALL SELECT k.row, k.col, k.point_id, k.r, list_has_all(k.inside, t.held), CASE WHEN list_has_all(k.inside, t.held) THEN list_append(t.held, k.point_id) ELSE t.held END
+   FROM rk k JOIN turn t ON t.row = k.row AND t.col = k.col AND k.r = t.r + 1),
+ jd AS MATERIALIZED (SELECT row, col, point_id, keep FROM turn)"""
 
 
 @query("g21_reconcile", REC + " SELECT point_id, CAST(row * 125 + col AS BIGINT) AS k FROM jd WHERE keep")

@@ -119,8 +119,7 @@ def r7(spark, sf):
     days = rain.select("date").distinct()
     et0 = areas.select("point_id", F.lit(1).alias("_j")).join(days.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.lit(1).alias("_j")), "_j").select(
         "point_id", F.explode(F.sequence("a", "b")).alias("date")).withColumn("et0_mm", 3 + F.sin(2 * 3.141592653589793 * F.dayofyear("date") / 365))
-    covered = areas.filter("area < 1.8")
-    out = pc.halfmonth_climate(rain, weights.join(covered.select("point_id"), "point_id", "left_semi"), covered, et0)
+    out, _ = pc.halfmonth_climate(rain, weights, areas, et0)
     return rounded(out.select("point_id", "year", "period", "days", "p_mm", "et0_mm"), 5)
 
 
@@ -173,7 +172,7 @@ def r11_auto(spark, sf):
 
 @query("r12_learning_model")
 def r12(spark, sf):
-    out = pm.learning_model(tb.climate(spark, sf), ss._static(spark, sf), ss._observed(spark, sf), trees=5)
+    out = pm.learning_model(tb.climate(spark, sf), ss._static(spark, sf), ss._observed(spark, sf))
     return out["validation"]
 
 

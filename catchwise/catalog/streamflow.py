@@ -570,11 +570,11 @@ def m13(spark, sf):
 @query("m14_train_runoff")
 def m14(spark, sf):
     feats = ml.ml_features(tb.climate(spark, sf), _static(spark, sf))
-    model = ml.train_runoff(ml.samples(feats, _observed(spark, sf)), trees=20)
+    model = ml.train_runoff(ml.samples(feats, _observed(spark, sf)))
     return ml.predict_runoff(model, feats)
 
 
 @query("m15_ml_validate")
 def m15(spark, sf):
     feats = ml.ml_features(tb.climate(spark, sf), _static(spark, sf))
-    return ml.validate(ml.samples(feats, _observed(spark, sf)), trees=5)
+    return ml.validate(ml.samples(feats, _observed(spark, sf)))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,44 +79,33 @@ def smooth(vertices: DataFrame, tolerance_m: float, *, closed: bool = True) -> D
     return out.select("ring_id", "seq", F.when(fixed, F.col("x")).otherwise(fit("x")).alias("x"), F.when(fixed, F.col("y")).otherwise(fit("y")).alias("y"))
 
 
+def _heights(xy: np.ndarray, closed: bool) -> np.ndarray:
+    """Height of every vertex over the line through its two neighbours; the ends of a line stay."""
+    before, after = np.roll(xy, 1, axis=0), np.roll(xy, -1, axis=0)
+    base, out = after - before, xy - before
+    length = np.hypot(base[:, 0], base[:, 1])
+    height = np.divide(np.abs(base[:, 0] * out[:, 1] - base[:, 1] * out[:, 0]), length, out=np.zeros(len(xy)), where=length > 1e-12)
+    if not closed:
+        height[[0, -1]] = np.inf
+    return height
+
+
 def _simplify_ring(pdf: pd.DataFrame, tolerance: float, closed: bool) -> pd.DataFrame:
-    """Drop the vertex with the smallest triangle height until all heights reach the tolerance."""
-    pdf = pdf.sort_values("seq").reset_index(drop=True)
-    n, least = len(pdf), 3 if closed else 2
-    if n <= max(least, 3) and not (closed and n > 3):
-        return pdf
-    xy = pdf[["x", "y"]].to_numpy()
-    left, right = np.arange(n) - 1, np.arange(n) + 1
-    if closed:
-        left[0], right[-1] = n - 1, 0
-    alive = np.ones(n, bool)
-
-    def height(i):
-        a, c = left[i], right[i]
-        if a < 0 or c >= n:
-            return math.inf
-        base = math.hypot(*(xy[c] - xy[a]))
-        return abs(float(np.cross(np.append(xy[i] - xy[a], 0), np.append(xy[c] - xy[a], 0))[2])) / base if base > 1e-12 else 0.0
-
-    queue = [(height(i), i) for i in range(n)]
-    heapq.heapify(queue)
-    remaining = n
-    while queue and remaining > least:
-        h, i = heapq.heappop(queue)
-        if not alive[i]:
-            continue
-        now = height(i)
-        if abs(now - h) > 1e-9:
-            heapq.heappush(queue, (now, i))
-            continue
-        if now >= tolerance:
+    """Rounds of whole-array steps: every vertex whose height is under the tolerance and the least among its neighbours'
+    goes, the earlier one of equals; heights are then taken anew. Rings keep three vertices, lines two."""
+    pdf = pdf.sort_values("seq", ignore_index=True)
+    xy, kept, least = pdf[["x", "y"]].to_numpy(float), np.arange(len(pdf)), 3 if closed else 2
+    while len(kept) > least:
+        height = _heights(xy[kept], closed)
+        place = np.lexsort((kept, height)).argsort()
+        goes = (height < tolerance) & (place < np.roll(place, 1)) & (place < np.roll(place, -1))
+        spare = len(kept) - least
+        if goes.sum() > spare:
+            goes &= place < np.sort(place[goes])[spare]
+        if not goes.any():
             break
-        alive[i] = False
-        remaining -= 1
-        right[left[i]], left[right[i]] = right[i], left[i]
-        for j in (left[i], right[i]):
-            heapq.heappush(queue, (height(j), j))
-    return pdf[alive]
+        kept = kept[~goes]
+    return pdf.iloc[kept]
 
 
 def simplify(vertices: DataFrame, tolerance_m: float = SIMPLIFY_M, *, closed: bool = True) -> DataFrame:

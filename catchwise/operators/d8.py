@@ -211,8 +211,10 @@ def reconcile(members: DataFrame, nested: DataFrame, sizes: DataFrame) -> tuple[
 
     ``members``: ``point_id, row, col``; ``nested``: ordered pairs ``upstream_point,
     downstream_point``; ``sizes``: ``point_id, raw_cells``.  An upstream catchment loses
-    cells outside its downstream one; a cell contested by unrelated branches stays with
-    the larger raw catchment (then the smaller id).  Returns kept members and QA counts.
+    cells outside its downstream one; of any two unrelated branches in a cell the larger raw
+    catchment (then the smaller id) keeps it.  Kept members of a cell form a chain of nested
+    catchments, so one pass from the largest down needs to look at the last one kept only.
+    Returns kept members and QA counts.
     """
     keyed = members.select("point_id", cell_id(F.col("row"), F.col("col")).alias("node"))
     need = nested.select(F.col("upstream_point").alias("point_id"), "downstream_point").distinct()
@@ -220,13 +222,17 @@ def reconcile(members: DataFrame, nested: DataFrame, sizes: DataFrame) -> tuple[
     have = keyed.select(F.col("point_id").alias("downstream_point"), "node")
     outside = asked.join(have, ["downstream_point", "node"], "left_anti").select("point_id", "node").distinct()
     clipped = keyed.join(outside, ["point_id", "node"], "left_anti")
-    # two members of a cell are in conflict unless one drains into the other: a cell keeps
-    # the chain of the largest member, and every other member must be nested with it
-    ranked = clipped.join(small(sizes), "point_id")
-    owner = ranked.groupBy("node").agg(F.max(F.struct("raw_cells", F.col("point_id"))).alias("_w")).select("node", F.col("_w.point_id").alias("_own"))
-    rel = nested.select(F.col("upstream_point").alias("point_id"), F.col("downstream_point").alias("_own"), F.lit(True).alias("_ok"))
-    judged = clipped.join(owner, "node").join(small(rel), ["point_id", "_own"], "left")
-    keep = (F.col("point_id") == F.col("_own")) | F.col("_ok").isNotNull()
+    below = nested.groupBy(F.col("upstream_point").alias("point_id")).agg(F.collect_set("downstream_point").alias("into"))
+    known = small(sizes.join(below, "point_id", "left"))
+    ranked = clipped.join(known, "point_id").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(
+        (-F.col("raw_cells")).alias("order"), "point_id", F.coalesce("into", F.array().cast("array<string>")).alias("into")))).alias("members"))
+    kind = "struct<last:string,kept:array<string>>"
+    chain = F.aggregate(
+        "members", F.struct(F.lit(None).alias("last"), F.array().alias("kept")).cast(kind),
+        lambda seen, m: F.when(seen["last"].isNull() | F.array_contains(m["into"], seen["last"]), F.struct(m["point_id"].alias("last"), F.array_append(seen["kept"], m["point_id"]).alias("kept")).cast(kind)).otherwise(seen))
+    judged = ranked.select("node", F.transform("members", lambda m: m["point_id"]).alias("all"), chain["kept"].alias("kept_points"))
+    judged = cut(judged.select("node", "kept_points", F.explode("all").alias("point_id")))
+    keep = F.array_contains("kept_points", F.col("point_id"))
     kept = judged.filter(keep).select("point_id", "node")
     qa = keyed.groupBy("point_id").agg(F.count("*").alias("raw_cells")).join(
         outside.groupBy("point_id").agg(F.count("*").alias("outside_cells")), "point_id", "left").join(

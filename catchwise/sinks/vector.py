@@ -104,15 +104,20 @@ KML_HEAD = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis
 KML_TAIL = "</Document></kml>"
 
 
+EXPORT_BUCKETS = 64
+
+
 def export(layers: dict[str, DataFrame], root: str, *, formats: list[str]) -> list[str]:
-    """Write each layer per format, split by point and mode; returns the folders.
+    """Write each layer per format, split by mode and a hash bucket of the point; returns the folders.
 
-    Layers carry ``point_id`` and ``mode`` (smoothed or raw).
+    Layers carry ``point_id`` and ``mode`` (smoothed or raw).  A bucket's file is ordered by
+    point, so one outlet is read from one file and folders do not grow with the outlets.
     """
     out = []
     for name, df in layers.items():
         for fmt in formats:
             path = f"{root}/{name}/{fmt}"
-            df.write.mode("overwrite").partitionBy("point_id", "mode").format(fmt).save(path)
+            split = df.withColumn("bucket", F.pmod(F.xxhash64("point_id"), F.lit(EXPORT_BUCKETS)))
+            split.repartition("mode", "bucket").sortWithinPartitions("mode", "bucket", "point_id").write.mode("overwrite").partitionBy("mode", "bucket").format(fmt).save(path)
             out.append(path)
     return out

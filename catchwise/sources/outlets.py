@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Template headers, compared without case (fixed values)
 HEADERS = {"nama titik": "label", "nama sungai": "river_name", "lintang": "lat", "bujur": "lon"}
-MAX_POINTS = 100
 
 
 def ingest_outlets(raw: DataFrame, *, max_points: int | None = None) -> tuple[DataFrame, DataFrame]:

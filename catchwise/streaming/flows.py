@@ -16,13 +16,16 @@ from catchwise.operators.water_balance import PARAMETERS, walk
 def halfmonth_totals(daily: DataFrame, *, lateness: str = "10 days") -> DataFrame:
     """Half-month rain of an arriving daily feed ``cell, ts, mm``.
 
-    A period is emitted once the watermark passes its last day; ``complete`` tells whether
-    every day arrived, and incomplete periods are reported, never filled with zeros.
+    ``lateness`` is how far a row may lag behind the newest one.  The event time of a period is
+    its last day, up to sixteen days ahead of its rows, so the watermark waits that much
+    longer and no row within the allowance is dropped.  In append mode a period is emitted
+    once closed; in update mode each batch also reports what is still open.  ``complete``
+    tells whether every day arrived; gaps are never filled with zeros.
     """
     day = F.to_date("ts")
     year, p = F.year(day), period(day)
     last = F.date_add(period_start(year, p), halfmonth_days(year, p) - 1).cast("timestamp")
-    keyed = daily.withColumn("period_end", last).withWatermark("period_end", lateness)
+    keyed = daily.withColumn("period_end", last).withWatermark("period_end", f"{int(lateness.split()[0]) + 16} days")
     # at most sixteen dates belong to a period, so the set of days stays tiny
     agg = keyed.groupBy("period_end", "cell").agg(F.sum("mm").alias("mm"), F.size(F.collect_set(F.to_date("ts"))).alias("days_seen"))
     end = F.to_date("period_end")
