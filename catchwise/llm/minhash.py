@@ -8,8 +8,8 @@ permutations give all ``COORDINATES``.
 Documents with one word sequence are one *unit*. Units that share a band of ``ROWS`` coordinates meet in a bucket:
 
 1. Every unit is compared with its bucket's smallest unit; links found on the full sets give components.
-2. Where a bucket still holds several components, the units outside its first unit's component are compared with the
-   bucket's units of other components, so no link between components is lost, and copies are not compared in pairs.
+2. Where a bucket still holds several components, its units' whole sets are compared block by block inside tasks, and
+   only links that join components leave them, so no link between components is lost.
 
 Pairs are dropped before verification only if their sizes rule a link out, or if so few of 128 signature bits agree
 that a link has odds under one in 10^10. Links are decided on whole sets; the chance that two sets at the threshold
@@ -24,6 +24,7 @@ from __future__ import annotations
 from hashlib import blake2b, md5
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ UNIVERSE, COORDINATES, BANDS, ROWS = 1 << 20, 128, 25, 5
 #: Of 128 one-bit coordinates, a pair at the threshold agrees on 115 on average, with a deviation of 3.4.
 AGREE = 92
 REMEMBERED = 500_000
+#: Units and shingles that a block of a bucket is meant to hold at most.
+BLOCK_UNITS, BLOCK_SHINGLES = 512, 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,6 +155,59 @@ def _linked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return map_text(met, ["set_a", "set_b"], run, "linked boolean").filter("linked").select("a", "b")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: shingles that only one set holds are left out, the others are multiplied in slices."""
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[column]
+    row, column = row[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(shared.sum()), 4096):
+        low, high = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), dtype=np.float32)
+        part[row[low:high], column[low:high] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _bridges(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components which share a bucket; ``rows`` has (band, unit, root, blocks).
+
+    A bucket is dealt out in blocks and every two blocks meet in one task, which compares whole sets exactly and
+    returns a spanning forest of the links that it finds between components, so a task returns fewer rows than it reads.
+    """
+    own = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", other).select("band", "unit", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit, root = pdf["unit"].to_numpy(), pdf["root"].to_numpy()
+        sets = [np.frombuffer(x, dtype="<u8") for x in pdf["shingles"]]
+        size = np.array([len(s) for s in sets], dtype=np.float64)
+        both = overlaps(sets).astype(np.float64)
+        alike = root[:, None] == root[None, :]
+        near = alike | (100 * both >= percent * (size[:, None] + size[None, :] - both))
+        out: list[tuple[int, int]] = []
+        fresh = np.ones(len(unit), dtype=bool)
+        for start in range(len(unit)):
+            queue = [start] if fresh[start] else []
+            fresh[start] = False
+            while queue:
+                at = queue.pop()
+                for k in np.flatnonzero(near[at] & fresh):
+                    fresh[k] = False
+                    queue.append(int(k))
+                    if not alike[at, k]:
+                        out.append((int(unit[at]), int(unit[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(held, "unit").groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df`` (doc_id, text)."""
     marked = Cut(marks(df, width))
@@ -165,20 +221,17 @@ def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
     stars = members.df.filter((F.col("u.unit") != F.col("f.unit")) & _alike("u", "f", percent)).select(F.col("u.unit").alias("a"), F.col("f.unit").alias("b")).distinct()
 
     pairs = Cut(stars)
-    links = Cut(_linked(pairs.df, _sets_of(df, units.df, pairs.df, width), percent))
+    links = Cut(_linked(pairs.df, _sets_of(df, units.df, pairs.df.select(F.explode(F.array("a", "b")).alias("unit")), width), percent))
     pairs.drop()
     roots = Cut(components(links.df))
-    of_unit = lambda unit, name: roots.df.select(F.col("id").alias(unit), F.col("root").alias(name))
-    placed = (members.df.withColumns({"unit": F.col("u.unit"), "first": F.col("f.unit")}).join(of_unit("unit", "root"), "unit", "left").join(of_unit("first", "first_root"), "first", "left")
-              .select("band", "u", "first", F.coalesce("root", "unit").alias("root"), F.coalesce("first_root", "first").alias("first_root")))
-    placed = Cut(placed)
-    others = placed.df.filter("root <> first_root").select("band", F.col("u").alias("x"), F.col("root").alias("root_x"))
-    apart = others.join(placed.df.filter("u.unit <> first").select("band", F.col("u").alias("y"), F.col("root").alias("root_y"), (F.col("root") != F.col("first_root")).alias("other")), "band")
-    apart = apart.filter((F.col("root_x") != F.col("root_y")) & (~F.col("other") | (F.col("x.unit") < F.col("y.unit"))) & _alike("x", "y", percent))
-    more = Cut(apart.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct())
+    placed = Cut(members.df.select("band", F.col("u.unit").alias("unit"), F.col("u.n").alias("n")).join(roots.df.withColumnRenamed("id", "unit"), "unit", "left")
+                 .select("band", "unit", "n", F.coalesce("root", "unit").alias("root")))
     members.drop()
-    if not more.df.isEmpty():
-        found = Cut(_linked(more.df, _sets_of(df, units.df, more.df, width), percent))
+    mixed = placed.df.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("load")).filter("least <> most")
+    mixed = mixed.select("band", F.ceil(F.greatest(F.col("rows") / BLOCK_UNITS, F.col("load") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    open_rows = Cut(placed.df.join(mixed, "band").select("band", "unit", "root", "blocks"))
+    if not open_rows.df.isEmpty():
+        found = Cut(_bridges(open_rows.df, _sets_of(df, units.df, open_rows.df.select("unit"), width), percent))
         if not found.df.isEmpty():
             roots = Cut(components(links.df.unionByName(found.df)))
 
@@ -190,10 +243,9 @@ def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _sets_of(df: DataFrame, units: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(unit, shingles) of the units in ``pairs``, from the texts of their first documents."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    wanted = Cut(units.select("unit", "rep", "copy").join(asked, "unit").select("unit", "rep", "copy"))
+def _sets_of(df: DataFrame, units: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(unit, shingles) of the units in ``asked``, from the texts of their first documents."""
+    wanted = Cut(units.select("unit", "rep", "copy").join(asked.distinct(), "unit").select("unit", "rep", "copy"))
     texts = df.join(side(Cut(wanted.df.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
     return Cut(sets(texts, width).join(wanted.df.withColumnRenamed("rep", "doc_id"), ["doc_id", "copy"]).groupBy("unit").agg(F.first("shingles").alias("shingles"))).df
 
