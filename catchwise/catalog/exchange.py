@@ -212,8 +212,19 @@ def k8(spark, sf):
     return vc.drop_empty(df)
 
 
+def _k9_value(c):
+    return f"round({c}, 6)" if c in [*tb.CATCHMENT_EXPRS, "drainage_density", "stream_frequency", "form_factor"] else "CAST(NULL AS DOUBLE)"
+
+
+def _k9_reading(c):
+    if c not in rp.BANDS:
+        return f"'{rp.READINGS[c]}'"
+    v = _k9_value(c)
+    return f"CASE WHEN {v} IS NULL THEN NULL " + " ".join(f"WHEN {v} >= {b} THEN '{n}'" if b is not None else f"ELSE '{n}'" for b, n in rp.BANDS[c]) + " END"
+
+
 @query("k9_parameter_rows", f"WITH {tb.CATCHMENTS_SQL}, b AS (SELECT *, area_km2 / pow(flow_length_km, 2) AS form_factor FROM catchments) " + " UNION ALL ".join(
-    f"SELECT point_id, {i} AS position, '{lab}' AS label, {('round(' + c + ', 6)') if c in list(tb.CATCHMENT_EXPRS) + ['drainage_density', 'stream_frequency', 'form_factor'] else 'CAST(NULL AS DOUBLE)'} AS value, '{u}' AS unit, '{t}' AS interpretation FROM b" for i, (lab, c, u, t) in enumerate(rp.PARAMETERS, 1)))
+    f"SELECT point_id, {i} AS position, '{lab}' AS label, {_k9_value(c)} AS value, '{u}' AS unit, {_k9_reading(c)} AS interpretation FROM b" for i, (lab, c, u) in enumerate(rp.PARAMETERS, 1)))
 def k9(spark, sf):
     keep = ["point_id", *tb.CATCHMENT_EXPRS, "drainage_density", "stream_frequency", "form_factor"]
     df = tb.catchments(spark, sf).withColumn("form_factor", F.col("area_km2") / F.col("flow_length_km") ** 2)
