@@ -6,8 +6,8 @@ counts and, for rarer words, from its letter trigrams; one word's evidence is bo
 over the words of a text, with ``SWITCH`` taken off for each change of language, labels spans; the text's language is
 the one with most letters, its score their share. All texts of a block are decoded in step, longest first.
 
-The model is counted by Spark on at most ``SAMPLE`` texts a language, picked by the hash of their id (a bound on the
-fit only); every language that occurs in the training rows is learned. Null text, and text without a letter, is
+The model is counted by Spark on about ``SAMPLE`` texts a language, picked by the hash of their id (a bound on the fit
+only); every language that occurs in the training rows is learned. Null text, and text without a letter, is
 ``und`` with score 0. With no training row every text is ``und``. Repeated rows give repeated results; input columns
 named like an added column are replaced.
 """
@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from catchwise.llm.common import map_text
 
@@ -65,10 +64,10 @@ class Model:
 
 def examples(docs: DataFrame, lang: str, keep: Column) -> DataFrame:
     """(lang, text) of the training sample."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & keep)
-    first = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    picked = known.select("doc_id", F.col(lang).cast("string").alias("_lang")).withColumn("_n", first).filter(F.col("_n") <= SAMPLE).select("doc_id", "_lang").distinct()
-    own = known.select("doc_id", F.col(lang).cast("string").alias("_lang"), "text").join(F.broadcast(picked), ["doc_id", "_lang"])  # at most SAMPLE rows a language
+    known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & keep).select("doc_id", F.col(lang).cast("string").alias("_lang"), "text")
+    rates = known.groupBy("_lang").agg((F.lit(float(SAMPLE)) / F.count("*")).alias("_rate"))  # a row a language
+    uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) / F.lit(float(1 << 53))
+    own = known.join(F.broadcast(rates), "_lang").filter((uniform < F.col("_rate")) & (F.octet_length("text") <= SAMPLE_BYTES))
     return own.groupBy("doc_id", "_lang").agg(F.min("text").alias("text"))
 
 
