@@ -54,18 +54,27 @@ def test_drop_empty(spark):
 
 
 def test_halfmonth_stream_with_late_rows(spark):
-    root = tempfile.mkdtemp(prefix="spark-")
-    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(70)]
     rows = [(0, d, 1.0) for d in days]
-    late, rest = rows[3:4], rows[:3] + rows[4:]
     schema = "cell int, ts timestamp, mm double"
-    for i, part in enumerate((rest[:14], late + rest[14:31], rest[31:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        src = spark.readStream.schema(schema).parquet(f"{root}/in")
-        q = fl.halfmonth_totals(src).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
-        q.awaitTermination()
-    got = {(r.year, r.period): (r.mm, r.complete) for r in spark.read.parquet(f"{root}/out").collect()}
-    assert got == {(2024, 0): (15.0, True), (2024, 1): (16.0, True), (2024, 2): (15.0, True)}
+    # the fourth day comes with the second file, the fifteenth one day after the next period has begun
+    files = (rows[:3] + rows[4:14] + rows[15:16], rows[3:4] + rows[14:15] + rows[16:31], rows[31:])
+
+    def feed(root, sink, mode):
+        for part in files:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            src = spark.readStream.schema(schema).parquet(f"{root}/in")
+            q = sink(fl.halfmonth_totals(src).writeStream.outputMode(mode)).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+            q.awaitTermination()
+        return spark.read.parquet(f"{root}/out")
+
+    root = tempfile.mkdtemp(prefix="spark-")
+    closed = feed(root, lambda w: w.format("parquet").option("path", f"{root}/out"), "append")
+    assert {(r.year, r.period): (r.mm, r.complete) for r in closed.collect()} == {(2024, 0): (15.0, True), (2024, 1): (16.0, True), (2024, 2): (15.0, True)}
+    root = tempfile.mkdtemp(prefix="spark-")
+    every = feed(root, lambda w: w.foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{root}/out")), "update")
+    newest = {(r.year, r.period): (r.mm, r.complete) for r in every.orderBy("batch").collect()}
+    assert newest == {(2024, 0): (15.0, True), (2024, 1): (16.0, True), (2024, 2): (15.0, True), (2024, 3): (14.0, True), (2024, 4): (10.0, False)}
 
 
 def test_newest_request_wins(spark):

@@ -117,3 +117,37 @@ def test_branch_follows_the_reference_line(spark):
     assert [r.linkno for r in path.orderBy("step").collect()] == [1, 2, 4]
     line = ch.assemble_channel(path, segs).orderBy("step").collect()
     assert [r.station_m for r in line] == [0.0, 1000.0, 2500.0] and not any(r.flipped for r in line)
+
+
+def test_reconcile_siblings_chains_and_ties(spark):
+    from catchwise.operators import d8
+
+    # D holds branches A1 and A2, A2 holds B; E is unrelated; F and G tie
+    nested = [("A1", "D"), ("A2", "D"), ("B", "D"), ("B", "A2")]
+    raw = {"D": 90, "A1": 30, "A2": 20, "B": 10, "E": 60, "F": 5, "G": 5}
+    cells = {0: "D A1 A2 B", 1: "D A2 B", 2: "D E A1", 3: "E F", 4: "F G", 5: "D A1", 6: "D A2 B E"}
+    members = spark.createDataFrame([(p, 0, c) for c, ps in cells.items() for p in ps.split()] + [("A1", 0, 9)], "point_id string, row int, col int")
+    kept, qa = d8.reconcile(members, spark.createDataFrame(nested, "upstream_point string, downstream_point string"), spark.createDataFrame(list(raw.items()), "point_id string, raw_cells long"))
+    got = {}
+    for r in kept.collect():
+        got.setdefault(int(r.node) % 100, set()).add(r.point_id)
+    by_cell = [got[k] for k in sorted(got)]
+    assert by_cell == [{"D", "A1"}, {"D", "A2", "B"}, {"D", "A1"}, {"E"}, {"F"}, {"D", "A1"}, {"D", "A2", "B"}]
+    counts = {r.point_id: (r.outside_cells, r.overlap_cells) for r in qa.collect()}
+    assert counts["A1"] == (1, 0) and counts["A2"] == (0, 1) and counts["E"] == (0, 2) and counts["G"] == (0, 1)
+
+
+def test_rejected_climate_points(spark):
+    import datetime as dt
+
+    from catchwise.plans.catchment import halfmonth_climate
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(31)]
+    rain = [(d, 1, 2.0) for d in days] + [(d, 2, None if d.day == 7 else 1.0) for d in days]
+    rain = spark.createDataFrame(rain, "date date, cell int, mm double")
+    weights = spark.createDataFrame([("ok", 1, 1.0), ("gap", 2, 1.0)], "point_id string, cell int, w double")
+    areas = spark.createDataFrame([("ok", 1.0), ("gap", 1.0), ("away", 1.0)], "point_id string, area double")
+    et0 = spark.createDataFrame([(p, d, 3.0) for p in ("ok", "gap") for d in days], "point_id string, date date, et0_mm double")
+    accepted, rejected = halfmonth_climate(rain, weights, areas, et0)
+    assert {r.point_id for r in accepted.collect()} == {"ok"} and accepted.count() == 2
+    assert {r.point_id for r in rejected.collect()} == {"gap", "away"} and rejected.filter("reason is null").isEmpty()
