@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catchwise.operators import doubling
 from catchwise.operators.spatial import _projected, near_segments
-from catchwise.runtime import cut, small
+from catchwise.runtime import cut, small, union_all
 
 
 def _distance_to_link(points: DataFrame, segs: DataFrame, link_col: str) -> DataFrame:
@@ -88,11 +88,15 @@ def link_fit(segs: DataFrame, reference: DataFrame, reference_m: float) -> DataF
     f = F.col("i") / (F.col("_n") - 1)
     pts = cut(s.select("linkno", "part", "seq", "i", "_len", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y")))
     ids = ["linkno", "part", "seq", "i"]
-    # beyond four scales the kernel is below 1e-6, so farther samples simply score zero
-    reach = max(4 * scale, corridor)
-    hit = near_segments(pts.select(*ids, "x", "y"), reference.select("seg_id", "station", "x1", "y1", "x2", "y2"), reach)
+    # the nearest segment counts however far it lies: rings grow until every sample has one
     at = F.col("station") + F.col("t") * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    best = hit.groupBy(*ids).agg(F.min(F.struct(F.round("d", 7).alias("d"), at.alias("s"))).alias("_b"))
+    line = cut(reference.select("seg_id", "station", "x1", "y1", "x2", "y2"))
+    reach, missing, found = max(4 * scale, corridor), pts.select(*ids, "x", "y").filter("x is not null and y is not null"), []
+    while reach < 1e12 and not line.isEmpty() and not missing.isEmpty():
+        hit = near_segments(missing, line, reach)
+        found.append(cut(hit.groupBy(*ids).agg(F.min(F.struct(F.round("d", 7).alias("d"), at.alias("s"))).alias("_b"))))
+        missing, reach = cut(missing.join(found[-1].select(*ids), ids, "left_anti")), reach * 2
+    best = union_all(found) if found else pts.limit(0).select(*ids, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("s")).alias("_b"))
     j = pts.join(best, ids, "left")
     d = F.col("_b.d")
     part = j.groupBy("linkno", "part", "seq").agg(

@@ -115,11 +115,12 @@ catchments AS (
 
 
 def _span(spark: SparkSession, sf: str) -> DataFrame:
-    """First whole calendar year up to the last ship date (one row)."""
+    """First start of a half-month up to the last ship date (one row)."""
     lo, hi = F.min(F.to_date("l_shipdate")), F.max(F.to_date("l_shipdate"))
     b = table(spark, sf, "lineitem").agg(lo.alias("lo"), hi.alias("hi"))
-    jan1 = (F.month("lo") == 1) & (F.day("lo") == 1)
-    return b.select(F.when(jan1, F.col("lo")).otherwise(F.make_date(F.year("lo") + 1, F.lit(1), F.lit(1))).alias("lo"), "hi")
+    day = F.day("lo")
+    first = F.when(day == 1, F.col("lo")).when(day <= 16, F.date_add(F.trunc("lo", "month"), 15)).otherwise(F.add_months(F.trunc("lo", "month"), 1))
+    return b.select(first.alias("lo"), "hi")
 
 
 def rain_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +135,7 @@ def rain_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 RAIN_SQL = """
 bounds AS (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem),
-span AS (SELECT CASE WHEN month(lo) = 1 AND day(lo) = 1 THEN lo ELSE make_date(year(lo) + 1, 1, 1) END AS lo, hi FROM bounds),
+span AS (SELECT CASE WHEN day(lo) = 1 THEN lo WHEN day(lo) <= 16 THEN make_date(year(lo), month(lo), 16) ELSE CAST(date_trunc('month', lo) + INTERVAL 1 MONTH AS DATE) END AS lo, hi FROM bounds),
 spine AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM span),
 rcells AS (SELECT DISTINCT s_suppkey % 8 AS cell FROM supplier),
 fell AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey % 8 AS cell, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2),
