@@ -79,7 +79,7 @@ def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.train(docs.select("doc_id", "text", "lang"), "lang", quality.fold("doc_id", 3) != 1)
     made = language.identify(docs.select("doc_id", "text"), model)
-    return made.select("doc_id", (quality.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return made.select("doc_id", F.coalesce(quality.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query("op10_byte_cnn")
@@ -87,7 +87,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", quality.fold("doc_id", 5) != 0)
     made = quality.classify(docs, net)
-    return made.select("doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return made.select("doc_id", F.coalesce(quality.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query("op3_circulant_minhash", """
