@@ -307,7 +307,7 @@ def s4(spark, sf):
     wide = _wide(spark, sf)
     wide.write.parquet(f"{root}/in")
     src = spark.readStream.schema(wide.schema).parquet(f"{root}/in")
-    guard = fl.guard_batches(lambda b: sd.ingest_discharge(b), f"{root}/ok", f"{root}/bad")
+    guard = fl.guard_batches(lambda b: sd.ingest_discharge(b), f"{root}/ok", f"{root}/bad", ["gauge", "year"])
     _drain(src, lambda w: w.foreachBatch(guard))
     ok = spark.read.parquet(f"{root}/ok").select("gauge", "year", F.lit("accepted").alias("outcome"))
     bad = spark.read.parquet(f"{root}/bad").select("gauge", F.col("year").cast("int").alias("year"), F.col("reason").alias("outcome"))

@@ -115,7 +115,7 @@ def vector_distance(targets: DataFrame, donors: DataFrame, features: DataFrame,
 def rain_distance(targets: DataFrame, donors: DataFrame, rain: DataFrame) -> DataFrame:
     """Summed absolute difference over summed rain on aligned half-months.
 
-    Uses ``|a-b| = a + b - 2 min(a, b)``; ``rain``: ``point_id, year, period, mm``.
+    ``rain``: ``point_id, year, period, mm``.
     """
     t = targets.select("point_id", "donor_set").join(rain, "point_id").withColumnRenamed("mm", "ma")
     d = donors.select("gauge", "donor_set").join(rain.withColumnRenamed("point_id", "gauge"), "gauge").withColumnRenamed("mm", "mb")

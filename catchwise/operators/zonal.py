@@ -154,6 +154,7 @@ def curve_number(cells: DataFrame, key: str = "point_id") -> DataFrame:
         (F.count_if(ok & (cn >= 80)) / some * 100.0).alias("high_cn_pct"), (F.count_if(~ok) / F.count("*") * 100.0).alias("invalid_pct"))
     m, high = F.col("cn"), F.col("high_cn_pct")
     kept = 25400.0 / m - 254.0
+    # readings and bounds (fixed values)
     return agg.filter("cn is not null").withColumns({
         "retention_mm": kept,
         "runoff_reading": F.when(m >= 80, "Potensi limpasan tinggi").when(m >= 70, "Potensi limpasan sedang").otherwise("Potensi limpasan relatif rendah"),

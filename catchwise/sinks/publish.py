@@ -30,7 +30,11 @@ def assert_same(a: DataFrame, b: DataFrame) -> None:
 
 
 def publish(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> str:
-    """Write beside the target, then swap folders; the old version goes only after the swap."""
+    """Write beside the target, then swap folders; the old version goes only after the swap.
+
+    The swap is two renames: atomic each on a file system, copies on most object stores, where a
+    table format with its own commit is the better choice.
+    """
     spark = df.sparkSession
     staging, backup = f"{path}__staging_{uuid.uuid4().hex}", f"{path}__backup_{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")

@@ -69,15 +69,27 @@ def newest_request(requests: DataFrame) -> DataFrame:
     return requests.groupBy("client_id").agg(F.max(F.struct("ts", "request_id")).alias("_b")).select("client_id", F.col("_b.request_id").alias("request_id"), F.col("_b.ts").alias("ts"))
 
 
-def guard_batches(guard, accepted_path: str, rejected_path: str):
+def guard_batches(guard, accepted_path: str, rejected_path: str, keys: list[str] | None = None):
     """``foreachBatch`` body: split each micro-batch into accepted and rejected rows.
 
-    ``guard`` maps a frame to ``(accepted, rejected)``.  Batch folders are replaced, so a
+    ``guard`` maps a frame to ``(accepted, rejected)``.  Rows whose ``keys`` an earlier batch
+    has accepted are rejected as ``accepted_before``.  Batch folders are replaced, so a
     repeated batch after a failure writes the same rows once.
     """
+    def earlier(batch: DataFrame, batch_id: int) -> DataFrame | None:
+        spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(accepted_path)
+        if batch_id == 0 or not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return None
+        return spark.read.parquet(accepted_path).filter(F.col("batch") < batch_id).select(*keys)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         ok, bad = guard(batch)
+        seen = earlier(batch, batch_id) if keys else None
+        if seen is not None:
+            again = ok.join(seen, keys, "left_semi").select(*[F.col(k).cast(bad.schema[k].dataType) for k in keys], F.lit("accepted_before").alias("reason"))
+            ok, bad = ok.join(seen, keys, "left_anti"), bad.unionByName(again, allowMissingColumns=True)
         ok.write.mode("overwrite").parquet(f"{accepted_path}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
         batch.unpersist()

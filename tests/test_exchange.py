@@ -77,6 +77,15 @@ def test_halfmonth_stream_with_late_rows(spark):
     assert newest == {(2024, 0): (15.0, True), (2024, 1): (16.0, True), (2024, 2): (15.0, True), (2024, 3): (14.0, True), (2024, 4): (10.0, False)}
 
 
+def test_years_accepted_before_are_rejected(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    guard = fl.guard_batches(lambda b: (b.filter("q >= 0"), b.filter("q < 0").select("gauge", "year", F.lit("negative").alias("reason"))), f"{root}/ok", f"{root}/bad", ["gauge", "year"])
+    for i, rows in enumerate(([("a", 2020, 1.0), ("b", 2020, -1.0)], [("a", 2020, 2.0), ("b", 2020, 3.0)])):
+        guard(spark.createDataFrame(rows, "gauge string, year int, q double"), i)
+    assert {(r.gauge, r.year, r.q) for r in spark.read.parquet(f"{root}/ok").collect()} == {("a", 2020, 1.0), ("b", 2020, 3.0)}
+    assert {(r.gauge, r.reason) for r in spark.read.parquet(f"{root}/bad").collect()} == {("b", "negative"), ("a", "accepted_before")}
+
+
 def test_newest_request_wins(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 5), ("b", 3, 2)], "client_id string, request_id int, ts int")
     assert {r.client_id: r.request_id for r in fl.newest_request(df).collect()} == {"a": 2, "b": 3}
