@@ -37,7 +37,7 @@ UNIVERSE, COORDINATES, BANDS, ROWS = 1 << 20, 128, 25, 5
 AGREE = 92
 REMEMBERED = 500_000
 #: Units and shingles that a block of a bucket is meant to hold at most.
-BLOCK_UNITS, BLOCK_SHINGLES = 512, 500_000
+BLOCK_UNITS, BLOCK_SHINGLES = 256, 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
