@@ -142,7 +142,7 @@ class Decoder:
             self.scores = np.concatenate([self.scores, np.empty((grow, self.scores.shape[1]), dtype=np.float32)])
             self.letters = np.concatenate([self.letters, np.empty(grow, dtype=np.int32)])
         self.scores[n : n + len(new)] = scores
-        self.letters[n : n + len(new)] = list(map(len, new))
+        self.letters[n : n + len(new)] = [sum(map(str.isalpha, w)) for w in new]
         self.ids.update(zip(new, range(n, n + len(new)), strict=True))
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -187,6 +187,8 @@ class Decoder:
         def flush() -> None:
             for (i, numbers), path in zip(held, self.viterbi([n for _, n in held]), strict=True):
                 weight = np.bincount(path, self.letters[numbers], minlength=len(self.model.languages))
+                if not weight.any():  # digits of other kinds count as parts of words, not as letters
+                    continue
                 best = int(weight.argmax())
                 out[i] = (self.model.languages[best], float(weight[best] / weight.sum()), self.spans(texts[i], path))
 

@@ -161,6 +161,7 @@ def test_language(spark):
     out = {r.doc_id: r for r in language.identify(frame(spark, [*ODD, "кошка", "the dog " * 8 + "собака была " * 8]), model).collect()}
     assert {out[i].lang_pred for i in (0, 1, 2, 3, 11)} == {"und"} and out[len(ODD)].lang_pred == "ru"
     assert [s.split(":")[0] for s in out[len(ODD) + 1].lang_spans.split(",")] == ["en", "ru"]
+    assert {r.lang_pred for r in language.identify(frame(spark, ["²", "½ ³", "1 2"]), model).collect()} == {"und"}
     nothing = language.train(train.limit(0), "lang", F.lit(True))
     assert {r.lang_pred for r in language.identify(train, nothing).collect()} == {"und"}
     assert language.identify(train.limit(0), model).count() == 0
