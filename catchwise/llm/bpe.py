@@ -26,7 +26,7 @@ from catchwise.llm.common import map_text
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces remembered per worker and generation (a speed parameter; it never changes a result).
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_letters() -> list[str]:

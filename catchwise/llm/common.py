@@ -23,10 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_text(df: DataFrame, columns: list[str], fn: Callable[..., list], schema: str) -> DataFrame:
+def map_text(df: DataFrame, columns: list[str], fn: Callable[..., list], schema: str, rows: int = 256) -> DataFrame:
     """``df`` without ``columns`` plus the fields of ``schema``, made batch by batch without a shuffle.
 
-    ``fn(*lists)`` gets one Python list per name in ``columns`` and returns one list per field of ``schema``.
+    ``fn(*lists)`` gets one Python list per name in ``columns``, of at most ``rows`` rows, so that a worker holds few
+    Python objects at a time, and returns one list per field of ``schema``.
     The columns read stay in the result unless ``schema`` names them; a field of ``schema`` replaces a
     column of the same name, so clashing extra columns never fail.
     """
@@ -39,11 +40,12 @@ def map_text(df: DataFrame, columns: list[str], fn: Callable[..., list], schema:
     kept_names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, rows) for whole in batches for at in range(0, len(whole), rows)):
             made = fn(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns])
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept_names]
             arrays += [pa.array(v, type=arrow.field(n_kept + i).type) for i, v in enumerate(made)]
             yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 

@@ -231,4 +231,4 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         rows = made[0].label(texts)
         return list(zip(*rows, strict=True)) if rows else [[]] * 3
 
-    return map_text(df, [text], run, "lang_pred string, score double, lang_spans string")
+    return map_text(df, [text], run, "lang_pred string, score double, lang_spans string", rows=4096)

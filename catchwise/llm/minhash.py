@@ -35,7 +35,7 @@ from catchwise.runtime import Cut
 UNIVERSE, COORDINATES, BANDS, ROWS = 1 << 20, 128, 25, 5
 #: Of 128 one-bit coordinates, a pair at the threshold agrees on 115 on average, with a deviation of 3.4.
 AGREE = 92
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Units and shingles that a block of a bucket is meant to hold at most.
 BLOCK_UNITS, BLOCK_SHINGLES = 256, 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
