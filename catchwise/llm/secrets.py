@@ -5,7 +5,11 @@ hexadecimal strings. Credentials of several parts are weaker evidence: a login n
 string or a service address says little alone. Such *weak* spans are reported only where complementary parts stand
 together: an interval join matches every weak span with the parts that lie within ``REACH`` code points of it and
 inside the same scope (text between blank lines), and a credential is complete when it has an identifier, a secret
-and either of them is not weak, or all three parts (identifier, secret, endpoint) are there.
+and either of them is not weak, or all three parts (identifier, secret, endpoint) are there. The values of
+``key=value`` forms are random-looking strings like any others, whatever their key is called.
+
+Linking stops at ``REACH`` although a scope may be longer: a text without blank lines is one scope, and over its whole
+length an identifier at one end would make secrets of random-looking strings (digests, identifiers of files) at the other.
 
 All of a document's spans come from its own text, so documents are scanned where they are read; nothing is shuffled.
 Null text counts as empty and has no spans. Repeated rows give repeated results. Input columns named like an added
@@ -39,7 +43,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Parts of credentials that count only together.
 IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}|(?<![A-Za-z0-9])ASIA[A-Z0-9]{12,}""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b(?:host|server|endpoint|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}""", re.IGNORECASE | re.ASCII)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 SCOPE = re.compile(r"\n[ \t\r]*\n")
 
 
