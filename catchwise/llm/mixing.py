@@ -2,8 +2,11 @@
 
 Documents are counted by exact length in every source. A source's target first buys whole repeats of the source; the
 rest is a budget that a choice of documents must meet. Every length gives the same share of its documents, rounded
-down; single documents of the lengths rounded down most then bring the budget under ``TABLE`` words, and a bounded
-knapsack over the remaining (length, count) pairs closes it, exactly where lengths allow. Within a length the
+down; single documents of the lengths rounded down most come next, and while more than ``TABLE`` words are missing the
+lengths that still fit are shared out again. A bounded knapsack over the remaining (length, count) pairs closes what is
+left, exactly where lengths allow. If words are still missing, the shortest longer document is added and what is then
+too much is taken back in the same way (or the reverse), as long as that comes nearer; choices among documents longer
+than ``TABLE`` are not all compared, so a source of such documents alone may stay a little off. Within a length the
 documents with the smallest seeded hash are taken; their last hash is found from counts of hash buckets, so no group
 is ranked in one task, and the documents themselves are never shuffled.
 
@@ -87,6 +90,29 @@ def knapsack(lengths: Iterable[int], counts: Iterable[int], budget: int) -> dict
     return taken
 
 
+def near(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take: even shares until at most ``TABLE`` words are left or all documents left are longer than that, then the knapsack."""
+    take, left, open_ = np.zeros(len(lengths), dtype=np.int64), budget, counts
+    while size := int((open_ * lengths).sum()):
+        exact = open_ * min(1.0, left / size)
+        more = np.minimum(np.floor(exact).astype(np.int64), open_)
+        left -= int((more * lengths).sum())
+        for i in np.argsort(-(exact - more), kind="stable"):
+            if left <= TABLE:
+                break
+            if more[i] < open_[i] and 0 < lengths[i] <= left:
+                more[i] += 1
+                left -= int(lengths[i])
+        take += more
+        if left <= TABLE:
+            break
+        open_ = np.where((lengths > 0) & (lengths <= left), counts - take, 0)
+    if 0 < left <= TABLE:
+        more = knapsack(lengths.tolist(), (counts - take).tolist(), left)
+        take += np.array([more.get(int(length), 0) for length in lengths], dtype=np.int64)
+    return take
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
     """Whole repeats of the source, then how many documents of each length once more."""
     size = int((lengths * counts).sum())
@@ -97,18 +123,21 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np
     rest = round(target - repeats * size)
     if repeats == REPEATS or rest <= 0:
         return repeats, take
-    exact = counts * (rest / size)
-    take = np.minimum(np.floor(exact).astype(np.int64), counts)
+    take = near(lengths, counts, rest)
     left = rest - int((take * lengths).sum())
-    for i in np.argsort(-(exact - take), kind="stable"):
-        if left <= TABLE:
+    while left:
+        sign = 1 if left > 0 else -1
+        free, back = (counts - take, take) if left > 0 else (take, counts - take)
+        longer = np.flatnonzero((free > 0) & (lengths > abs(left)))
+        if not len(longer):
             break
-        if take[i] < counts[i] and 0 < lengths[i] <= left:
-            take[i] += 1
-            left -= int(lengths[i])
-    if 0 < left <= TABLE:
-        more = knapsack(lengths.tolist(), (counts - take).tolist(), left)
-        take += np.array([more.get(int(length), 0) for length in lengths], dtype=np.int64)
+        one = longer[np.argmin(lengths[longer])]
+        step = -near(lengths, np.where(lengths > 0, back, 0), int(lengths[one]) - abs(left))
+        step[one] += 1
+        after = left - sign * int((step * lengths).sum())
+        if abs(after) >= abs(left):
+            break
+        take, left = take + sign * step, after
     return repeats, take
 
 

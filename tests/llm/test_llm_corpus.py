@@ -59,6 +59,22 @@ def test_knapsack_is_exact():
         assert sum(k * v for k, v in took.items()) == brute_knapsack(lengths, counts, budget)
 
 
+@pytest.mark.parametrize(("long", "target"), [
+    ({200_000: 1}, 600_000), ({2_000_000: 1}, 900_000), ({2_000_000: 1}, 2_500_000), ({2_000_000: 1}, 1_600_000), ({300_000: 7, 90_000: 2}, 1_000_001), ({5_000_000: 1}, 4_400_000),
+])
+def test_mixture_beside_very_long_documents(long, target):
+    """Short documents of 75 to 124 words fill what no long one fits, and make room for a long one; 995,000 words in all."""
+    pairs = sorted([*long.items(), *((n, 200) for n in range(75, 125))], reverse=True)
+    lengths, counts = np.array(pairs).T
+    repeats, take = mixing.fit(lengths, counts, float(target))
+    assert repeats == 0 and ((0 <= take) & (take <= counts)).all()
+    sums = {0}
+    for length, n in long.items():
+        sums = {s + k * length for s in sums for k in range(n + 1)}
+    best = min(max(0, target - s - 995_000, s - target) for s in sums)
+    assert abs(int((take * lengths).sum()) - target) == best
+
+
 def brute_targets(sizes, weights=(1, 2, 3)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
