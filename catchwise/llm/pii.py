@@ -7,6 +7,12 @@ is written in the old one's separators, so the text keeps its shape, pseudonyms
 equal pseudonyms in every document under one key. The permutation used is ``P^-1(P(x) + 1)``, which never leaves a
 value as it was.
 
+A detector's match that is invalid or overlaps an earlier detector's value hides none: the match is tried again up to
+each earlier space, and the search goes on from its next place. Cards may stand among other numbers, so all windows of
+digit groups are tried; windows in a layout that cards are printed in come first, then from left to right the longest.
+One in ten windows passes the Luhn test by chance, so in other layouts a part of a row of numbers must also begin and be
+as long as some issuer's cards; what passes both in a list of numbers is reported like a card.
+
 Documents are rewritten where they are read. Null text stays null and has no spans; repeated rows give repeated
 results. Input columns named like an added column are replaced.
 """
@@ -15,8 +21,10 @@ from __future__ import annotations
 
 import datetime
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -177,37 +185,85 @@ DETECTORS: list[tuple[str, str, re.Pattern, Callable[[str, bytes], str | None]]]
     ("date", "/", re.compile(r"(?<![\d/.-])\d{1,2}/\d{1,2}/\d{4}(?![\d/])", re.ASCII), lambda s, k: _DAY_FIRST(s, k) if int(s.split("/")[0]) > 12 else _MONTH_FIRST(s, k)),
     ("date", ".", re.compile(r"(?<![\d/.-])\d{1,2}\.\d{1,2}\.\d{4}(?!\d|\.\d)", re.ASCII), _DAY_FIRST),
     ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])", re.ASCII), _ssn),
-    ("card", "", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", re.ASCII), _card),
+    ("card", "", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w-]|\.\d)", re.ASCII), _card),
     ("phone", "", re.compile(r"(?<![\w+.(-])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)\x20?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])", re.ASCII), _nanp),
     ("phone", "+", re.compile(r"(?<![\w+.])\+[1-9]\d{0,2}[ .-]?(?:\(?\d{1,4}\)?[ .-]?){2,5}\d{2,4}(?![\w-])", re.ASCII), _phone),
 ]
 DIGIT = re.compile(r"\d", re.ASCII)
+DIGITS = re.compile(r"\d+", re.ASCII)
+#: Digit groups of printed cards, besides one group; only these may touch other groups by a hyphen.
+CARD_LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (6, 13)}
+#: First digits and lengths of issuers: Visa, Mastercard, American Express, Diners Club, JCB, Discover with UnionPay and Maestro, Mir, UATP, RuPay, Troy.
+ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11,16}|35\d{14,17}|6\d{12,18}|5[0678]\d{11,17}|220[0-4]\d{12,15}|1\d{14}|8[12]\d{14}|9792\d{12}", re.ASCII)
+
+Found = tuple[int, int, str]
+
+
+def _spans(pattern: re.Pattern, text: str, free: Callable[[int, int], bool], new: Callable[[str], str | None]) -> Iterator[Found]:
+    """Valid free matches from left to right, with what replaces them; where one is refused, it is cut at its spaces, last first."""
+    at = 0
+    while m := pattern.search(text, at):
+        start, end = m.span()
+        at = start + 1
+        for stop in [end, *(i for i in range(end - 1, start, -1) if text[i] == " ")]:
+            if free(start, stop) and (stop == end or pattern.fullmatch(text[start:stop])) and (made := new(text[start:stop])) is not None:
+                yield start, stop, made
+                at = stop
+                break
+
+
+def _card_spans(pattern: re.Pattern, text: str, free: Callable[[int, int], bool], new: Callable[[str], str | None]) -> Iterator[Found]:
+    """Valid free windows of the digit groups of every match."""
+    for m in pattern.finditer(text):
+        groups = [g.span() for g in DIGITS.finditer(text, *m.span())]
+        open_ = [free(s, e) for s, e in groups]
+        row = "".join(text[s:e] for s, e in groups)
+        sums = [[0], [0]]  # Luhn sums up to each digit, with the digits in even or odd places doubled
+        for place, d in enumerate(map(int, row)):
+            for odd in (0, 1):
+                sums[odd].append(sums[odd][-1] + (d if place % 2 != odd else d * 2 - 9 * (d > 4)))
+        first = [0, *accumulate(e - s for s, e in groups)]
+        windows = []
+        for i, at in enumerate(first[:-1]):
+            for j in range(i, len(groups)):
+                if not open_[j] or (stop := first[j + 1]) - at > 19:
+                    break
+                if stop - at < 13 or (sums[stop % 2][stop] - sums[stop % 2][at]) % 10 or row.count(row[at], at, stop) == stop - at:
+                    continue
+                layout, start, end = tuple(e - s for s, e in groups[i : j + 1]), groups[i][0], groups[j][1]
+                printed = len(layout) == 1 or layout in CARD_LAYOUTS
+                spaced = (i == 0 or text[start - 1] == " ") and (j == len(groups) - 1 or text[end] == " ")
+                if printed or (start, end) == m.span() or spaced and ISSUED.fullmatch(row, at, stop):
+                    windows.append((not printed, i, -j))
+        used: set[int] = set()
+        for _, i, j in sorted(windows):
+            own = range(i, 1 - j)
+            if used.isdisjoint(own):
+                used.update(own)
+                start, end = groups[i][0], groups[-j][1]
+                yield start, end, new(text[start:end])
 
 
 def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The rewritten text, and the spans that were rewritten (places in the text given)."""
-    found: list[tuple[int, int, str, str]] = []
     if "@" not in text and not DIGIT.search(text):
         return text, []
-    taken: list[tuple[int, int]] = []
+    found: list[tuple[int, int, str, str]] = []
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(found, (end,))  # values found do not overlap
+        return before == 0 or found[before - 1][1] <= start
+
     for kind, hint, pattern, replace in DETECTORS:
         if hint and hint not in text:
             continue
-        own = []
-        for m in pattern.finditer(text):
-            start, end = m.span()
-            if any(s < end and start < e for s, e in taken):
-                continue
-            new = replace(m[0], key)
-            if new is not None:
-                own.append((start, end, kind, new))
-        found += own
-        taken += [(s, e) for s, e, _, _ in own]
+        spans = (_card_spans if kind == "card" else _spans)(pattern, text, free, lambda shape, replace=replace: replace(shape, key))
+        found = sorted(found + [(start, end, kind, new) for start, end, new in spans])
     out, at = [], 0
-    for start, end, _, new in sorted(found):
+    for start, end, _, new in found:
         out += [text[at:start], new]
         at = end
-    return "".join(out) + text[at:], [(k, s, e) for s, e, k, _ in sorted(found)]
+    return "".join(out) + text[at:], [(k, s, e) for s, e, k, _ in found]
 
 
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:

@@ -131,6 +131,27 @@ def test_pseudonyms_keep_format_and_links():
         assert pii.pseudonymised(f"a {invalid} b", b"k") == (f"a {invalid} b", [])
 
 
+BESIDE = [
+    ("Order 12 ", "card", "4111 1111 1111 1111", ""), ("paid 17/05/2024 ", "card", "4111 1111 1111 1111", ""), ("paid 2024-05-17 ", "card", "4111-1111-1111-1111", " x"), ("", "card", "4111 1111 1111 1111", " 123."),
+    ("1 22 333 4444 55555 ", "card", "3782 822463 10005", " 7 88"), ("no. 12-", "card", "4111 1111 1111 1111", ""), ("", "card", "4111111111111111", " 17/05/2024"), ("10 20 30 40 50 60 70 80 ", "card", "4012888888881881", " 90 10"),
+    ("Order 12 ", "card", "41111111 11111111", " 7"), ("", "iban", "BE68 5390 0754 7034", " EUR"), ("ID AB12 CDEF ", "iban", "GB82 WEST 1234 5698 7654 32", " PAID"), ("call ", "phone", "+44 20 7946 0958", " 2024-05-17"), ("call ", "phone", "+44 20 7946 0958", " (2024)"),
+]
+
+
+@pytest.mark.parametrize(("before", "kind", "value", "after"), BESIDE)
+def test_values_beside_other_numbers(before, kind, value, after):
+    text, spans = pii.pseudonymised(before + value + after, b"k")
+    assert (kind, len(before), len(before) + len(value)) in spans and value not in text
+    assert all(k in (kind, "date") for k, _, _ in spans)
+
+
+def test_cards_one_after_another():
+    cards = ["4111 1111 1111 1111", "5555 5555 5555 4444", "3782 822463 10005"]
+    text, spans = pii.pseudonymised(" ".join(cards), b"k")
+    assert [k for k, _, _ in spans] == ["card"] * 3 and len(text) == len(" ".join(cards)) and not any(c in text for c in cards)
+    assert pii.pseudonymised("12345678-1234-1234-1234-123456789012", b"k")[1] == []
+
+
 def test_pseudonym_frames(spark):
     df = frame(spark, [*ODD, *VALUES.values(), "w " * 50000 + VALUES["email"]])
     out = pii.pseudonymise(df, b"k")
