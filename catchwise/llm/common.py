@@ -23,17 +23,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_text(df: DataFrame, columns: list[str], fn: Callable[..., list], schema: str, rows: int = 256) -> DataFrame:
+def map_text(df: DataFrame, columns: list[str], fn: Callable[..., list], schema: str, rows: int = 256, keep_read: bool = True) -> DataFrame:
     """``df`` without ``columns`` plus the fields of ``schema``, made batch by batch without a shuffle.
 
     ``fn(*lists)`` gets one Python list per name in ``columns``, of at most ``rows`` rows, so that a worker holds few
     Python objects at a time, and returns one list per field of ``schema``.
-    The columns read stay in the result unless ``schema`` names them; a field of ``schema`` replaces a
+    The columns read stay in the result unless ``schema`` names them or ``keep_read`` is false; a field of ``schema`` replaces a
     column of the same name, so clashing extra columns never fail.
     """
     added = _parse_datatype_string(schema)
     names = {f.name for f in added.fields}
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name not in names and (keep_read or f.name not in columns)]
     out = StructType(kept + list(added.fields))
     arrow = to_arrow_schema(out)
     n_kept = len(kept)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from catchwise.llm import bpe, forest, hyperplanes, language, minhash, mixing, pii, quality, secrets, shards, whitening
+from catchwise.llm import audit, bpe, exact, forest, hyperplanes, language, minhash, mixing, pii, quality, secrets, shards, whitening
 from catchwise.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,30 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 8)
 
 
+@query("op12_stateful_stream", """
+WITH normal AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM normal""")
+def op12_stateful_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+@query("op13_filter_audit", """
+WITH RECURSIVE split AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+failing AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS f FROM split),
+counted AS (SELECT part, f, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS bad FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ordered(o) AS (SELECT x FROM letters UNION ALL SELECT o || x FROM ordered JOIN letters ON NOT contains(o, x)),
+steps AS (SELECT o AS filter_order, k::INT AS step, o[k] AS own, o[1:k - 1] AS before FROM ordered, range(1, 6) AS g(k) WHERE length(o) = 5),
+judged AS (SELECT part, filter_order, step, own, f, n, good, bad, contains(f, own) AS fails, len(list_intersect(string_split(f, ''), string_split(before, ''))) > 0 AND f <> '' AND before <> '' AS gone FROM counted, steps),
+summed AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (f = own), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
