@@ -42,6 +42,7 @@ HELD_BYTES = 32 * 1024 * 1024
 BATCH_BYTES = 4 * 1024**3
 RECORD = "digest binary, doc_id long, path string, row long, size long"
 SEEN = f"{RECORD}, first_path string, first_row long"
+Seen = Row("digest", "doc_id", "path", "row", "size", "first_path", "first_row")
 CLASH = "digest binary"
 
 Digest = Callable[[bytes], bytes]
@@ -106,7 +107,7 @@ class FirstText(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         first = self.first.get()
         for r in rows:
-            yield Row(digest=r.digest, doc_id=r.doc_id, path=r.path, row=r.row, size=r.size, first_path=first[1] if first else None, first_row=first[2] if first else None)
+            yield Seen(r.digest, r.doc_id, r.path, r.row, r.size, first[1] if first else None, first[2] if first else None)
             if first is None:
                 first = (r.doc_id, r.path, r.row)
                 self.first.update(first)
@@ -117,8 +118,8 @@ class FirstText(StatefulProcessor):
 
 def clashes(spark: SparkSession, hits: DataFrame, schema) -> DataFrame:
     """Digests of the hits whose bytes differ from the retained text's, fetched by both locators."""
-    asked = Cut(hits.select("digest", F.explode(F.array(F.struct("path", "row", F.lit(True).alias("hit")), F.struct(F.col("first_path"), F.col("first_row"), F.lit(False)))).alias("l"))
-                .select("digest", "l.path", "l.row", "l.hit").distinct())
+    retained = F.struct(F.col("first_path").alias("path"), F.col("first_row").alias("row"), F.lit(False).alias("hit"))
+    asked = Cut(hits.select("digest", F.explode(F.array(F.struct("path", "row", F.lit(True).alias("hit")), retained)).alias("l")).select("digest", "l.path", "l.row", "l.hit").distinct())
     files = [unquote(r.path) for r in asked.df.select("path").distinct().collect()]  # names of input files, as any scan lists them
     texts = _located(spark.read.schema(schema).parquet(*files)).join(side(asked), ["path", "row"])
     texts = map_text(texts.select("digest", "hit", "text"), ["text"], lambda t: [[normal(x) for x in t]], "own binary", keep_read=False)
