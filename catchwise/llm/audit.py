@@ -1,8 +1,8 @@
 """How quality filters overlap: what each removes, first or later, in every order of application.
 
 The words of all documents become one sparse matrix of documents and words. Tasks that read texts number the words that
-they meet and write the counts as CSR shards with a vocabulary of their own; the vocabularies together give one
-dictionary, and every shard is recoded to it. Only vocabularies are shuffled on words, so a word that every document has
+they meet and write the counts as CSR shards with a vocabulary of their own; the vocabularies are merged to one
+dictionary, whose codes go back to the shards. Only vocabularies are shuffled on words, so a word that every document has
 is one row a shard. Row sums and numbers of non-zero entries of the recoded matrix decide filters A and B; C, D and
 E (an identical text with a smaller identifier) travel beside the rows.
 
@@ -19,21 +19,29 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import count, permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchwise.llm.common import map_text, side
+from catchwise.llm.common import side
 from catchwise.runtime import Cut
 
 #: Bytes of texts in one shard, give or take a text.
 SHARD_BYTES = 8 * 1024 * 1024
+#: Words that a task codes before it hands their codes on, shard by shard.
+CODED = 500_000
 FILTERS = "ABCDE"
-ROW = "ids array<long>, parts array<string>, flags array<int>, digests array<binary>"
-SHARD = f"shard string, {ROW}, starts array<int>, columns array<int>, counts array<int>, words array<binary>"
+#: The characters of filter D and of filter C (fixed values).
+SIGNS, CAPITALS = b"#$%&*|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SHARD = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.string())), ("flags", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary())),
+                   ("starts", pa.list_(pa.int32())), ("columns", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
+SHARD_SQL = "shard long, ids array<long>, parts array<string>, flags array<int>, digests array<binary>, starts array<int>, columns array<int>, counts array<int>, words array<binary>"
 
 
 class _Numbers(dict):
@@ -48,82 +56,113 @@ class _Numbers(dict):
 
 
 def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """CSR shards of ``docs`` (doc_id, part, flags, digest, text) with vocabularies of their own.
+    """CSR shards of ``docs`` (doc_id, part, text) with vocabularies of their own.
 
-    Row ``i`` of a shard has the entries ``starts[i]`` to ``starts[i + 1]`` of ``columns`` (places in ``words``) and ``counts``.
+    Row ``i`` of a shard has the entries ``starts[i]`` to ``starts[i + 1]`` of ``columns`` (places in ``words``) and ``counts``;
+    ``flags`` has 4 and 8 for failed filters C and D, ``digests`` a digest of the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from uuid import uuid4
-
-        rows, columns, counts, starts, words, load = [], [], [], [0], _Numbers(), 0
+        first = TaskContext.get().partitionId() << 32
+        rows, columns, counts, starts, words, load, made = [], [], [], [0], _Numbers(), 0, 0
 
         def close() -> pa.RecordBatch:
-            values = [uuid4().hex, *map(list, zip(*rows, strict=True)), starts, np.concatenate(columns), np.concatenate(counts), list(words)]
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["shard", "ids", "parts", "flags", "digests", "starts", "columns", "counts", "words"])
+            values = [first + made, *map(list, zip(*rows, strict=True)), starts, np.concatenate(columns), np.concatenate(counts), list(words)]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, SHARD.types, strict=True)], schema=SHARD)
 
         for batch in (whole.slice(at, 64) for whole in batches for at in range(0, len(whole), 64)):
-            for doc_id, part, flags, digest, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+            for doc_id, part, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 own = text.encode()
+                c = 100 * (len(own) - len(own.translate(None, CAPITALS))) > 10 * len(text)
+                d = len(own.translate(None, SIGNS)) < len(own)
                 # bytes.split() knows ASCII white space only
                 tokens = own.split()
                 column, times = np.unique(np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens)), return_counts=True)
-                rows.append((doc_id, part, flags, digest))
+                rows.append((doc_id, part, 4 * c + 8 * d, sha256(own).digest()))
                 columns.append(column)
                 counts.append(times.astype(np.int32))
                 starts.append(starts[-1] + len(column))
                 load += len(own) + 100
                 if load > shard_bytes:
                     yield close()
-                    rows, columns, counts, starts, words, load = [], [], [], [0], _Numbers(), 0
+                    rows, columns, counts, starts, words, load, made = [], [], [], [0], _Numbers(), 0, made + 1
         if rows:
             yield close()
 
-    return docs.mapInArrow(run, SHARD)
+    return docs.mapInArrow(run, SHARD_SQL)
 
 
-def dictionary(made: DataFrame) -> DataFrame:
-    """(word, code): every word of the corpus once, with a number of its own."""
-    return made.select(F.explode("words").alias("word")).distinct().withColumn("code", F.monotonically_increasing_id())
+def coded(made: DataFrame) -> DataFrame:
+    """(shard, places, codes): the dictionary's code of every word of every shard, in pieces.
 
+    Equal words of all shards lie side by side after one shuffle, sorted by hash and then by word, and a task numbers them in
+    that order. A word has one row a shard, however often it occurs.
+    """
+    words = made.select("shard", F.posexplode("words").alias("place", "word"))
 
-def encoded(made: Cut) -> DataFrame:
-    """The shards with ``codes``: the dictionary's numbers in place of the vocabulary's own."""
-    coded = Cut(dictionary(made.df))
-    local = made.df.select("shard", F.posexplode("words").alias("place", "word"))
-    pairs = local.join(side(coded, 6), "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "code"))).alias("pairs"))
-    return made.df.drop("words").join(pairs.select("shard", F.col("pairs.code").alias("codes")), "shard", "left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, last, waiting = TaskContext.get().partitionId() << 40, None, []
+
+        def hand_on() -> pa.RecordBatch:
+            shard, place, codes = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.argsort(shard, kind="stable")
+            shard, place, codes = shard[order], place[order], codes[order]
+            starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            ends = pa.array(np.r_[starts, len(shard)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(shard[starts]), pa.ListArray.from_arrays(ends, pa.array(place)), pa.ListArray.from_arrays(ends, pa.array(codes))], names=["shard", "places", "codes"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            word = batch.column(2)
+            fresh = np.empty(len(word), dtype=bool)
+            fresh[0] = last is None or word[0].as_py() != last
+            fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            codes = code + np.cumsum(fresh)
+            code, last = int(codes[-1]), word[-1].as_py()
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), codes))
+            if sum(len(w[0]) for w in waiting) >= CODED:
+                yield hand_on()
+        if waiting:
+            yield hand_on()
+
+    dealt = words.withColumn("hash", F.xxhash64("word")).repartition("hash").sortWithinPartitions("hash", "word")
+    return dealt.select("shard", "place", "word").mapInArrow(run, "shard long, places array<int>, codes array<long>")
+
+
+def encoded(made: DataFrame) -> DataFrame:
+    """The shards with ``codes``, one for each of their columns' places, in ``pieces``."""
+    pieces = coded(made).groupBy("shard").agg(F.collect_list(F.struct("places", "codes")).alias("pieces"))
+    return made.drop("words").join(pieces, "shard", "left")
 
 
 def measures(matrix: DataFrame) -> DataFrame:
     """(doc_id, part, flags, digest, total, distinct) of every row of the recoded matrix."""
 
-    def run(starts: list, columns: list, counts: list, codes: list) -> list:
-        totals, kinds = [], []
-        for s, column, times, code in zip(starts, columns, counts, codes, strict=True):
-            n = len(s) - 1
-            row = np.repeat(np.arange(n), np.diff(s))
-            entries = np.asarray(code or [], dtype=np.int64)[np.asarray(column, dtype=np.int64)] if column else np.empty(0, dtype=np.int64)
-            seen = np.unique(np.stack([row, entries], axis=1), axis=0)[:, 0] if len(row) else row
-            totals.append(np.bincount(row, weights=np.asarray(times, dtype=np.float64), minlength=n).astype(np.int64).tolist())
-            kinds.append(np.bincount(seen, minlength=n).tolist())
-        return [totals, kinds]
-
-    made = map_text(matrix.drop("shard"), ["starts", "columns", "counts", "codes"], run, "totals array<long>, kinds array<long>", rows=1, keep_read=False)
-    each = made.select(F.explode(F.arrays_zip("ids", "parts", "flags", "digests", "totals", "kinds")).alias("r"))
-    return each.select(F.col("r.ids").alias("doc_id"), F.col("r.parts").alias("part"), F.col("r.flags").alias("flags"), F.col("r.digests").alias("digest"), F.col("r.totals").alias("total"), F.col("r.kinds").alias("distinct"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (batch.slice(k, 1) for batch in batches for k in range(len(batch))):
+            flat = {c: r.column(c).flatten() for c in ("ids", "parts", "flags", "digests", "starts", "columns", "counts", "pieces")}
+            places, codes = (x.flatten().to_numpy() for x in flat["pieces"].flatten())
+            code = np.zeros(len(codes), dtype=np.int64)
+            code[places] = codes
+            n = len(flat["ids"])
+            row = np.repeat(np.arange(n), np.diff(flat["starts"].to_numpy()))
+            entries = code[flat["columns"].to_numpy()]
+            order = np.lexsort((entries, row))
+            row, entries, times = row[order], entries[order], flat["counts"].to_numpy()[order]
+            fresh = np.r_[True, (row[1:] != row[:-1]) | (entries[1:] != entries[:-1])] if len(row) else np.empty(0, dtype=bool)
+            total, distinct = np.bincount(row, weights=times, minlength=n).astype(np.int64), np.bincount(row[fresh], minlength=n)
+            yield pa.RecordBatch.from_arrays([flat["ids"], flat["parts"], flat["flags"], flat["digests"], pa.array(total), pa.array(distinct.astype(np.int64))], names=["doc_id", "part", "flags", "digest", "total", "distinct"])
+
+    return matrix.mapInArrow(run, "doc_id long, part string, flags int, digest binary, total long, distinct long")
 
 
 def patterns(docs: DataFrame, labels: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(part, failed, n, good, toxic): documents by part and failed filters, bit ``k`` for letter ``k`` of ``FILTERS``."""
-    text = F.coalesce("text", F.lit(""))
-    capitals = F.char_length(F.regexp_replace(text, "[^A-Z]", ""))
-    c, d = 100 * capitals > 10 * F.char_length(text), text.rlike(r"[#$%&*|]")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), (F.when(c, 4).otherwise(0) + F.when(d, 8).otherwise(0)).alias("flags"),
-                       F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     made = Cut(shards(read, shard_bytes))
-    rows = Cut(measures(encoded(made)))
+    rows = Cut(measures(encoded(made.df)))
     made.drop()
     copies = Cut(rows.df.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"))
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
