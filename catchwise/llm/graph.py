@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from catchwise.runtime import Cut
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every end of an edge that is not the smallest of its component; ``edges`` has longs ``a`` and ``b``.
+def component_table(edges: DataFrame) -> Cut:
+    """A written table (id, root) for every end of an edge that is not the smallest of its component; ``edges`` has longs ``a`` and ``b``.
 
     Alternates two moves until only stars around the smallest ends are left: hang every edge's larger end on the
     smallest neighbour of its smaller end, then hang the smaller neighbours of every end on the smallest of them.
@@ -23,7 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         # done when every end hangs on one root and no root hangs on anything
         loose = low.filter("n > 1").limit(1).union(low.join(now.df.select(F.col("small").alias("big")), "big", "left_semi").limit(1))
         if loose.isEmpty():
-            return now.df.select(F.col("big").alias("id"), F.col("small").alias("root"))
+            named = Cut(now.df.select(F.col("big").alias("id"), F.col("small").alias("root")))
+            now.drop()
+            return named
         up = low.select(F.col("big").alias("small"), "low")
         hung = now.df.join(up, "small", "left").select("big", F.coalesce("low", "small").alias("small")).distinct()
         least = hung.groupBy("big").agg(F.min("small").alias("low"))
@@ -32,3 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         after = Cut(both.select("e.big", "e.small").filter("big <> small").distinct())
         now.drop()
         now = after
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """The rows of ``component_table``."""
+    return component_table(edges).df

@@ -8,8 +8,9 @@ permutations give all ``COORDINATES``.
 Documents with one word sequence are one *unit*. Units that share a band of ``ROWS`` coordinates meet in a bucket:
 
 1. Every unit is compared with its bucket's smallest unit; links found on the full sets give components.
-2. Where a bucket still holds several components, its units' whole sets are compared block by block inside tasks, and
-   only links that join components leave them, so no link between components is lost.
+2. Where a bucket still holds several components, its units are compared block by block inside tasks: first by sizes
+   and signature bits, each pair of different components once over all buckets; then the units with a candidate by whole
+   sets. Only links that join components leave a task, so no link between components is lost.
 
 Pairs are dropped before verification only if their sizes rule a link out, or if so few of 128 signature bits agree
 that a link has odds under one in 10^10. Links are decided on whole sets; the chance that two sets at the threshold
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwise.llm.common import map_text, side
-from catchwise.llm.graph import components
+from catchwise.llm.graph import component_table
 from catchwise.runtime import Cut
 
 UNIVERSE, COORDINATES, BANDS, ROWS = 1 << 20, 128, 25, 5
@@ -174,15 +175,46 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _bridges(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components which share a bucket; ``rows`` has (band, unit, root, blocks).
-
-    A bucket is dealt out in blocks and every two blocks meet in one task, which compares whole sets exactly and
-    returns a spanning forest of the links that it finds between components, so a task returns fewer rows than it reads.
-    """
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` once for every two blocks of their bucket that meet: ``own`` is the row's block, ``i`` and ``j`` are the two."""
     own = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other).select("band", "unit", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return rows.withColumn("own", own).withColumn("other", other).select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def candidates(pdf: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which rows of two blocks may be linked, as a matrix, by what narrow rows tell.
+
+    A pair counts in the first bucket that its units share and in the two blocks that are theirs, so once over all buckets;
+    its components differ, its sizes are near and its bits mostly equal.
+    """
+    root, n, own = (pdf[c].to_numpy() for c in ("root", "n", "own"))
+    bands = np.stack(pdf["bands"].to_numpy())
+    here = np.flatnonzero(bands[0] == pdf["band"].iloc[0])[0]
+    earlier = np.zeros((len(root), len(root)), dtype=bool)
+    for k in range(here):
+        earlier |= bands[:, k, None] == bands[None, :, k]
+    differ = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(np.int16) for x in (pdf[c].to_numpy().view(np.uint64) for c in ("bits0", "bits1")))
+    near = np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
+    met = near & (differ <= COORDINATES - AGREE) & (root[:, None] != root[None, :]) & ~earlier
+    return met if pdf["i"].iloc[0] == pdf["j"].iloc[0] else met & (own[:, None] != own[None, :])
+
+
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """(band, i, j, unit, root) of the units that have a candidate in two blocks; no pair and no set leaves a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.loc[candidates(pdf, percent).any(axis=1), ["band", "i", "j", "unit", "root"]]
+
+    return _dealt(rows).groupBy("band", "i", "j").applyInPandas(run, "band long, i int, j int, unit long, root long")
+
+
+def _bridges(meeting: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, from whole sets.
+
+    The task of two blocks compares the sets exactly and returns a spanning forest of the links that it finds between
+    components, so it returns fewer rows than it reads.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         unit, root = pdf["unit"].to_numpy(), pdf["root"].to_numpy()
@@ -205,7 +237,7 @@ def _bridges(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                         out.append((int(unit[at]), int(unit[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.join(held, "unit").groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
+    return meeting.join(held, "unit").groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
@@ -221,33 +253,50 @@ def groups(df: DataFrame, width: int, percent: int) -> DataFrame:
     stars = members.df.filter((F.col("u.unit") != F.col("f.unit")) & _alike("u", "f", percent)).select(F.col("u.unit").alias("a"), F.col("f.unit").alias("b")).distinct()
 
     pairs = Cut(stars)
-    links = Cut(_linked(pairs.df, _sets_of(df, units.df, pairs.df.select(F.explode(F.array("a", "b")).alias("unit")), width), percent))
+    held = _sets_of(df, units.df, pairs.df.select(F.explode(F.array("a", "b")).alias("unit")), width)
+    links = Cut(_linked(pairs.df, held.df, percent))
     pairs.drop()
-    roots = Cut(components(links.df))
+    held.drop()
+    roots = component_table(links.df)
     placed = Cut(members.df.select("band", F.col("u.unit").alias("unit"), F.col("u.n").alias("n")).join(roots.df.withColumnRenamed("id", "unit"), "unit", "left")
                  .select("band", "unit", "n", F.coalesce("root", "unit").alias("root")))
     members.drop()
     mixed = placed.df.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("load")).filter("least <> most")
     mixed = mixed.select("band", F.ceil(F.greatest(F.col("rows") / BLOCK_UNITS, F.col("load") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    open_rows = Cut(placed.df.join(mixed, "band").select("band", "unit", "root", "blocks"))
-    if not open_rows.df.isEmpty():
-        found = Cut(_bridges(open_rows.df, _sets_of(df, units.df, open_rows.df.select("unit"), width), percent))
+    open_rows = placed.df.join(mixed, "band").select("band", "unit", "root", "blocks").join(units.df.select("unit", "n", "bits0", "bits1", "bands"), "unit")
+    meeting = Cut(_meeting(open_rows, percent))
+    placed.drop()
+    if not meeting.df.isEmpty():
+        held = _sets_of(df, units.df, meeting.df.select("unit"), width)
+        found = Cut(_bridges(meeting.df, held.df, percent))
+        held.drop()
         if not found.df.isEmpty():
-            roots = Cut(components(links.df.unionByName(found.df)))
+            roots.drop()
+            roots = component_table(links.df.unionByName(found.df))
+        found.drop()
+    meeting.drop()
+    links.drop()
 
     linked = units.df.select("unit", "copy", "rep").join(roots.df.select(F.col("id").alias("unit"), "root"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     linked = Cut(linked)
+    units.drop()
+    roots.drop()
     smallest = linked.df.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = Cut(linked.df.join(smallest, "root").select("copy", "component_id"))
+    linked.drop()
     out = marked.df.select("doc_id", "n_shingles", "copy").join(side(named, 2), "copy", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _sets_of(df: DataFrame, units: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+def _sets_of(df: DataFrame, units: DataFrame, asked: DataFrame, width: int) -> Cut:
     """(unit, shingles) of the units in ``asked``, from the texts of their first documents."""
     wanted = Cut(units.select("unit", "rep", "copy").join(asked.distinct(), "unit").select("unit", "rep", "copy"))
-    texts = df.join(side(Cut(wanted.df.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
-    return Cut(sets(texts, width).join(wanted.df.withColumnRenamed("rep", "doc_id"), ["doc_id", "copy"]).groupBy("unit").agg(F.first("shingles").alias("shingles"))).df
+    ids = Cut(wanted.df.select(F.col("rep").alias("doc_id")).distinct())
+    texts = df.join(side(ids), "doc_id", "left_semi")
+    made = Cut(sets(texts, width).join(wanted.df.withColumnRenamed("rep", "doc_id"), ["doc_id", "copy"]).groupBy("unit").agg(F.first("shingles").alias("shingles")))
+    wanted.drop()
+    ids.drop()
+    return made
 
 
 def deduplicate(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
