@@ -40,6 +40,12 @@ from catchwise.runtime import Cut, scratch_root
 HELD_BYTES = 32 * 1024 * 1024
 #: Bytes of input files of one micro-batch.
 BATCH_BYTES = 4 * 1024**3
+#: State on disk: many small stores take no space ahead of need, and a batch uploads what it changed (fixed values).
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 RECORD = "digest binary, doc_id long, path string, row long, size long"
 SEEN = f"{RECORD}, first_path string, first_row long"
 Seen = Row("digest", "doc_id", "path", "row", "size", "first_path", "first_row")
@@ -146,13 +152,14 @@ def ingest(spark: SparkSession, path: str, work: str, digest: Digest = sha256, b
         found = session.createDataFrame([], CLASH) if again.isEmpty() else clashes(session, again, schema)
         found.write.mode("overwrite").parquet(f"{work}/clash/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         stream = hits.writeStream.outputMode("append").option("checkpointLocation", f"{work}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     stream.awaitTermination()
 
 
