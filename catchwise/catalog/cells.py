@@ -297,8 +297,7 @@ def _blurred(spark, sf):
     raw = d8.d8_catchment(graph, pts).join(pts.select("point_id", F.col("node").alias("outlet")), "outlet").join(graph.select("node", "row", "col"), "node").select("point_id", "row", "col")
     raw = cut(raw)
     east = raw.withColumn("col", F.col("col") + 1).filter("col < 125")
-    nested = d8.nested_donors(graph, pts).select(F.col("inner_point").alias("upstream_point"), F.col("outer_point").alias("downstream_point"))
-    return raw.unionByName(east).distinct(), nested, raw.groupBy("point_id").agg(F.count("*").alias("raw_cells"))
+    return raw.unionByName(east).distinct(), d8.outlet_places(graph, pts), raw.groupBy("point_id").agg(F.count("*").alias("raw_cells"))
 
 
 REC = FO + """, raw AS MATERIALIZED (SELECT o.point_id, c.row, c.col FROM couts o JOIN down d ON d.cur = o.k JOIN cells c ON c.k = d.k),
@@ -317,14 +316,13 @@ REC = FO + """, raw AS MATERIALIZED (SELECT o.point_id, c.row, c.col FROM couts
 
 @query("g21_reconcile", REC + " SELECT point_id, CAST(row * 125 + col AS BIGINT) AS k FROM jd WHERE keep")
 def g21(spark, sf):
-    members, nested, sizes = _blurred(spark, sf)
-    kept, _ = d8.reconcile(members, nested, sizes)
+    kept, _ = d8.reconcile_places(*_blurred(spark, sf))
     return kept.select("point_id", _k())
 
 
 @query("g21_reconcile_qa", REC + """ SELECT m.point_id, count(*) AS raw_cells, (SELECT count(*) FROM outs o WHERE o.point_id = m.point_id) AS outside_cells, (SELECT count(*) FROM jd WHERE jd.point_id = m.point_id AND NOT keep) AS overlap_cells FROM mem m GROUP BY 1""")
 def g21_qa(spark, sf):
-    return d8.reconcile(*_blurred(spark, sf))[1]
+    return d8.reconcile_places(*_blurred(spark, sf))[1]
 
 
 @query("g20_incremental_cells", FO + """, mem AS (SELECT point_id, d.k FROM couts o JOIN down d ON d.cur = o.k),

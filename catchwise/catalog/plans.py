@@ -88,8 +88,10 @@ def r4(spark, sf):
     pts = tb.cell_outlets(spark, sf)
     members = cut(d8.hybrid_cells(tb.cells(spark, sf), pts, tb.links(spark, sf)))
     sizes = members.groupBy("point_id").agg((F.count("*") * 0.0009).alias("area_km2"))
-    kept, qa = pn.refresh_topology(members, pts.select("point_id", "linkno").join(sizes, "point_id"), tb.links(spark, sf))
-    return qa.join(kept.groupBy("point_id").agg(F.count("*").alias("kept_cells")), "point_id", "left")
+    made = pn.refresh_topology(members, pts.select("point_id", "linkno").join(sizes, "point_id"), tb.links(spark, sf))
+    count = lambda part, name: made[part].groupBy("point_id").agg(F.count("*").alias(name))
+    return made["qa"].join(count("members", "kept_cells"), "point_id", "left").join(count("increments", "incremental_cells"), "point_id", "left").na.fill(0).join(
+        made["relations"].select(F.col("upstream_point").alias("point_id"), "downstream_point"), "point_id", "left")
 
 
 @query("r5_characterise", cc.TERRAIN + """, sl AS (SELECT point_id, avg(slope_pct) AS s, min(z) AS lo, max(z) AS hi, avg(z) AS m, max(z) FILTER (on_divide) AS dv FROM terrain GROUP BY 1),

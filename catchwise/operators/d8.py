@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwise.operators import doubling
+from catchwise.operators import intervals as iv
 from catchwise.runtime import cut, small
 from catchwise.sources.rasters import cell_id
 
@@ -207,36 +208,36 @@ def path_stations(path: DataFrame, centroids: DataFrame, cells: DataFrame, *, x0
 # --- cell-set algebra between catchments --------------------------------------------------------
 
 def reconcile(members: DataFrame, nested: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``reconcile_places`` for nesting given as all ordered pairs ``upstream_point, downstream_point``."""
+    return reconcile_places(members, iv.places_of_pairs(nested, members.select("point_id").distinct()), sizes)
+
+
+def reconcile_places(members: DataFrame, places: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Make catchments nest or stay disjoint, working on cell sets.
 
-    ``members``: ``point_id, row, col``; ``nested``: ordered pairs ``upstream_point,
-    downstream_point``; ``sizes``: ``point_id, raw_cells``.  An upstream catchment loses
-    cells outside its downstream one; of any two unrelated branches in a cell the larger raw
-    catchment (then the smaller id) keeps it.  Kept members of a cell form a chain of nested
-    catchments, so one pass from the largest down needs to look at the last one kept only.
-    Returns kept members and QA counts.
+    ``members``: ``point_id, row, col``; ``places``: ``point_id, enter, leave, depth`` in the tree of outlets (points with
+    equal numbers share an outlet); ``sizes``: ``point_id, raw_cells``.  An upstream catchment loses cells outside any of
+    its downstream ones: those where fewer of its ``depth`` downstream catchments are present.  Of any two unrelated
+    branches in a cell the larger raw catchment (then the smaller id) keeps it.  Kept members of a cell form a chain of
+    nested catchments, so one pass from the largest down needs to look at the last one kept only.  A row carries two
+    numbers, however deep its outlet lies.  Returns kept members and QA counts.
     """
     keyed = members.select("point_id", cell_id(F.col("row"), F.col("col")).alias("node"))
-    need = nested.select(F.col("upstream_point").alias("point_id"), "downstream_point").distinct()
-    asked = keyed.join(small(need), "point_id")
-    have = keyed.select(F.col("point_id").alias("downstream_point"), "node")
-    outside = asked.join(have, ["downstream_point", "node"], "left_anti").select("point_id", "node").distinct()
-    clipped = keyed.join(outside, ["point_id", "node"], "left_anti")
-    below = nested.groupBy(F.col("upstream_point").alias("point_id")).agg(F.collect_set("downstream_point").alias("into"))
-    known = small(sizes.join(below, "point_id", "left"))
-    ranked = clipped.join(known, "point_id").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("raw_cells")).alias("order"), "point_id", F.coalesce("into", F.array().cast("array<string>")).alias("into")))).alias("members"))
-    kind = "struct<last:string,kept:array<string>>"
+    known = small(sizes.join(places.select("point_id", "enter", "leave", "depth"), "point_id"))
+    here = keyed.join(known, "point_id").groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("raw_cells")).alias("order"), "point_id", "enter", "leave", "depth"))).alias("members"))
+    holders = lambda m: F.size(F.array_distinct(F.transform(F.filter("members", lambda o: (o["enter"] < m["enter"]) & (m["enter"] < o["leave"])), lambda o: o["enter"])))
+    here = here.select("node", F.transform("members", lambda m: F.struct(m["point_id"].alias("point_id"), m["enter"].alias("enter"), m["leave"].alias("leave"), (holders(m) == m["depth"]).alias("within"))).alias("members"))
+    point = members.schema["point_id"].dataType.simpleString()
+    kind = f"struct<enter:bigint,leave:bigint,kept:array<{point}>>"
     chain = F.aggregate(
-        "members", F.struct(F.lit(None).alias("last"), F.array().alias("kept")).cast(kind),
-        lambda seen, m: F.when(seen["last"].isNull() | F.array_contains(m["into"], seen["last"]), F.struct(m["point_id"].alias("last"), F.array_append(seen["kept"], m["point_id"]).alias("kept")).cast(kind)).otherwise(seen))
-    judged = ranked.select("node", F.transform("members", lambda m: m["point_id"]).alias("all"), chain["kept"].alias("kept_points"))
-    judged = cut(judged.select("node", "kept_points", F.explode("all").alias("point_id")))
-    keep = F.array_contains("kept_points", F.col("point_id"))
-    kept = judged.filter(keep).select("point_id", "node")
-    qa = keyed.groupBy("point_id").agg(F.count("*").alias("raw_cells")).join(
-        outside.groupBy("point_id").agg(F.count("*").alias("outside_cells")), "point_id", "left").join(
-        judged.filter(~keep).groupBy("point_id").agg(F.count("*").alias("overlap_cells")), "point_id", "left").na.fill(0)
+        F.filter("members", lambda m: m["within"]), F.struct(F.lit(None).alias("enter"), F.lit(None).alias("leave"), F.array().alias("kept")).cast(kind),
+        lambda seen, m: F.when(seen["enter"].isNull() | ((seen["enter"] < m["enter"]) & (m["enter"] < seen["leave"])),
+                               F.struct(m["enter"].alias("enter"), m["leave"].alias("leave"), F.array_append(seen["kept"], m["point_id"]).alias("kept")).cast(kind)).otherwise(seen))
+    judged = cut(here.select("node", chain["kept"].alias("kept_points"), F.explode("members").alias("m")).select(
+        "node", "m.point_id", "m.within", F.array_contains("kept_points", F.col("m.point_id")).alias("keep")))
+    kept = judged.filter("keep").select("point_id", "node")
+    qa = judged.groupBy("point_id").agg(
+        F.count("*").alias("raw_cells"), F.count_if(~F.col("within")).alias("outside_cells"), F.count_if(F.col("within") & ~F.col("keep")).alias("overlap_cells"))
     return kept, qa
 
 
@@ -257,8 +258,11 @@ def nested_donors(graph: DataFrame, outlets: DataFrame) -> DataFrame:
     (its outlet drains into the larger one) or none, so the 95 % rule is containment.
     ``outlets``: ``point_id, node``.
     """
+    inside = iv.nested_pairs(outlet_places(graph, outlets), ["point_id"])
+    return inside.select(F.col("inner.point_id").alias("inner_point"), F.col("outer.point_id").alias("outer_point"), F.lit(1.0).alias("shared_ratio"))
+
+
+def outlet_places(graph: DataFrame, outlets: DataFrame) -> DataFrame:
+    """``point_id, enter, leave, depth`` of outlet cells ``point_id, node``."""
     _, tree = catchment_owner(graph, outlets)
-    inside = doubling.ancestors(tree)
-    a = outlets.select(F.col("point_id").alias("inner_point"), "node")
-    b = outlets.select(F.col("point_id").alias("outer_point"), F.col("node").alias("ancestor"))
-    return inside.join(a, "node").join(b, "ancestor").select("inner_point", "outer_point", F.lit(1.0).alias("shared_ratio"))
+    return cut(outlets.select("point_id", "node").join(iv.tree_intervals(tree), "node").select("point_id", "enter", "leave", "depth"))

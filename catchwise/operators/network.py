@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from catchwise.operators import doubling, ordered
+from catchwise.operators import intervals as iv
 from catchwise.runtime import cut, small
 
 CONNECTOR_LENGTH_M = 1e-9
@@ -271,31 +272,39 @@ def with_drainage_ratios(df: DataFrame) -> DataFrame:
 
 # --- relations between outlets ----------------------------------------------------------------
 
-def flow_path_pairs(links: DataFrame, points: DataFrame) -> DataFrame:
-    """All ordered pairs of points on one flow path: ``(upstream_point, downstream_point, relation)``.
-
-    ``points``: ``point_id, linkno, area_km2``.  Every pair not listed here lies on
-    different branches (same basin) or in different basins; those follow from the
-    two basin codes alone, so they are never enumerated - see ``classify_pairs``.
-    """
+def point_places(links: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` with the ``enter``, ``leave`` and ``depth`` of their link in the tree of outlets."""
     _, tree = outlet_tree(links, points)
-    nested = doubling.ancestors(tree)
-    up = points.select(F.col("point_id").alias("upstream_point"), F.col("linkno").alias("node"))
-    down = points.select(F.col("point_id").alias("downstream_point"), F.col("linkno").alias("ancestor"))
-    across = nested.join(up, "node").join(down, "ancestor").select(
-        "upstream_point", "downstream_point", F.lit("same_flow_path").alias("relation")
-    )
+    return cut(points.join(iv.tree_intervals(tree).drop("parent").withColumnRenamed("node", "linkno"), "linkno"))
+
+
+def _same_area(a: str, b: str):
+    return F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1e-6), 1e-5 * F.greatest(F.col(a), F.col(b), F.lit(1.0)))
+
+
+def _shared_link_pairs(points: DataFrame) -> DataFrame:
+    """Pairs of points on one link: the same outlet, or the smaller area upstream."""
     a = points.select(F.col("point_id").alias("pa"), "linkno", F.col("area_km2").alias("aa"))
     b = points.select(F.col("point_id").alias("pb"), "linkno", F.col("area_km2").alias("ab"))
-    same = F.abs(F.col("aa") - F.col("ab")) <= F.greatest(
-        F.lit(1e-6), 1e-5 * F.greatest(F.col("aa"), F.col("ab"), F.lit(1.0)))
+    same = _same_area("aa", "ab")
     ahead = same | (F.col("aa") < F.col("ab"))
-    shared = a.join(b, "linkno").filter("pa < pb").select(
+    return a.join(b, "linkno").filter("pa < pb").select(
         F.when(ahead, F.col("pa")).otherwise(F.col("pb")).alias("upstream_point"),
         F.when(ahead, F.col("pb")).otherwise(F.col("pa")).alias("downstream_point"),
         F.when(same, "same_outlet").otherwise("same_flow_path").alias("relation"),
     )
-    return across.unionByName(shared)
+
+
+def flow_path_pairs(links: DataFrame, points: DataFrame) -> DataFrame:
+    """All ordered pairs of points on one flow path: ``(upstream_point, downstream_point, relation)``.
+
+    ``points``: ``point_id, linkno, area_km2``.  Every pair not listed here lies on
+    different branches (same basin) or in different basins; those follow from the
+    two basin codes alone, so they are never enumerated - see ``classify_pairs``.
+    """
+    across = iv.nested_pairs(point_places(links, points), ["point_id"]).select(
+        F.col("inner.point_id").alias("upstream_point"), F.col("outer.point_id").alias("downstream_point"), F.lit("same_flow_path").alias("relation"))
+    return across.unionByName(_shared_link_pairs(points))
 
 
 def next_downstream(links: DataFrame, points: DataFrame) -> DataFrame:
@@ -312,51 +321,54 @@ def next_downstream(links: DataFrame, points: DataFrame) -> DataFrame:
         "downstream_point is not null")
 
 
+def _placed(points: DataFrame, name: str) -> DataFrame:
+    return points.select(F.col("point_id").alias(f"point_{name}"), F.struct("linkno", "area_km2", "enter", "leave", *(["basin_code"] if "basin_code" in points.columns else [])).alias(name))
+
+
 def classify_pairs(pairs: DataFrame, links: DataFrame, points: DataFrame) -> DataFrame:
-    """Relation of each requested pair ``(point_a, point_b)`` by equality joins only."""
-    flow = cut(flow_path_pairs(links, points))
-    fwd = flow.select(F.col("upstream_point").alias("point_a"), F.col("downstream_point").alias("point_b"),
-                      F.col("relation").alias("_r"), F.lit(True).alias("_fwd"))
-    rev = flow.select(F.col("downstream_point").alias("point_a"), F.col("upstream_point").alias("point_b"),
-                      F.col("relation").alias("_r"), F.lit(False).alias("_fwd"))
-    codes = points.select("point_id", "basin_code")
-    ca = codes.select(F.col("point_id").alias("point_a"), F.col("basin_code").alias("_ca"))
-    cb = codes.select(F.col("point_id").alias("point_b"), F.col("basin_code").alias("_cb"))
-    return (
-        pairs.join(fwd.unionByName(rev), ["point_a", "point_b"], "left").join(ca, "point_a").join(cb, "point_b")
-        .select(
-            "point_a", "point_b",
-            F.coalesce("_r", F.when(F.col("_ca") == F.col("_cb"), "same_basin_different_branch")
-                       .otherwise("different_basin")).alias("relation"),
-            F.when(F.col("_fwd"), F.col("point_a")).when(~F.col("_fwd"), F.col("point_b")).alias("upstream_point"),
-            F.when(F.col("_fwd"), F.col("point_b")).when(~F.col("_fwd"), F.col("point_a")).alias("downstream_point"),
-        )
-    )
+    """Relation of each requested pair ``(point_a, point_b)``: two comparisons of enter and leave numbers."""
+    placed = point_places(links, points)
+    j = pairs.join(_placed(placed, "a"), "point_a").join(_placed(placed, "b"), "point_b")
+    shared = (F.col("a.linkno") == F.col("b.linkno")) & (F.col("point_a") != F.col("point_b"))
+    same = shared & _same_area("a.area_km2", "b.area_km2")
+    # on one link the smaller area is upstream, and of equal areas the smaller id is named first
+    first = F.when(same, F.col("point_a") < F.col("point_b")).otherwise(F.col("a.area_km2") < F.col("b.area_km2"))
+    up = F.when(shared, first).when(iv.inside("a", "b"), True).when(iv.inside("b", "a"), False)
+    return j.withColumn("_up", up).select(
+        "point_a", "point_b",
+        F.when(same, "same_outlet").when(F.col("_up").isNotNull(), "same_flow_path").when(F.col("a.basin_code") == F.col("b.basin_code"), "same_basin_different_branch")
+        .otherwise("different_basin").alias("relation"),
+        F.when(F.col("_up"), F.col("point_a")).when(~F.col("_up"), F.col("point_b")).alias("upstream_point"),
+        F.when(F.col("_up"), F.col("point_b")).when(~F.col("_up"), F.col("point_a")).alias("downstream_point"))
 
 
 def relation_counts(links: DataFrame, points: DataFrame) -> DataFrame:
-    """Number of partners of each point per relation, without listing unrelated pairs."""
-    flow = cut(flow_path_pairs(links, points))
-    mine = flow.select(F.col("upstream_point").alias("point_id"), F.col("downstream_point").alias("_o"), "relation").unionByName(
-        flow.select(F.col("downstream_point").alias("point_id"), F.col("upstream_point").alias("_o"), "relation"))
+    """Number of partners of each point per relation, without listing pairs of different links.
+
+    Partners up and down the flow path are counted on the line of enter and leave numbers, once over all points and
+    once among those of the same basin code.
+    """
+    placed = point_places(links, points)
+    both = F.col("above") + F.col("below")
+    every = iv.counts_along(placed, [], ["point_id"]).select("point_id", both.alias("_path"))
+    coded = iv.counts_along(placed, ["basin_code"], ["point_id"]).select("point_id", both.alias("_in_path"))
+    shared = _shared_link_pairs(points)
+    mine = shared.select(F.col("upstream_point").alias("point_id"), F.col("downstream_point").alias("_o"), "relation").unionByName(
+        shared.select(F.col("downstream_point").alias("point_id"), F.col("upstream_point").alias("_o"), "relation"))
     code = points.select(F.col("point_id").alias("_o"), F.col("basin_code").alias("_oc"))
     own = points.select("point_id", "basin_code")
     linked = mine.join(code, "_o").join(own, "point_id").groupBy("point_id").agg(
-        F.sum(F.when(F.col("relation") == "same_outlet", 1).otherwise(0)).alias("same_outlet"),
-        F.sum(F.when(F.col("relation") == "same_flow_path", 1).otherwise(0)).alias("same_flow_path"),
-        F.sum(F.when(F.col("_oc") == F.col("basin_code"), 1).otherwise(0)).alias("_in"),
-    )
+        F.count_if(F.col("relation") == "same_outlet").alias("_so"), F.count_if(F.col("relation") == "same_flow_path").alias("_sp"), F.count_if(F.col("_oc") == F.col("basin_code")).alias("_si"))
     per_code = points.groupBy("basin_code").agg(F.count("*").alias("_n"))
     total = points.count()
     zero = F.lit(0)
-    inside = F.coalesce(F.col("_n"), F.lit(1)) - 1 - F.coalesce("_in", zero)
-    linked_n = F.coalesce("same_outlet", zero) + F.coalesce("same_flow_path", zero)
+    so, sp, si = (F.coalesce(c, zero) for c in ("_so", "_sp", "_si"))
+    path = F.coalesce("_path", zero) + sp
+    within = F.coalesce(F.col("_n"), F.lit(1)) - 1 - F.coalesce("_in_path", zero) - si
     return (
-        own.join(small(per_code), "basin_code", "left").join(linked, "point_id", "left")
-        .select("point_id", F.coalesce("same_outlet", zero).cast("long").alias("same_outlet"),
-                F.coalesce("same_flow_path", zero).cast("long").alias("same_flow_path"),
-                inside.cast("long").alias("same_basin_different_branch"),
-                (F.lit(total) - 1 - linked_n - inside).cast("long").alias("different_basin"))
+        own.join(small(per_code), "basin_code", "left").join(every, "point_id", "left").join(coded, "point_id", "left").join(linked, "point_id", "left")
+        .select("point_id", so.cast("long").alias("same_outlet"), path.cast("long").alias("same_flow_path"), within.cast("long").alias("same_basin_different_branch"),
+                (F.lit(total) - 1 - so - path - within).cast("long").alias("different_basin"))
     )
 
 
@@ -366,17 +378,15 @@ def chain_segments(links: DataFrame, points: DataFrame) -> DataFrame:
     ``is_chain`` says whether every outlet of the network drains into the next one.
     ``points``: ``point_id, linkno, area_km2, basin_id``.
     """
-    flow = flow_path_pairs(links, points).select("upstream_point", "downstream_point", F.lit(True).alias("_linked"))
-    ordered_points = ordered.neighbours(points, ["basin_id"], ["area_km2", "point_id"], ["point_id", "area_km2"], ahead=True)
-    steps = ordered_points.filter("next is not null").select(
+    placed = point_places(links, points)
+    near = ordered.neighbours(placed, ["basin_id"], ["area_km2", "point_id"], ["point_id", "area_km2", "linkno", "enter", "leave"], ahead=True)
+    # on one link the next by (area, id) is downstream
+    linked = (F.col("linkno") == F.col("next.linkno")) | ((F.col("next.enter") < F.col("enter")) & (F.col("enter") < F.col("next.leave")))
+    steps = near.filter("next is not null").select(
         "basin_id", F.col("point_id").alias("upstream_point"), F.col("next.point_id").alias("downstream_point"),
-        F.greatest(F.lit(0.0), F.col("next.area_km2") - F.col("area_km2")).alias("incremental_area_km2"),
-    )
-    linked = steps.join(flow, ["upstream_point", "downstream_point"], "left").withColumn(
-        "linked", F.coalesce("_linked", F.lit(False)))
-    flag = linked.groupBy("basin_id").agg(F.bool_and("linked").alias("is_chain"))
-    return linked.join(flag, "basin_id").select(
-        "basin_id", "upstream_point", "downstream_point", "incremental_area_km2", "linked", "is_chain")
+        F.greatest(F.lit(0.0), F.col("next.area_km2") - F.col("area_km2")).alias("incremental_area_km2"), linked.alias("linked"))
+    flag = steps.groupBy("basin_id").agg(F.bool_and("linked").alias("is_chain"))
+    return steps.join(flag, "basin_id").select("basin_id", "upstream_point", "downstream_point", "incremental_area_km2", "linked", "is_chain")
 
 
 def incremental_area(tree: DataFrame, areas: DataFrame) -> DataFrame:
