@@ -95,8 +95,8 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 def coded(made: DataFrame) -> DataFrame:
     """(shard, places, codes): the dictionary's code of every word of every shard, in pieces.
 
-    Equal words of all shards lie side by side after one shuffle, sorted by hash and then by word, and a task numbers them in
-    that order. A word has one row a shard, however often it occurs.
+    Equal words of all shards lie side by side after one shuffle, sorted, and a task numbers them in that order. A word has
+    one row a shard, however often it occurs.
     """
     words = made.select("shard", F.posexplode("words").alias("place", "word"))
 
@@ -127,8 +127,8 @@ def coded(made: DataFrame) -> DataFrame:
         if waiting:
             yield hand_on()
 
-    dealt = words.withColumn("hash", F.xxhash64("word")).repartition("hash").sortWithinPartitions("hash", "word")
-    return dealt.select("shard", "place", "word").mapInArrow(run, "shard long, places array<int>, codes array<long>")
+    dealt = words.repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "shard long, places array<int>, codes array<long>")
 
 
 def encoded(made: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def measures(matrix: DataFrame) -> DataFrame:
 def patterns(docs: DataFrame, labels: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(part, failed, n, good, toxic): documents by part and failed filters, bit ``k`` for letter ``k`` of ``FILTERS``."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    made = Cut(shards(read, shard_bytes))
+    made = Cut(shards(read, shard_bytes), compression="zstd")
     rows = Cut(measures(encoded(made.df)))
     made.drop()
     copies = Cut(rows.df.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"))
