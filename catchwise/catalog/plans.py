@@ -10,6 +10,7 @@ from catchwise.catalog.base import ORACLES, query
 from catchwise.functions.numeric import rounded
 from catchwise.operators import climate as cl
 from catchwise.operators import d8
+from catchwise.operators import water_balance as wb
 from catchwise.plans import catchment as pc
 from catchwise.plans import models as pm
 from catchwise.plans import network as pn
@@ -158,17 +159,22 @@ def _model_points(spark, sf):
     return tb.mock_parameters(spark, sf).withColumn("donor_set", F.col("s_suppkey") % 2)
 
 
-@query("r11_water_balance_model", ss.MOCK + f""", o AS (SELECT point_id, year, period, days, runoff * area_km2 * 1000 / (days * 86400) AS q FROM trace)
+#: The recursion from the first whole year on.
+WHOLE = ss.MOCK.replace("FROM climate c JOIN params p USING (point_id)", """FROM climate c JOIN params p USING (point_id)
+   WHERE c.year >= (SELECT min(year) FROM (SELECT year FROM climate w WHERE w.point_id = c.point_id GROUP BY year HAVING count(DISTINCT period) = 24))""")
+
+
+@query("r11_water_balance_model", WHOLE + f""", o AS (SELECT point_id, year, period, days, runoff * area_km2 * 1000 / (days * 86400) AS q FROM trace WHERE year >= (SELECT min(year) FROM trace) + 3)
  SELECT point_id, count(*) AS count, round(avg(q), 6) AS mean, round(median(q), 6) AS median, round(sum(q * days * 86400), 1) AS volume_m3 FROM o GROUP BY 1""")
 def r11(spark, sf):
-    out = pm.water_balance_model(tb.climate(spark, sf), _model_points(spark, sf), ss._observed(spark, sf), warmup_years=0)  # the first calendar year of the feed is not whole
+    out = pm.water_balance_model(wb.whole_years(tb.climate(spark, sf)), _model_points(spark, sf), ss._observed(spark, sf), warmup_years=3)
     s = out["statistics"].select("point_id", "count", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
     return s.join(rounded(out["volume"], 1), "point_id")
 
 
 @query("r11_calibrated_model")
 def r11_auto(spark, sf):
-    out = pm.water_balance_model(tb.climate(spark, sf), _model_points(spark, sf), ss._observed(spark, sf), mode="auto", warmup_years=0)
+    out = pm.water_balance_model(wb.whole_years(tb.climate(spark, sf)), _model_points(spark, sf), ss._observed(spark, sf), mode="auto", warmup_years=3)
     return out["comparison"]
 
 

@@ -129,6 +129,13 @@ def warmup_problems(climate: DataFrame, years: int) -> DataFrame:
                       .when(F.col("_last") < F.col("_y") + years, "no_output_period").alias("reason")).filter("reason is not null")
 
 
+def whole_years(climate: DataFrame) -> DataFrame:
+    """The feed of each catchment from its first year with all 24 half-months on, where a warm-up can begin."""
+    full = climate.groupBy("point_id", "year").agg(F.count_distinct("period").alias("_n")).filter("_n = 24")
+    first = full.groupBy("point_id").agg(F.min("year").alias("_first"))
+    return climate.join(first, "point_id").filter(F.col("year") >= F.col("_first")).drop("_first")
+
+
 def after_warmup(trace: DataFrame, years: int) -> DataFrame:
     """Cut the warm-up years; the storages carried through them stay in the state."""
     first = trace.groupBy("point_id").agg(F.min("year").alias("_y"))

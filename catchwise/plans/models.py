@@ -25,7 +25,7 @@ def area_ratio_model(q: DataFrame, donors: DataFrame, targets: DataFrame, *, b:
             "validation": tr.leave_one_out(q, donors, b), "warnings": tr.warnings(tr.pairs_with_distance(targets, donors), tr.common_years(q, donors), targets)}
 
 
-def water_balance_model(climate: DataFrame, points: DataFrame, observed: DataFrame | None = None, *, mode: str = "gis", warmup_years: int = 1, bounds: dict | None = None,
+def water_balance_model(climate: DataFrame, points: DataFrame, observed: DataFrame | None = None, *, mode: str = "gis", warmup_years: int = 3, bounds: dict | None = None,
                         fit: list[str] | None = None) -> dict[str, DataFrame]:
     """Configure, calibrate where gauged, transfer elsewhere, simulate and compare.
 

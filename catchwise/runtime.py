@@ -39,7 +39,7 @@ def scratch_root(spark: SparkSession) -> str:
 class Cut:
     """A frame written to the scratch folder and read back with short lineage."""
 
-    def __init__(self, df: DataFrame, count_if: Column | None = None):
+    def __init__(self, df: DataFrame, count_if: Column | None = None, compression: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/catchwise/{uuid.uuid4().hex}"
         schema = df.schema
@@ -48,7 +48,7 @@ class Cut:
             # counted while the rows are written, so no second job is needed
             watch = Observation(uuid.uuid4().hex)
             df = df.observe(watch, F.count(F.when(count_if, 1)).alias("n"))
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, compression=compression)
         self.count = watch.get["n"] if watch is not None else None
         self.df = self.spark.read.schema(schema).parquet(self.path)
 

@@ -20,14 +20,18 @@ def halfmonth_totals(daily: DataFrame, *, lateness: str = "10 days") -> DataFram
     its last day, up to sixteen days ahead of its rows, so the watermark waits that much
     longer and no row within the allowance is dropped.  In append mode a period is emitted
     once closed; in update mode each batch also reports what is still open.  ``complete``
-    tells whether every day arrived; gaps are never filled with zeros.
+    tells whether every day arrived; gaps are never filled with zeros.  A day of a cell counts
+    once: a repeated row changes nothing, and of different values the largest stands.
     """
     day = F.to_date("ts")
     year, p = F.year(day), period(day)
     last = F.date_add(period_start(year, p), halfmonth_days(year, p) - 1).cast("timestamp")
     keyed = daily.withColumn("period_end", last).withWatermark("period_end", f"{int(lateness.split()[0]) + 16} days")
-    # at most sixteen dates belong to a period, so the set of days stays tiny
-    agg = keyed.groupBy("period_end", "cell").agg(F.sum("mm").alias("mm"), F.size(F.collect_set(F.to_date("ts"))).alias("days_seen"))
+    # at most sixteen dates belong to a period, so one value a date is a tiny state and needs no second stateful step
+    each = [F.max(F.when(F.datediff(F.to_date("period_end"), F.to_date("ts")) == k, F.col("mm"))).alias(f"d{k}") for k in range(16)]
+    agg = keyed.groupBy("period_end", "cell").agg(*each)
+    days = F.array_compact(F.array(*[f"d{k}" for k in range(16)]))
+    agg = agg.select("period_end", "cell", F.aggregate(days, F.lit(0.0), lambda a, v: a + v).alias("mm"), F.size(days).alias("days_seen"))
     end = F.to_date("period_end")
     y, q = F.year(end), period(end)
     return agg.select("cell", y.alias("year"), q.alias("period"), "mm", "days_seen", (F.col("days_seen") == halfmonth_days(y, q)).alias("complete"))

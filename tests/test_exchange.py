@@ -77,6 +77,16 @@ def test_halfmonth_stream_with_late_rows(spark):
     assert newest == {(2024, 0): (15.0, True), (2024, 1): (16.0, True), (2024, 2): (15.0, True), (2024, 3): (14.0, True), (2024, 4): (10.0, False)}
 
 
+def test_a_day_sent_twice_counts_once(spark):
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(15)]
+    rows = [(0, d, 1.0) for d in days[:14]] + [(0, days[3], 1.0), (0, days[3] + dt.timedelta(hours=6), 0.5), (1, days[0], None)]
+    batch = spark.createDataFrame(rows, "cell int, ts timestamp, mm double")
+    got = {r.cell: (r.mm, r.days_seen, r.complete) for r in fl.halfmonth_totals(batch).collect()}
+    assert got == {0: (14.0, 14, False), 1: (0.0, 0, False)}
+    whole = fl.halfmonth_totals(batch.unionByName(spark.createDataFrame([(0, days[14], 2.0)] * 3, batch.schema))).filter("cell = 0").first()
+    assert (whole.mm, whole.days_seen, whole.complete) == (16.0, 15, True)
+
+
 def test_years_accepted_before_are_rejected(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     guard = fl.guard_batches(lambda b: (b.filter("q >= 0"), b.filter("q < 0").select("gauge", "year", F.lit("negative").alias("reason"))), f"{root}/ok", f"{root}/bad", ["gauge", "year"])
