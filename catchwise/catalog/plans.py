@@ -74,14 +74,54 @@ def _block_reaches(spark, sf):
     return c.select("linkno", F.lit(0).alias("part"), F.lit(0).alias("seq"), (bx + 60).alias("x1"), (by - 60).alias("y1"), (bx + 690).alias("x2"), (by - 690).alias("y2"), F.lit(1.0).alias("ds_cont_area_km2"))
 
 
-def delineation(spark, sf):
+def _official(spark, sf):
+    """Rectangular basins over the raster: polygons, names and cells; some are karst, some have no links of their own."""
+    cells = tb.cells(spark, sf).select("row", "col", (F.floor(F.col("row") / 50) * 10 + F.floor(F.col("col") / 63)).cast("long").alias("basin_code"))
+    box = cells.groupBy(F.col("basin_code").alias("poly_id")).agg(F.min("row").alias("r1"), (F.max("row") + 1).alias("r2"), F.min("col").alias("c1"), (F.max("col") + 1).alias("c2"))
+    corner = (("c1", "r2"), ("c2", "r2"), ("c2", "r1"), ("c1", "r1"))
+    side = lambda i: F.struct(F.lit(i).alias("seq"), *[(F.col(corner[k % 4][j]) * (30.0, -30.0)[j]).alias(n) for k, names in ((i, ("x1", "y1")), (i + 1, ("x2", "y2"))) for j, n in enumerate(names)])
+    edges = box.select("poly_id", F.lit(0).alias("part"), F.lit(0).alias("ring"), F.inline(F.array(*[side(i) for i in range(4)])))
+    basins = box.select(F.col("poly_id").alias("basin_code"), F.when(F.col("poly_id") % 7 == 3, "Bribin").otherwise(F.concat(F.lit("B"), "poly_id")).alias("basin_name"), (F.col("poly_id") % 4 != 0).alias("supported"))
+    return {"basins": basins, "basin_edges": edges, "basin_cells": cells}
+
+
+def delineation(spark, sf, **more):
     pts = tb.cell_outlets(spark, sf).select("point_id", "x", "y")
-    return pn.delineate(pts, _block_reaches(spark, sf), tb.cells(spark, sf), tb.links(spark, sf), grid=tb.GRID)
+    return pn.delineate(pts, _block_reaches(spark, sf), tb.cells(spark, sf), tb.links(spark, sf), grid=tb.GRID, **_official(spark, sf), **more)
+
+
+R3 = f"""WITH RECURSIVE {tb.CELLS_SQL}, {tb.CELL_OUTLETS_SQL}, {tb.LINKS_SQL},
+ st AS (SELECT point_id, (k % 125 + 0.5) * 30.0 AS x, -(k // 125 + 0.5) * 30.0 AS y, k // 125 // 50 * 10 + k % 125 // 63 AS code FROM couts),
+ status AS (SELECT *, CASE WHEN code % 7 = 3 THEN 'karst' WHEN code % 4 = 0 THEN 'official_direct' ELSE 'dem' END AS status FROM st),
+ reach AS (SELECT DISTINCT link_id AS linkno, (link_id - 1) % 5 * 750.0 AS bx, (link_id - 1) // 5 * -750.0 AS byy FROM cells),
+ along AS (SELECT point_id, linkno, bx, byy, x, y, least(630, greatest(0, (x - bx - 60 + byy - 60 - y) / 2)) AS s FROM status, reach WHERE status = 'dem' AND abs(x - bx - 375) < 700 AND abs(byy - 375 - y) < 700),
+ dist AS (SELECT *, round(sqrt(pow(x - bx - 60 - s, 2) + pow(byy - 60 - s - y, 2)), 7) AS d FROM along),
+ snap AS (SELECT point_id, arg_min({{'l': linkno, 'd': d, 'sx': bx + 60 + s, 'sy': byy - 60 - s}}, (d, linkno)) AS m FROM dist WHERE d <= 300 GROUP BY 1),
+ cand AS (SELECT snap.point_id, m.l AS linkno, m.d AS d, c.k, c.row, c.col, round(pow(c.row + 0.5 + m.sy / 30, 2) + pow(c.col + 0.5 - m.sx / 30, 2), 9) AS d2 FROM snap JOIN cells c ON c.link_id = m.l
+   WHERE c.col % 25 BETWEEN 2 AND 23 AND (c.row % 25 = c.col % 25 OR (c.row % 25 = c.col % 25 + 1 AND c.col % 25 < 23))),
+ pl AS (SELECT point_id, any_value(linkno) AS linkno, any_value(d) AS d, arg_min(k, (d2, row, col)) AS k FROM cand GROUP BY 1),
+ recv AS (SELECT c.k, t.k AS r FROM cells c JOIN cells t ON t.row = c.row + CASE WHEN c.d8 IN (7, 8) THEN 1 ELSE 0 END AND t.col = c.col + CASE WHEN c.d8 IN (1, 8) THEN 1 ELSE 0 END AND t.link_id = c.link_id),
+ up(outlet, k) AS (SELECT DISTINCT k, k FROM pl UNION ALL SELECT u.outlet, r.k FROM up u JOIN recv r ON r.r = u.k),
+ closure(o, linkno) AS (SELECT linkno, linkno FROM links UNION ALL SELECT c.o, l.linkno FROM closure c JOIN links l ON l.downstream_id = c.linkno),
+ loc AS (SELECT outlet, count(*) AS n FROM up GROUP BY 1), per AS (SELECT link_id, count(*) AS n FROM cells GROUP BY 1),
+ ups AS (SELECT o, count(*) AS units, coalesce(sum(n), 0) AS n FROM closure LEFT JOIN per ON per.link_id = linkno WHERE linkno <> o GROUP BY 1)"""
+
+
+@query("r3_delineate", R3 + """ SELECT s.point_id, code AS basin_code, CASE WHEN status <> 'dem' THEN status WHEN m IS NULL THEN 'no_link_in_reach' WHEN pl.k IS NULL THEN 'no_cell' ELSE 'delineated' END AS status,
+   m.l AS linkno, round(m.d, 4) AS snap_distance_m, CAST(pl.k // 125 AS INTEGER) AS row, CAST(pl.k % 125 AS INTEGER) AS col, loc.n AS local_cells, CASE WHEN pl.k IS NOT NULL THEN coalesce(units, 0) END AS full_upstream_units,
+   CAST(loc.n + coalesce(ups.n, 0) AS BIGINT) AS total_cells, round(CAST(loc.n + coalesce(ups.n, 0) AS DOUBLE) * 0.0009, 6) AS area_km2
+ FROM status s LEFT JOIN snap USING (point_id) LEFT JOIN pl USING (point_id) LEFT JOIN loc ON loc.outlet = pl.k LEFT JOIN ups ON ups.o = pl.linkno""")
+def r3(spark, sf):
+    c = delineation(spark, sf)["catchments"]
+    return c.select("point_id", "basin_code", "status", "linkno", F.round("snap_distance_m", 4).alias("snap_distance_m"), "row", "col", "local_cells", "full_upstream_units", "total_cells", F.round("area_km2", 6).alias("area_km2"))
 
 
-@query("r3_delineate")
-def r3(spark, sf):
-    return delineation(spark, sf)["catchments"]
+@query("r3_boundaries")
+def r3_boundaries(spark, sf):
+    """The finished boundaries of the same outlets: mode, areas, contact and increments."""
+    c = delineation(spark, sf, boundaries=True)["catchments"]
+    return c.select("point_id", "status", "boundary_mode", "total_cells", "kept_cells", "outside_cells", "overlap_cells", *[F.round(n, 6).alias(n) for n in (
+        "raw_km2", "final_km2", "boundary_adjustment_km2", "contact_percent", "perimeter_km", "incremental_km2")])
 
 
 @query("r4_refresh_topology")

@@ -116,24 +116,28 @@ def simplify(vertices: DataFrame, tolerance_m: float = SIMPLIFY_M, *, closed: bo
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _simplify_ring(pdf, tolerance_m, closed)
 
-    return spread(vertices.select("ring_id", "seq", "x", "y"), "ring_id").groupBy("ring_id").applyInPandas(run, "ring_id long, seq long, x double, y double")
+    kind = vertices.schema["ring_id"].dataType.simpleString()
+    return spread(vertices.select("ring_id", "seq", "x", "y"), "ring_id").groupBy("ring_id").applyInPandas(run, f"ring_id {kind}, seq long, x double, y double")
 
 
 # --- contact with the reference boundary -----------------------------------------------------
 
-def classify_contacts(edges: DataFrame, reference: DataFrame, match_m: float = MATCH_M) -> DataFrame:
+def classify_contacts(edges: DataFrame, reference: DataFrame, match_m: float = MATCH_M, owner: DataFrame | None = None) -> DataFrame:
     """Densified ring pieces with ``matched`` (midpoint within the match distance) and
     ``near`` (start vertex within the wider contact corridor).
 
-    ``reference``: segments ``seg_id, x1, y1, x2, y2``.
+    ``reference``: segments ``seg_id, x1, y1, x2, y2``; with ``owner`` (``poly_id, basin_code``) they carry ``basin_code``
+    too, and a ring meets only the segments of its own basin.
     """
     step = sample_step(match_m)
     dense = cut(densify(edges, F.lit(step)))
     ids = ["poly_id", "part", "ring", "seq", "piece"]
-    mid = dense.select(*ids, ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
-    hit = near_segments(mid, reference, match_m).select(*ids, F.lit(True).alias("_m")).distinct()
-    start = dense.select(*ids, F.col("x1").alias("x"), F.col("y1").alias("y"))
-    wide = near_segments(start, reference, match_m * 1.6 + step).select(*ids, F.lit(True).alias("_w")).distinct()
+    same = [] if owner is None else ["basin_code"]
+    known = dense if owner is None else dense.join(small(owner), "poly_id")
+    mid = known.select(*ids, *same, ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    hit = near_segments(mid, reference, match_m, same=same).select(*ids, F.lit(True).alias("_m")).distinct()
+    start = known.select(*ids, *same, F.col("x1").alias("x"), F.col("y1").alias("y"))
+    wide = near_segments(start, reference, match_m * 1.6 + step, same=same).select(*ids, F.lit(True).alias("_w")).distinct()
     return dense.join(hit, ids, "left").join(wide, ids, "left").select(
         *ids, "x1", "y1", "x2", "y2", F.coalesce("_m", F.lit(False)).alias("matched"), F.coalesce("_w", F.lit(False)).alias("near"))
 

@@ -14,6 +14,14 @@ def cell_id(row: Column, col: Column) -> Column:
     return row.cast("long") * STRIDE + col.cast("long")
 
 
+def cell_row(node: Column) -> Column:
+    return F.floor(node / STRIDE).cast("int")
+
+
+def cell_col(node: Column) -> Column:
+    return (node % STRIDE).cast("int")
+
+
 def with_tile(cells: DataFrame) -> DataFrame:
     """Add the tile key that storage is partitioned by."""
     return cells.withColumn("tile", F.concat_ws("_", F.floor(F.col("row") / TILE), F.floor(F.col("col") / TILE)))
