@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from catchwise.llm.common import map_text, side
 from catchwise.llm.graph import component_table
-from catchwise.runtime import Cut
+from catchwise.runtime import Cut, spread
 
 UNIVERSE, COORDINATES, BANDS, ROWS = 1 << 20, 128, 25, 5
 #: Of 128 one-bit coordinates, a pair at the threshold agrees on 115 on average, with a deviation of 3.4.
@@ -183,30 +183,36 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def candidates(pdf: pd.DataFrame, percent: int) -> np.ndarray:
-    """Which rows of two blocks may be linked, as a matrix, by what narrow rows tell.
+    """Which rows of two blocks may be linked to another one, by what narrow rows tell.
 
     A pair counts in the first bucket that its units share and in the two blocks that are theirs, so once over all buckets;
     its components differ, its sizes are near and its bits mostly equal.
     """
     root, n, own = (pdf[c].to_numpy() for c in ("root", "n", "own"))
-    bands = np.stack(pdf["bands"].to_numpy())
-    here = np.flatnonzero(bands[0] == pdf["band"].iloc[0])[0]
-    earlier = np.zeros((len(root), len(root)), dtype=bool)
-    for k in range(here):
-        earlier |= bands[:, k, None] == bands[None, :, k]
-    differ = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(np.int16) for x in (pdf[c].to_numpy().view(np.uint64) for c in ("bits0", "bits1")))
+    differ = sum(np.bitwise_count(x[:, None] ^ x[None, :]) for x in (pdf[c].to_numpy().view(np.uint64) for c in ("bits0", "bits1")))
     near = np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
-    met = near & (differ <= COORDINATES - AGREE) & (root[:, None] != root[None, :]) & ~earlier
-    return met if pdf["i"].iloc[0] == pdf["j"].iloc[0] else met & (own[:, None] != own[None, :])
+    met = near & (differ <= COORDINATES - AGREE) & (root[:, None] != root[None, :])
+    if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+        met &= own[:, None] != own[None, :]
+    left, right = np.nonzero(np.triu(met))
+    bands = np.stack(pdf["bands"].to_numpy())
+    for k in range(np.flatnonzero(bands[0] == pdf["band"].iloc[0])[0]):
+        # near sets share most buckets, so few pairs are left after some
+        later = bands[left, k] != bands[right, k]
+        left, right = left[later], right[later]
+    out = np.zeros(len(root), dtype=bool)
+    out[left] = out[right] = True
+    return out
 
 
 def _meeting(rows: DataFrame, percent: int) -> DataFrame:
     """(band, i, j, unit, root) of the units that have a candidate in two blocks; no pair and no set leaves a task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.loc[candidates(pdf, percent).any(axis=1), ["band", "i", "j", "unit", "root"]]
+        return pdf.loc[candidates(pdf, percent), ["band", "i", "j", "unit", "root"]]
 
-    return _dealt(rows).groupBy("band", "i", "j").applyInPandas(run, "band long, i int, j int, unit long, root long")
+    # narrow rows, but many comparisons: bytes do not tell how many tasks they need
+    return spread(_dealt(rows), "band", "i", "j").groupBy("band", "i", "j").applyInPandas(run, "band long, i int, j int, unit long, root long")
 
 
 def _bridges(meeting: DataFrame, held: DataFrame, percent: int) -> DataFrame:
