@@ -165,10 +165,11 @@ def k2(spark, sf):
     return rounded(vc.outlet_layer(_labelled(spark, sf)), 6)
 
 
-@query("k3_geojson", f"""WITH {tb.PARCELS_SQL}, p AS (SELECT poly_id, string_agg('[' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ']', ',' ORDER BY seq) AS c, any_value(CASE WHEN seq = 0 THEN '[' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ']' END) AS f FROM parcels GROUP BY 1)
- SELECT poly_id, '{{"type":"Feature","properties":{{"NAMA":"D' || poly_id || '"}},"geometry":{{"type":"MultiPolygon","coordinates":[[[' || c || ',' || f || ']]]}}}}' AS feature FROM p""")
+@query("k3_geojson", f"""WITH {tb.POLYGONS_SQL}, r AS (SELECT poly_id, part, ring, '[' || string_agg('[' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ']', ',' ORDER BY seq) || ',' || any_value(CASE WHEN seq = 0 THEN '[' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ']' END) || ']' AS c FROM edges GROUP BY 1, 2, 3),
+  p AS (SELECT poly_id, part, '[' || string_agg(c, ',' ORDER BY ring) || ']' AS c FROM r GROUP BY 1, 2), m AS (SELECT poly_id, string_agg(c, ',' ORDER BY part) AS c FROM p GROUP BY 1)
+ SELECT poly_id, '{{"type":"Feature","properties":{{"NAMA":"D' || poly_id || '"}},"geometry":{{"type":"MultiPolygon","coordinates":[' || c || ']}}}}' AS feature FROM m""")
 def k3(spark, sf):
-    e = tb.polygons(spark, sf, outer_only=True)
+    e = tb.polygons(spark, sf)
     return vc.to_geojson(e, e.select("poly_id").distinct().withColumn("NAMA", F.concat(F.lit("D"), "poly_id")))
 
 

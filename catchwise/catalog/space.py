@@ -86,10 +86,10 @@ def p6(spark, sf):
     return ge.topology_tolerances(df).drop("cell_m")
 
 
-@query("g8_dissolve", f"""WITH {tb.PARCELS_SQL}, c AS (SELECT poly_id // 7 AS group_id, x1, y1, x2, y2, least(x1, x2) AS a, least(y1, y2) AS b, greatest(x1, x2) AS c, greatest(y1, y2) AS d FROM parcels)
+@query("g8_dissolve", PG + """, c AS (SELECT poly_id // 7 AS group_id, x1, y1, x2, y2, least(x1, x2) AS a, least(y1, y2) AS b, greatest(x1, x2) AS c, greatest(y1, y2) AS d FROM edges)
  SELECT group_id, any_value(x1) AS x1, any_value(y1) AS y1, any_value(x2) AS x2, any_value(y2) AS y2 FROM c GROUP BY group_id, a, b, c, d HAVING count(*) = 1""")
 def g8(spark, sf):
-    e = tb.polygons(spark, sf, outer_only=True)
+    e = tb.polygons(spark, sf)
     groups = e.select("poly_id").distinct().withColumn("group_id", F.expr("poly_id div 7"))
     return ge.dissolve(e, groups)
 
@@ -100,11 +100,11 @@ def g8_missing(spark, sf):
     return ge.missing_polygons(groups, tb.polygons(spark, sf))
 
 
-@query("p25_outside_mask", f"""WITH {tb.PARCELS_SQL}, c AS (SELECT x1, y1, x2, y2, least(x1, x2) AS a, least(y1, y2) AS b, greatest(x1, x2) AS c, greatest(y1, y2) AS d FROM parcels),
+@query("p25_outside_mask", PG + """, c AS (SELECT x1, y1, x2, y2, least(x1, x2) AS a, least(y1, y2) AS b, greatest(x1, x2) AS c, greatest(y1, y2) AS d FROM edges),
   o AS (SELECT any_value(x1) AS x1, any_value(y1) AS y1, any_value(x2) AS x2, any_value(y2) AS y2 FROM c GROUP BY a, b, c, d HAVING count(*) = 1)
  SELECT 1 AS ring, x2 AS x1, y2 AS y1, x1 AS x2, y1 AS y2 FROM o UNION ALL SELECT 0, x1, y1, x2, y2 FROM (VALUES (-1e6, -1e6, 1e6, -1e6), (1e6, -1e6, 1e6, 1e6), (1e6, 1e6, -1e6, 1e6), (-1e6, 1e6, -1e6, -1e6)) t(x1, y1, x2, y2)""")
 def p25(spark, sf):
-    e = tb.polygons(spark, sf, outer_only=True)
+    e = tb.polygons(spark, sf)
     return ge.outside_mask(ge.dissolve(e, e.select("poly_id").distinct().withColumn("group_id", F.lit(0))).drop("group_id"), (-1e6, -1e6, 1e6, 1e6))
 
 
@@ -163,23 +163,27 @@ def c3(spark, sf):
     return rounded(sp.nearest_river(pts, segs), 4)
 
 
-@query("c7_clip_lines", f"""WITH {tb.LINKS_SQL}, {tb.SEGMENTS_SQL}, {tb.PARCELS_SQL}, box AS (SELECT poly_id, min(x1) AS l, max(x1) AS r, min(y1) AS b, max(y1) AS t FROM parcels GROUP BY 1),
-  c AS (SELECT linkno, poly_id, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, l + 0 AS l, r, b, t FROM (SELECT linkno, x1 + 500 AS x1, y1 + 300 AS y1, x2 + 500 AS x2, y2 + 300 AS y2 FROM segs), box),
+BOXES = "box AS (SELECT poly_id, part, ring, CASE WHEN ring = 0 THEN 1 ELSE -1 END AS sign, min(x1) AS l, max(x1) AS r, min(y1) AS b, max(y1) AS t FROM edges GROUP BY 1, 2, 3)"
+
+
+@query("c7_clip_lines", f"""WITH {tb.LINKS_SQL}, {tb.SEGMENTS_SQL}, {tb.POLYGONS_SQL}, {BOXES},
+  c AS (SELECT linkno, poly_id, sign, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, l + 0 AS l, r, b, t FROM (SELECT linkno, x1 + 500 AS x1, y1 + 300 AS y1, x2 + 500 AS x2, y2 + 300 AS y2 FROM segs), box),
   k AS (SELECT *, greatest(0, CASE WHEN dx = 0 THEN CASE WHEN x1 > l AND x1 < r THEN 0 ELSE 2 END ELSE least((l - x1) / dx, (r - x1) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN y1 > b AND y1 < t THEN 0 ELSE 2 END ELSE least((b - y1) / dy, (t - y1) / dy) END) AS t0,
      least(1, CASE WHEN dx = 0 THEN 1 ELSE greatest((l - x1) / dx, (r - x1) / dx) END, CASE WHEN dy = 0 THEN 1 ELSE greatest((b - y1) / dy, (t - y1) / dy) END) AS t1 FROM c)
- SELECT linkno, poly_id, round(len * (t1 - t0), 3) AS length_m FROM k WHERE len * (t1 - t0) > 1e-6""")
+ SELECT linkno, poly_id, round(CAST(sum(sign * len * greatest(0, t1 - t0)) AS DOUBLE), 3) AS length_m FROM k GROUP BY 1, 2 HAVING sum(sign * len * greatest(0, t1 - t0)) > 1e-6""")
 def c7(spark, sf):
     s = tb.link_segments(spark, sf)
     moved = s.select("linkno", "part", "seq", *[(F.col(c) + d).alias(c) for c, d in (("x1", 500), ("y1", 300), ("x2", 500), ("y2", 300))])
-    out = sp.clip_lines(moved, tb.polygons(spark, sf, outer_only=True), size=1000.0)
+    out = sp.clip_lines(moved, tb.polygons(spark, sf), size=1000.0)
     return out.groupBy("linkno", "poly_id").agg(F.round(F.sum("length_m"), 3).alias("length_m"))
 
 
-@query("c9_cell_weights", f"""WITH {tb.PARCELS_SQL}, box AS (SELECT poly_id, min(x1) AS l, max(x1) AS r, min(y1) AS b, max(y1) AS t FROM parcels GROUP BY 1), cols AS (SELECT unnest(range(100)) AS col), rws AS (SELECT unnest(range(60)) AS row)
- SELECT poly_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round((least(r, (col + 1) * 700) - greatest(l, col * 700)) * (least(t, 40000 - row * 700) - greatest(b, 40000 - (row + 1) * 700)), 3) AS w FROM box, cols, rws
- WHERE least(r, (col + 1) * 700) > greatest(l, col * 700) AND least(t, 40000 - row * 700) > greatest(b, 40000 - (row + 1) * 700)""")
+@query("c9_cell_weights", f"""WITH {tb.POLYGONS_SQL}, {BOXES}, cols AS (SELECT unnest(range(210)) AS col), rws AS (SELECT unnest(range(60)) AS row),
+  w AS (SELECT poly_id, row, col, sum(sign * (least(r, (col + 1) * 700) - greatest(l, col * 700)) * (least(t, 40000 - row * 700) - greatest(b, 40000 - (row + 1) * 700))) AS w FROM box, cols, rws
+   WHERE least(r, (col + 1) * 700) > greatest(l, col * 700) AND least(t, 40000 - row * 700) > greatest(b, 40000 - (row + 1) * 700) GROUP BY 1, 2, 3)
+ SELECT poly_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(CAST(w AS DOUBLE), 3) AS w FROM w WHERE w > 1e-6""")
 def c9(spark, sf):
-    return rounded(ge.cell_weights(tb.polygons(spark, sf, outer_only=True), x0=0.0, y0=40000.0, cell=700.0, width=100, height=60), 3)
+    return rounded(ge.cell_weights(tb.polygons(spark, sf), x0=0.0, y0=40000.0, cell=700.0, width=210, height=60), 3)
 
 
 TOPO = f"""WITH {tb.TOPONYMS_SQL}, {tb.LONLAT_SQL}, n AS (SELECT point_id, p.k, t.id, t.name, t.category, t.priority, t.lon, t.lat, p.lon AS plon, p.lat AS plat,
@@ -243,10 +247,10 @@ def c18(spark, sf):
     return sp.outlet_cell(pts, segs, c, **tb.GRID).select("point_id", "row", "col", "on_reach")
 
 
-@query("c19_shared_edges", f"""WITH {tb.PARCELS_SQL}, c AS (SELECT poly_id, least(x1, x2) AS a1, least(y1, y2) AS b1, greatest(x1, x2) AS a2, greatest(y1, y2) AS b2 FROM parcels)
- SELECT p.poly_id AS a, q.poly_id AS b, p.a1 AS ax, p.b1 AS ay, p.a2 AS bx, p.b2 AS by, CAST(1000 AS DOUBLE) AS length FROM c p JOIN c q ON p.a1 = q.a1 AND p.b1 = q.b1 AND p.a2 = q.a2 AND p.b2 = q.b2 AND p.poly_id < q.poly_id""")
+@query("c19_shared_edges", PG + """, c AS (SELECT poly_id, least(x1, x2) AS a1, least(y1, y2) AS b1, greatest(x1, x2) AS a2, greatest(y1, y2) AS b2 FROM edges)
+ SELECT p.poly_id AS a, q.poly_id AS b, p.a1 AS ax, p.b1 AS ay, p.a2 AS bx, p.b2 AS by, p.a2 - p.a1 + p.b2 - p.b1 AS length FROM c p JOIN c q ON p.a1 = q.a1 AND p.b1 = q.b1 AND p.a2 = q.a2 AND p.b2 = q.b2 AND p.poly_id < q.poly_id""")
 def c19(spark, sf):
-    return sp.shared_edges(tb.polygons(spark, sf, outer_only=True)).drop("pair_length")
+    return sp.shared_edges(tb.polygons(spark, sf)).drop("pair_length")
 
 
 @query("p16_outlet_status", PIP + """ SELECT point_id, CASE WHEN poly_id IS NULL THEN 'outside_region' WHEN poly_id % 10 = 3 THEN 'karst' WHEN poly_id % 4 = 0 THEN 'official_direct' ELSE 'dem' END AS status FROM pts LEFT JOIN pip USING (point_id)""")
@@ -313,23 +317,33 @@ def _stations(spark, sf):
     return s.select("poly_id", "ox", "oy", (F.col("ox") + 200 + p % 7 * 10).alias("qx"), (F.col("oy") + 300).alias("qy"), (F.col("ox") + 700).alias("tx"), (F.col("oy") + 600 + p % 5 * 20).alias("ty"), (F.col("ox") + 450).alias("lx"), (F.col("oy") + 500).alias("ly"))
 
 
-@query("z13_gama_widths", f"""WITH {tb.PARCELS_SQL}, {STN}, ax AS (SELECT poly_id, 'WL' AS tag, ox, oy, qx AS ax, qy AS ay FROM stn UNION ALL SELECT poly_id, 'WU', ox, oy, tx, ty FROM stn),
+#: The largest part with its holes of the threshold and more.
+CLEAN = f"""{tb.POLYGONS_SQL}, clean AS (SELECT e.* FROM edges e JOIN (SELECT poly_id, part, ring FROM edges WHERE part = 0 GROUP BY 1, 2, 3 HAVING ring = 0 OR abs(sum(x1 * y2 - x2 * y1)) / 2 >= 62500) USING (poly_id, part, ring))"""
+
+
+def _clean(spark, sf):
+    return ge.clean_polygon(ge.largest_component(tb.polygons(spark, sf)))
+
+
+@query("z13_gama_widths", f"""WITH {CLEAN}, {STN}, ax AS (SELECT poly_id, 'WL' AS tag, ox, oy, qx AS ax, qy AS ay FROM stn UNION ALL SELECT poly_id, 'WU', ox, oy, tx, ty FROM stn),
   n AS (SELECT a.*, (ax - ox) / sqrt(pow(ax - ox, 2) + pow(ay - oy, 2)) AS ux, (ay - oy) / sqrt(pow(ax - ox, 2) + pow(ay - oy, 2)) AS uy FROM ax a),
-  e AS (SELECT n.poly_id, tag, (x1 - ax) * ux + (y1 - ay) * uy AS u1, (x2 - ax) * ux + (y2 - ay) * uy AS u2, -(x1 - ax) * uy + (y1 - ay) * ux AS v1, -(x2 - ax) * uy + (y2 - ay) * ux AS v2 FROM parcels p JOIN n USING (poly_id)),
-  w AS (SELECT poly_id, tag, max(v1 + (0 - u1) / (u2 - u1) * (v2 - v1)) - min(v1 + (0 - u1) / (u2 - u1) * (v2 - v1)) AS w FROM e WHERE (u1 > 0) <> (u2 > 0) GROUP BY 1, 2)
+  e AS (SELECT n.poly_id, tag, (x1 - ax) * ux + (y1 - ay) * uy AS u1, (x2 - ax) * ux + (y2 - ay) * uy AS u2, -(x1 - ax) * uy + (y1 - ay) * ux AS v1, -(x2 - ax) * uy + (y2 - ay) * ux AS v2 FROM clean p JOIN n USING (poly_id)),
+  v AS (SELECT poly_id, tag, v1 + (0 - u1) / (u2 - u1) * (v2 - v1) AS v FROM e WHERE (u1 > 0) <> (u2 > 0)), k AS (SELECT *, row_number() OVER (PARTITION BY poly_id, tag ORDER BY v) - 1 AS i FROM v),
+  q AS (SELECT poly_id, tag, min(v) AS v0, max(v) AS v1 FROM k GROUP BY poly_id, tag, i // 2 HAVING count(*) = 2), w AS (SELECT poly_id, tag, arg_min(v1 - v0, (round(greatest(0, v0, -v1), 9), v0)) AS w FROM q GROUP BY 1, 2)
  SELECT poly_id, round(max(w) FILTER (tag = 'WL'), 4) AS wl, round(max(w) FILTER (tag = 'WU'), 4) AS wu, round(max(w) FILTER (tag = 'WU') / max(w) FILTER (tag = 'WL'), 6) AS width_factor FROM w GROUP BY 1""")
 def z13(spark, sf):
-    out = ge.gama_shape(tb.polygons(spark, sf, outer_only=True), _stations(spark, sf))
+    out = ge.gama_shape(_clean(spark, sf), _stations(spark, sf))
     return out.select("poly_id", F.round("wl", 4).alias("wl"), F.round("wu", 4).alias("wu"), F.round("width_factor", 6).alias("width_factor"))
 
 
-@query("z14_gama_rua", f"""WITH {STN}, n AS (SELECT poly_id, 450.0 AS a, 500.0 AS b, 450.0 / sqrt(450.0 * 450 + 500.0 * 500) AS ux, 500.0 / sqrt(450.0 * 450 + 500.0 * 500) AS uy FROM stn),
-  h AS (SELECT *, a * ux + b * uy AS c FROM n), t AS (SELECT *, c / uy AS yl, (c - 1000 * ux) / uy AS yr FROM h),
-  m AS (SELECT poly_id, 1e6 - CASE WHEN yl <= 1000 AND yr >= 0 THEN 1000 * (yl + yr) / 2 WHEN yl <= 1000 THEN yl * (c / ux) / 2 ELSE 1e6 - (1000 - yr) * (1000 - (c - 1000 * uy) / ux) / 2 END AS up FROM t)
- SELECT poly_id, CAST(1e6 AS DOUBLE) AS area, round(up, 3) AS upstream_area, round(up / 1e6, 6) AS relative_upstream_area FROM m""")
+@query("z14_gama_rua", f"""WITH {CLEAN}, b AS (SELECT poly_id, CASE WHEN ring = 0 THEN 1 ELSE -1 END AS sign, min(x1) - poly_id % 40 * 1000 AS l, max(x1) - min(x1) AS s, min(y1) - poly_id // 40 * 1000 AS b FROM clean GROUP BY poly_id, ring),
+  v AS (SELECT *, 450.0 / 500.0 AS m, (450.0 * 450 + 500.0 * 500) / 500.0 AS c FROM b), h AS (SELECT *, c - m * l - b AS v0, c - m * (l + s) - b AS v1 FROM v),
+  d AS (SELECT poly_id, sign, s, (CASE WHEN v0 <= 0 THEN 0 WHEN v0 <= s THEN v0 * v0 / 2 ELSE s * s / 2 + s * (v0 - s) END - CASE WHEN v1 <= 0 THEN 0 WHEN v1 <= s THEN v1 * v1 / 2 ELSE s * s / 2 + s * (v1 - s) END) / m AS down FROM h),
+  t AS (SELECT poly_id, sum(sign * s * s) AS area, sum(sign * (s * s - down)) AS up FROM d GROUP BY 1)
+ SELECT poly_id, CAST(area AS DOUBLE) AS area, round(CAST(up AS DOUBLE), 3) AS upstream_area, round(CAST(up / area AS DOUBLE), 6) AS relative_upstream_area FROM t""")
 def z14(spark, sf):
     st = _stations(spark, sf)
-    out = ge.half_plane_area(tb.polygons(spark, sf, outer_only=True), st.select("poly_id", "ox", "oy", F.col("lx").alias("ax"), F.col("ly").alias("ay")))
+    out = ge.half_plane_area(_clean(spark, sf), st.select("poly_id", "ox", "oy", F.col("lx").alias("ax"), F.col("ly").alias("ay")))
     return out.select("poly_id", "area", F.round("upstream_area", 3).alias("upstream_area"), F.round(F.col("upstream_area") / F.col("area"), 6).alias("relative_upstream_area"))
 
 
@@ -360,56 +374,66 @@ def t2(spark, sf):
     return rounded(bd.smooth(tb.ring_vertices(spark, sf), 150.0), 3)
 
 
-@query("t3_densify", f"WITH {tb.PARCELS_SQL}, n AS (SELECT *, CAST(ceil(1000 / 22.5) AS BIGINT) AS n FROM parcels), p AS (SELECT *, unnest(range(n)) AS piece FROM n) SELECT poly_id, seq, CAST(piece AS INTEGER) AS piece, round(x1 + piece / n * (x2 - x1), 4) AS x1, round(y1 + piece / n * (y2 - y1), 4) AS y1 FROM p")
+@query("t3_densify", PG + """, n AS (SELECT *, CAST(ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 22.5) AS BIGINT) AS n FROM edges), p AS (SELECT *, unnest(range(n)) AS piece FROM n)
+ SELECT poly_id, part, ring, seq, CAST(piece AS INTEGER) AS piece, round(x1 + piece / n * (x2 - x1), 4) AS x1, round(y1 + piece / n * (y2 - y1), 4) AS y1 FROM p""")
 def t3(spark, sf):
-    out = ge.densify(tb.polygons(spark, sf, outer_only=True), F.lit(bd.sample_step(90.0)))
-    return out.select("poly_id", "seq", "piece", F.round("x1", 4).alias("x1"), F.round("y1", 4).alias("y1"))
+    out = ge.densify(tb.polygons(spark, sf), F.lit(bd.sample_step(90.0)))
+    return out.select("poly_id", "part", "ring", "seq", "piece", F.round("x1", 4).alias("x1"), F.round("y1", 4).alias("y1"))
 
 
 # reference boundary: the left and bottom edges of each square, shifted by 60 m; the left one covers half the side
-REF = f"""ref AS (SELECT poly_id * 2 AS seg_id, x1 - 0.0 AS x1, y1 - 60.0 AS y1, x2 - 0.0 AS x2, y2 - 60.0 AS y2 FROM parcels WHERE seq = 0 AND poly_id % 3 = 0)"""
-CT = f"""WITH {tb.PARCELS_SQL}, {REF}, n AS (SELECT *, 45 AS n FROM parcels), dn AS (SELECT poly_id, seq, CAST(unnest(range(45)) AS INTEGER) AS piece, x1 AS ax, y1 AS ay, x2 - x1 AS vx, y2 - y1 AS vy FROM n),
-  pc AS (SELECT poly_id, seq, piece, ax + (piece + 0.5) / 45 * vx AS mx, ay + (piece + 0.5) / 45 * vy AS my, ax + piece / 45 * vx AS sx, ay + piece / 45 * vy AS sy FROM dn),
+REF = """ref AS (SELECT poly_id * 2 AS seg_id, x1, y1 - 60.0 AS y1, x2, y2 - 60.0 AS y2 FROM parcels WHERE seq = 0 AND poly_id % 3 = 0)"""
+CT = f"""WITH {tb.POLYGONS_SQL}, {REF}, n AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM edges), m AS (SELECT *, CAST(ceil(len / 22.5) AS BIGINT) AS n FROM n),
+  dn AS (SELECT poly_id, part, ring, seq, n, len, CAST(unnest(range(n)) AS INTEGER) AS piece, x1 AS ax, y1 AS ay, x2 - x1 AS vx, y2 - y1 AS vy FROM m),
+  pc AS (SELECT poly_id, part, ring, seq, piece, len / n AS plen, ax + (piece + 0.5) / n * vx AS mx, ay + (piece + 0.5) / n * vy AS my, ax + piece / n * vx AS sx, ay + piece / n * vy AS sy FROM dn),
   c AS (SELECT p.*, coalesce(min(sqrt(pow(mx - greatest(x1, least(x2, mx)), 2) + pow(my - y1, 2))), 1e9) <= 90 AS matched, coalesce(min(sqrt(pow(sx - greatest(x1, least(x2, sx)), 2) + pow(sy - y1, 2))), 1e9) <= 166.5 AS near
      FROM pc p LEFT JOIN ref r ON abs(mx - (x1 + x2) / 2) < 2000 AND abs(my - y1) < 2000 GROUP BY ALL)"""
 
 
 def _contacts(spark, sf):
-    e = tb.polygons(spark, sf, outer_only=True)
-    ref = e.filter((F.col("seq") == 0) & (F.col("poly_id") % 3 == 0)).select((F.col("poly_id") * 2).alias("seg_id"), "x1", (F.col("y1") - 60).alias("y1"), "x2", (F.col("y2") - 60).alias("y2"))
+    e = tb.polygons(spark, sf)
+    ref = e.filter("part = 0 and ring = 0 and seq = 0 and poly_id % 3 = 0").select((F.col("poly_id") * 2).alias("seg_id"), "x1", (F.col("y1") - 60).alias("y1"), "x2", (F.col("y2") - 60).alias("y2"))
     return bd.classify_contacts(e, ref, 90.0)
 
 
-@query("t4_contacts", CT + " SELECT poly_id, seq, piece, matched, near FROM c")
+@query("t4_contacts", CT + " SELECT poly_id, part, ring, seq, piece, matched, near FROM c")
 def t4(spark, sf):
-    return _contacts(spark, sf).select("poly_id", "seq", "piece", "matched", "near")
+    return _contacts(spark, sf).select("poly_id", "part", "ring", "seq", "piece", "matched", "near")
 
 
-T5 = CT + """, s AS (SELECT *, seq * 45 + piece AS pos FROM c), ch AS (SELECT *, coalesce(lag(matched) OVER w, last_value(matched) OVER (PARTITION BY poly_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) <> matched AS c FROM s WINDOW w AS (PARTITION BY poly_id ORDER BY pos)),
-  r AS (SELECT *, sum(c::INT) OVER (PARTITION BY poly_id ORDER BY pos) AS k, sum(c::INT) OVER (PARTITION BY poly_id) AS nch FROM ch),
+T5 = CT + """, s AS (SELECT *, seq * 1000 + piece AS pos FROM c),
+  ch AS (SELECT *, coalesce(lag(matched) OVER w, last_value(matched) OVER (PARTITION BY poly_id, part, ring ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) <> matched AS c FROM s WINDOW w AS (PARTITION BY poly_id, part, ring ORDER BY pos)),
+  r AS (SELECT *, sum(c::INT) OVER (PARTITION BY poly_id, part, ring ORDER BY pos) AS k, sum(c::INT) OVER (PARTITION BY poly_id, part, ring) AS nch FROM ch),
   r1 AS (SELECT *, CASE WHEN nch = 0 THEN 0 ELSE (k + nch - 1) % nch END AS run FROM r),
-  g AS (SELECT poly_id, run, bool_and(NOT matched) AND count(*) * 1000 / 45.0 <= 300 AND bool_and(near) AND any_value(nch) > 0 AS up FROM r1 GROUP BY 1, 2),
-  s2 AS (SELECT r1.poly_id, pos, matched OR up AS matched FROM r1 JOIN g USING (poly_id, run)),
-  ch2 AS (SELECT *, coalesce(lag(matched) OVER w, last_value(matched) OVER (PARTITION BY poly_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) <> matched AS c FROM s2 WINDOW w AS (PARTITION BY poly_id ORDER BY pos)),
-  r2 AS (SELECT *, sum(c::INT) OVER (PARTITION BY poly_id ORDER BY pos) AS k, sum(c::INT) OVER (PARTITION BY poly_id) AS nch FROM ch2),
-  rs AS (SELECT poly_id, CAST(CASE WHEN nch = 0 THEN 0 ELSE (k + nch - 1) % nch END AS BIGINT) AS run, any_value(matched) AS matched, count(*) AS pieces, count(*) * 1000 / 45.0 AS length_m FROM r2 GROUP BY 1, 2)"""
+  g AS (SELECT poly_id, part, ring, run, bool_and(NOT matched) AND sum(plen) <= 300 AND bool_and(near) AND any_value(nch) > 0 AS up FROM r1 GROUP BY 1, 2, 3, 4),
+  s2 AS (SELECT r1.poly_id, part, ring, pos, plen, matched OR up AS matched FROM r1 JOIN g USING (poly_id, part, ring, run)),
+  ch2 AS (SELECT *, coalesce(lag(matched) OVER w, last_value(matched) OVER (PARTITION BY poly_id, part, ring ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) <> matched AS c FROM s2 WINDOW w AS (PARTITION BY poly_id, part, ring ORDER BY pos)),
+  r2 AS (SELECT *, sum(c::INT) OVER (PARTITION BY poly_id, part, ring ORDER BY pos) AS k, sum(c::INT) OVER (PARTITION BY poly_id, part, ring) AS nch FROM ch2),
+  rs AS (SELECT poly_id, part, ring, CAST(CASE WHEN nch = 0 THEN 0 ELSE (k + nch - 1) % nch END AS BIGINT) AS run, any_value(matched) AS matched, count(*) AS pieces, sum(plen) AS length_m FROM r2 GROUP BY 1, 2, 3, 4)"""
 
 
-@query("t5_contact_runs", T5 + " SELECT poly_id, run, matched, pieces, round(CAST(length_m AS DOUBLE), 4) AS length_m FROM rs")
+@query("t5_contact_runs", T5 + " SELECT poly_id, part, ring, run, matched, pieces, round(CAST(length_m AS DOUBLE), 4) AS length_m FROM rs")
 def t5(spark, sf):
     out = bd.run_summary(bd.contact_runs(_contacts(spark, sf), 90.0))
-    return out.select("poly_id", F.col("run").cast("long").alias("run"), "matched", "pieces", F.round("length_m", 4).alias("length_m"))
+    return out.select("poly_id", "part", "ring", F.col("run").cast("long").alias("run"), "matched", "pieces", F.round("length_m", 4).alias("length_m"))
 
 
-@query("t8_diagnostics", T5 + """ SELECT poly_id, round(CAST(sum(length_m) AS DOUBLE), 4) AS boundary_m, round(CAST(coalesce(sum(length_m) FILTER (matched), 0) AS DOUBLE), 4) AS contact_m, count(*) FILTER (matched) AS contact_runs, count(*) FILTER (NOT matched) AS internal_runs,
-  round(CAST(sum(length_m) - coalesce(sum(length_m) FILTER (matched), 0) AS DOUBLE), 4) AS internal_m, round(CAST(coalesce(sum(length_m) FILTER (matched), 0) / sum(length_m) * 100 AS DOUBLE), 4) AS contact_percent FROM rs GROUP BY 1""")
+@query("t8_diagnostics", T5 + """, f AS (SELECT poly_id, sum(x1 * y2 - x2 * y1) / 2e6 AS raw FROM edges GROUP BY 1), w AS (SELECT poly_id, part, ring FROM edges GROUP BY 1, 2, 3 HAVING ring = 0 OR abs(sum(x1 * y2 - x2 * y1)) / 2 >= 62500),
+  fin AS (SELECT poly_id, sum(x1 * y2 - x2 * y1) / 2e6 AS fin FROM edges JOIN w USING (poly_id, part, ring) GROUP BY 1),
+  d AS (SELECT poly_id, round(CAST(sum(length_m) AS DOUBLE), 4) AS boundary_m, round(CAST(coalesce(sum(length_m) FILTER (matched), 0) AS DOUBLE), 4) AS contact_m, count(*) FILTER (matched) AS contact_runs, count(*) FILTER (NOT matched) AS internal_runs,
+  round(CAST(sum(length_m) - coalesce(sum(length_m) FILTER (matched), 0) AS DOUBLE), 4) AS internal_m, round(CAST(coalesce(sum(length_m) FILTER (matched), 0) / sum(length_m) * 100 AS DOUBLE), 4) AS contact_percent FROM rs GROUP BY 1)
+ SELECT d.*, round(fin - raw, 4) AS area_change_km2, round((fin - raw) / raw * 100, 4) AS area_change_percent FROM d JOIN f USING (poly_id) JOIN fin USING (poly_id)""")
 def t8(spark, sf):
-    return rounded(bd.diagnostics(bd.run_summary(bd.contact_runs(_contacts(spark, sf), 90.0))), 4)
+    e = tb.polygons(spark, sf)
+    raw = ge.polygon_measures(e).select("poly_id", (F.col("area") / 1e6).alias("raw_km2"))
+    fin = ge.polygon_measures(ge.clean_polygon(e)).select("poly_id", (F.col("area") / 1e6).alias("final_km2"))
+    return rounded(bd.diagnostics(bd.run_summary(bd.contact_runs(_contacts(spark, sf), 90.0)), raw.join(fin, "poly_id")), 4)
 
 
 @query("t6_best_arc")
 def t6(spark, sf):
-    e = tb.polygons(spark, sf, outer_only=True)
+    # a reference is one outer ring: that of the largest part
+    e = ge.largest_component(tb.polygons(spark, sf)).filter("ring = 0")
     rings = bd.ring_segments(e)
     # runs: the lower and right side of each square, pushed out by 40 m
     runs = bd.densify(e.filter("seq <= 1"), F.lit(50.0)).select(
@@ -444,7 +468,7 @@ def t10(spark, sf):
 
 @query("t11_arc_score")
 def t11(spark, sf):
-    e = tb.polygons(spark, sf, outer_only=True)
+    e = ge.largest_component(tb.polygons(spark, sf)).filter("ring = 0")
     dense = bd.densify(e, F.lit(100.0))
     arc = F.when(F.col("seq") <= 1, "forward").otherwise("reverse")
     samples = dense.select(F.col("poly_id").alias("run_id"), arc.alias("arc"), (F.col("seq") * 100 + F.col("piece")).alias("i"), F.col("x1").alias("x"), F.col("y1").alias("y"))

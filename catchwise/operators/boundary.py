@@ -205,11 +205,16 @@ def adjustment(df: DataFrame) -> DataFrame:
     return df.withColumn("boundary_adjustment_km2", F.col("final_km2") - F.col("raw_km2"))
 
 
-def diagnostics(runs: DataFrame) -> DataFrame:
-    """One row per polygon: boundary lengths, contact percent and segment counts."""
+def diagnostics(runs: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """One row per polygon: boundary lengths, contact percent, segment counts and, from ``areas``
+    (``poly_id, raw_km2, final_km2``), the change of area."""
     agg = runs.groupBy("poly_id").agg(
         F.sum("length_m").alias("boundary_m"), F.sum(F.when(F.col("matched"), F.col("length_m")).otherwise(0.0)).alias("contact_m"),
         F.count_if("matched").alias("contact_runs"), F.count_if(~F.col("matched")).alias("internal_runs"))
+    if areas is not None:
+        change = F.col("final_km2") - F.col("raw_km2")
+        agg = agg.join(areas.select("poly_id", "raw_km2", "final_km2"), "poly_id", "left").withColumns({
+            "area_change_km2": change, "area_change_percent": change / F.nullif(F.col("raw_km2"), F.lit(0.0)) * 100.0}).drop("raw_km2", "final_km2")
     return agg.withColumns({"internal_m": F.col("boundary_m") - F.col("contact_m"), "contact_percent": F.col("contact_m") / F.nullif(F.col("boundary_m"), F.lit(0.0)) * 100.0})
 
 

@@ -375,14 +375,12 @@ def _square_rows(part: int, ring: int, x, y, side, clockwise: bool = False):
     return rows
 
 
-def polygons(spark: SparkSession, sf: str, outer_only: bool = False) -> DataFrame:
+def polygons(spark: SparkSession, sf: str) -> DataFrame:
     """One 1 km square per supplier on a 40-wide grid; some with a hole, some with a small second part."""
     k = F.col("s_suppkey")
     x, y = (k % 40) * 1000, F.expr("s_suppkey div 40") * 1000
     s = table(spark, sf, "supplier")
     base = s.select(k.alias("poly_id"), F.inline(F.array(*_square_rows(0, 0, x, y, F.lit(1000)))))
-    if outer_only:
-        return base
     hole = s.filter(k % 3 == 0).select(k.alias("poly_id"), F.inline(F.array(*_square_rows(0, 1, x + 400, y + 400, 100 + 50 * (k % 5), True))))
     extra = s.filter(k % 4 == 1).select(k.alias("poly_id"), F.inline(F.array(*_square_rows(1, 0, x + 100000, y, F.lit(200)))))
     return base.unionByName(hole).unionByName(extra)
