@@ -10,6 +10,7 @@ from catchwise.catalog.base import ORACLES, query
 from catchwise.functions.numeric import rounded
 from catchwise.operators import climate as cl
 from catchwise.operators import d8
+from catchwise.operators import network as net
 from catchwise.operators import water_balance as wb
 from catchwise.plans import catchment as pc
 from catchwise.plans import models as pm
@@ -135,17 +136,40 @@ def r4(spark, sf):
         made["relations"].select(F.col("upstream_point").alias("point_id"), "downstream_point"), "point_id", "left")
 
 
-@query("r5_characterise", cc.TERRAIN + """, sl AS (SELECT point_id, avg(slope_pct) AS s, min(z) AS lo, max(z) AS hi, avg(z) AS m, max(z) FILTER (on_divide) AS dv FROM terrain GROUP BY 1),
-  oz AS (SELECT point_id, arg_max(z, row * 125 + col) AS oz FROM cells GROUP BY 1), cn AS (SELECT point_id, avg(cn) FILTER (cn > 0 AND cn <= 100) AS cn, count(*) * 0.0009 AS a FROM cells GROUP BY 1),
-  ch AS (SELECT point_id, sqrt(a) * 1.5 AS L, a * 2.1 AS lt FROM cn)
- SELECT point_id, round(CAST(a AS DOUBLE), 6) AS area_km2, round(dv - oz, 6) AS relief_m, round(m - oz, 6) AS mean_height_m, round(s, 6) AS mean_slope_pct, round(cn, 6) AS cn, round(lt / a, 6) AS drainage_density, round(a / (L * L), 6) AS form_factor
- FROM sl JOIN oz USING (point_id) JOIN cn USING (point_id) JOIN ch USING (point_id)""")
+def _unit_outlets(spark, sf):
+    """One outlet a subbasin: its last cell."""
+    last = tb.cells(spark, sf).groupBy(F.col("link_id").alias("linkno")).agg(F.max(F.struct("row", "col", F.col("z").alias("outlet_z"))).alias("o"))
+    return cut(last.select(F.concat(F.lit("L"), "linkno").alias("point_id"), "linkno", "o.row", "o.col", "o.outlet_z"))
+
+
+#: The flow paths of those outlets: the twin of the stations with other outlets.
+UNIT_PATHS = ORACLES["g16_path_stations"].replace(tb.CELL_OUTLETS_SQL, "couts AS (SELECT 'L' || link_id AS point_id, max(k) AS k FROM cells GROUP BY 1)")
+R5 = cc.TERRAIN + f""", {tb.LINKS_SQL}, closure(o, linkno) AS (SELECT linkno, linkno FROM links WHERE linkno IN (SELECT link_id FROM cells) UNION ALL SELECT c.o, l.linkno FROM closure c JOIN links l ON l.downstream_id = c.linkno),
+  mem AS MATERIALIZED (SELECT o, c.row, c.col, c.z, c.cn, t.slope_pct FROM closure cl JOIN cells c ON c.link_id = cl.linkno JOIN terrain t ON t.row = c.row AND t.col = c.col),
+  nr AS (SELECT o, m.row + nb.dr AS row, m.col + nb.dc AS col, count(*) AS n FROM mem m, nb GROUP BY 1, 2, 3),
+  dv AS (SELECT o, max(z) AS dv FROM mem JOIN nr USING (o, row, col) WHERE n < 8 GROUP BY 1),
+  sd AS (SELECT o, sum(30.0) AS per FROM (SELECT m.o FROM mem m, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dr, dc) WHERE NOT EXISTS (SELECT 1 FROM mem q WHERE q.o = m.o AND q.row = m.row + dr AND q.col = m.col + dc)) GROUP BY 1),
+  st AS (SELECT o, count(*) * 0.0009 AS a, avg(slope_pct) AS s, min(z) AS lo, max(z) AS hi, avg(z) AS m, avg(cn) FILTER (cn > 0 AND cn <= 100) AS cn FROM mem GROUP BY 1),
+  oz AS (SELECT link_id AS o, arg_max(z, row * 125 + col) AS oz FROM cells GROUP BY 1),
+  zt AS (SELECT * FROM ({ORACLES["z10_drainage"]}) z), gp AS (SELECT * FROM ({UNIT_PATHS}) g), lp AS (SELECT DISTINCT outlet, main_length_m FROM ({ORACLES["g11_longest_path"]}) p)
+ SELECT 'L' || st.o AS point_id, round(CAST(a AS DOUBLE), 6) AS area_km2, round(per / 1000, 6) AS perimeter_km, round(dv - oz, 6) AS relief_m, round(lo, 6) AS elev_min_m, round(m, 6) AS elev_mean_m, round(hi, 6) AS elev_max_m,
+   round(m - oz, 6) AS mean_height_m, round(s, 6) AS mean_slope_pct, round(cn, 6) AS cn, round(length_m / 1000, 6) AS flow_length_km, round(lca_m / 1000, 6) AS lca_km, round(slope_10_85_pct, 3) AS main_slope_pct,
+   round(main_length_m / 1000, 6) AS main_length_km, round(total_stream_length_km, 6) AS total_stream_length_km, stream_count, junction_count, stream_order_max, round(total_stream_length_km / a, 3) AS drainage_density,
+   round(stream_count / CAST(a AS DOUBLE), 5) AS stream_frequency, round(stream_count / (per / 1000), 5) AS drainage_texture
+ FROM st JOIN oz USING (o) JOIN dv USING (o) JOIN sd USING (o) LEFT JOIN zt ON zt.outlet = st.o LEFT JOIN lp ON lp.outlet = st.o LEFT JOIN gp ON gp.point_id = 'L' || st.o"""
+
+
+@query("r5_characterise", R5)
 def r5(spark, sf):
-    cells = tb.cells(spark, sf)
-    a = cells.groupBy("point_id").agg((F.count("*") * 0.0009).alias("_a"))
-    channels = a.select("point_id", (F.sqrt("_a") * 1.5).alias("flow_length_km"), (F.sqrt("_a") * 1.4).alias("main_length_km"), F.lit(2.0).alias("main_slope_pct"), (F.col("_a") * 2.1).alias("total_stream_length_km"), F.lit(5).alias("stream_count"))
-    out = pc.characterise(cells, tb.block_outlets(cells), channels, grid=tb.GRID)
-    return rounded(out.select("point_id", "area_km2", "relief_m", "mean_height_m", "mean_slope_pct", "cn", "drainage_density", "form_factor"), 6)
+    """Every subbasin's outlet with all that lies upstream of it, measured from cells and links."""
+    cells, links, outlets = tb.cells(spark, sf), cut(tb.links(spark, sf)), _unit_outlets(spark, sf)
+    channels = cut(pc.channel_measures(cells, links, outlets, grid=tb.GRID))
+    upstream = net.upstream(links, outlets).join(outlets.select(F.col("linkno").alias("outlet"), "point_id"), "outlet")
+    members = cut(upstream.join(cells.select(F.col("link_id").alias("linkno"), "row", "col"), "linkno").select("point_id", "row", "col"))
+    out = pc.characterise(cells, outlets.select("point_id", "outlet_z"), channels, grid=tb.GRID, members=members)
+    digits = {"flow_length_km": 6, "lca_km": 6, "main_slope_pct": 3, "main_length_km": 6, "total_stream_length_km": 6, "drainage_density": 3, "stream_frequency": 5, "drainage_texture": 5}
+    names = ("area_km2", "perimeter_km", "relief_m", "elev_min_m", "elev_mean_m", "elev_max_m", "mean_height_m", "mean_slope_pct", "cn", *digits)
+    return out.select("point_id", "stream_count", "junction_count", "stream_order_max", *[F.round(n, digits.get(n, 6)).alias(n) for n in names])
 
 
 @query("r6_unit_hydrographs", ORACLES["h11_volume_check"])
