@@ -219,6 +219,25 @@ def r10(spark, sf):
     return s.join(rounded(out["volume"], 1), "point_id")
 
 
+@query("r10_weighted_model", ss.WEIGHT_SQL.replace("0.9)", "1.0)") + """, f AS (SELECT t.point_id, q.year, q.period, sum(wt.weight * q.q * t.area_km2 / d.area_km2) AS q
+   FROM targets t JOIN wt USING (point_id) JOIN donors d USING (gauge) JOIN discharge q USING (gauge) JOIN cy ON cy.donor_set = t.donor_set AND cy.year = q.year GROUP BY 1, 2, 3),
+  r AS (SELECT point_id, t.donor_set, count(*) FILTER (t.area_km2 / d.area_km2 < 0.5 OR t.area_km2 / d.area_km2 > 2) AS n, count(*) AS k,
+    bool_or(CAST(substr(point_id, 2) AS BIGINT) % 3 <> CAST(substr(gauge, 2) AS BIGINT) % 3 AND CAST(substr(point_id, 2) AS BIGINT) % 5 <> 0) AS dif, bool_or(CAST(substr(point_id, 2) AS BIGINT) % 5 = 0) AS unm FROM targets t JOIN donors d USING (donor_set) GROUP BY 1, 2),
+  g AS (SELECT donor_set, max(year) - min(year) + 1 <> count(*) AS gap FROM cy GROUP BY 1),
+  w AS (SELECT point_id, concat_ws(',', CASE WHEN n > 0 THEN 'area_ratio_outside_half_to_double' END, CASE WHEN gap THEN 'common_years_not_contiguous' END, CASE WHEN k = 1 THEN 'one_donor_weight_is_one' END,
+    CASE WHEN dif THEN 'groundwater_basin_differs' END, CASE WHEN unm THEN 'groundwater_basin_unmapped' END) AS warnings FROM r JOIN g USING (donor_set))
+ SELECT point_id, count(*) AS count, round(avg(q), 6) AS mean, round(median(q), 6) AS median, round(sum(q * """ + ss.DAYS + """ * 86400), 1) AS volume_m3, any_value(warnings) AS warnings FROM f JOIN w USING (point_id) GROUP BY 1""")
+def r10_weighted(spark, sf):
+    """The model with similarity weights, and all that it warns of."""
+    donors, targets = tb.donors(spark, sf), tb.targets(spark, sf)
+    n = F.expr("CAST(substring(point_id, 2) AS BIGINT)")
+    basin = lambda c: F.when((F.substring("point_id", 1, 1) == "P") & (c % 5 == 0), F.array(F.lit("Tidak diketahui"))).otherwise(F.array(F.concat(F.lit("CAT "), c % 3)))
+    ground = targets.select("point_id").unionByName(donors.select(F.col("gauge").alias("point_id"))).withColumn("classes", basin(n))
+    out = pm.area_ratio_model(tb.discharge(spark, sf), donors, targets, distance=ss.similarity(spark, sf), groundwater=ground)
+    s = out["statistics"].select("point_id", "count", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+    return s.join(rounded(out["volume"], 1), "point_id").join(out["warnings"].select("point_id", "warnings"), "point_id")
+
+
 def _model_points(spark, sf):
     return tb.mock_parameters(spark, sf).withColumn("donor_set", F.col("s_suppkey") % 2)
 

@@ -333,11 +333,36 @@ def c13(spark, sf):
   pred AS (SELECT p.gauge, p.year, p.period, any_value(p.o) AS o, avg(q.q * p.area_km2 / d.area_km2) AS p FROM pr p JOIN donors d ON d.donor_set = p.donor_set AND d.gauge <> p.gauge
      JOIN discharge q ON q.gauge = d.gauge AND q.year = p.year AND q.period = p.period GROUP BY 1, 2, 3),
   a AS (SELECT gauge, quantile_cont(o, 0.5) AS oq, quantile_cont(p, 0.5) AS pq, sqrt(avg((p - o) * (p - o))) AS rmse, avg(p - o) AS bias FROM pred GROUP BY 1)
- SELECT gauge, round(oq, 6) AS observed_q50, round(pq, 6) AS predicted_q50, round(rmse, 6) AS rmse, round(bias, 6) AS bias, round(abs(pq - oq) / oq * 100, 6) AS ape_q50_pct FROM a""")
+ SELECT gauge, round(oq, 6) AS observed_q50, round(pq, 6) AS predicted_q50, round(rmse, 6) AS rmse, round(bias, 6) AS bias, round(pq, 6) AS baseline_q50, round(abs(pq - oq) / oq * 100, 6) AS ape_q50_pct, round(abs(pq - oq) / oq * 100, 6) AS baseline_ape_q50_pct FROM a""")
 def m5(spark, sf):
     return rounded(tr.leave_one_out(tb.discharge(spark, sf), tb.donors(spark, sf)), 6)
 
 
+#: Similarity between the gauges of a set by aquifer classes and terrain, each gauge to itself included.
+GAUGE_SQL = f"""{T}, {tb.SHARES_SQL}, sh AS (SELECT d.gauge, s.class, s.fraction FROM donors d JOIN shares s ON s.point_id = 'P' || substr(d.gauge, 2) WHERE s.layer = 'aquifer'),
+ pg AS (SELECT h.gauge AS held, g.gauge, CAST(substr(h.gauge, 2) AS BIGINT) AS i, CAST(substr(g.gauge, 2) AS BIGINT) AS j FROM donors h JOIN donors g USING (donor_set)), cls AS (SELECT DISTINCT class FROM sh),
+ ad AS (SELECT held, pg.gauge, any_value(i) AS i, any_value(j) AS j, sum(abs(coalesce(a.fraction, 0) - coalesce(b.fraction, 0))) / 2 AS d FROM pg CROSS JOIN cls
+    LEFT JOIN sh a ON a.gauge = held AND a.class = cls.class LEFT JOIN sh b ON b.gauge = pg.gauge AND b.class = cls.class GROUP BY 1, 2),
+ gw AS (SELECT held, gauge, exp(-(d + (least(abs(7 * (i % 60) - 7 * (j % 60)) / 1000.0, 1) + least(abs(i % 30 - j % 30) / 100.0, 1)) / 2) / 2) AS e FROM ad)"""
+
+
+def similarity(spark, sf):
+    """Group distances of any points or gauges to their donors."""
+    _, donors, shares, feats = _distances(spark, sf)
+    return lambda points: [tr.class_distance(points, donors, shares), tr.vector_distance(points, donors, feats, "terrain")]
+
+
+@query("m5_weighted_leave_one_out", GAUGE_SQL + """, pred AS (SELECT h.gauge, o.year, o.period, any_value(o.q) AS o, sum(gw.e * q.q * h.area_km2 / d.area_km2) / sum(gw.e) AS p, avg(q.q * h.area_km2 / d.area_km2) AS b
+   FROM donors h JOIN discharge o USING (gauge) JOIN cy ON cy.donor_set = h.donor_set AND cy.year = o.year JOIN donors d ON d.donor_set = h.donor_set AND d.gauge <> h.gauge
+   JOIN discharge q ON q.gauge = d.gauge AND q.year = o.year AND q.period = o.period JOIN gw ON gw.held = h.gauge AND gw.gauge = d.gauge GROUP BY 1, 2, 3),
+  a AS (SELECT gauge, quantile_cont(o, 0.5) AS oq, quantile_cont(p, 0.5) AS pq, quantile_cont(b, 0.5) AS bq, sqrt(avg((p - o) * (p - o))) AS rmse, avg(p - o) AS bias FROM pred GROUP BY 1)
+ SELECT gauge, round(oq, 6) AS observed_q50, round(pq, 6) AS predicted_q50, round(bq, 6) AS baseline_q50, round(rmse, 6) AS rmse, round(bias, 6) AS bias, round(abs(pq - oq) / oq * 100, 6) AS ape_q50_pct, round(abs(bq - oq) / oq * 100, 6) AS baseline_ape_q50_pct FROM a""")
+def m5_weighted(spark, sf):
+    donors = tb.donors(spark, sf)
+    weights = tr.donor_weights(similarity(spark, sf)(donors.select(F.col("gauge").alias("point_id"), "donor_set", "area_km2")))
+    return rounded(tr.leave_one_out(tb.discharge(spark, sf), donors, weights=weights), 6)
+
+
 @query("m6_model_problems", T + """ , bad AS (SELECT donor_set, point_id AS subject, CASE WHEN x < 0 THEN 'area_not_positive' END AS reason FROM (SELECT *, area_km2 - 60 AS x FROM targets) WHERE x <= 0)
  SELECT donor_set, subject, 'area_not_positive' AS reason FROM bad""")
 def m6(spark, sf):

@@ -63,23 +63,37 @@ def transfer(q: DataFrame, donors: DataFrame, targets: DataFrame, b: float = 1.0
         "point_id", "year", "period", (F.col("_ws") * lift).alias("q"), "q_min", "q_max")
 
 
-def leave_one_out(q: DataFrame, donors: DataFrame, b: float = 1.0) -> DataFrame:
-    """Predict each gauge from the other gauges of its set: one job, no pairs, no loop.
+def leave_one_out(q: DataFrame, donors: DataFrame, b: float = 1.0, weights: DataFrame | None = None) -> DataFrame:
+    """Predict each gauge from the other gauges of its set: one job, no loop over gauges.
 
-    The mean of the others is the set total minus the gauge itself.
+    The mean of the others is the set total minus the gauge itself.  With ``weights`` (rows of ``donor_weights`` for the
+    gauges as targets, themselves among their donors) the weighted total less the gauge's own term is divided by the
+    weight left, which is what weights over the other gauges alone would give.  ``baseline`` columns are those of equal
+    weights.
     """
     b = check_exponent(b)
     scaled = scaled_donors(q, donors, b)
     total = scaled.groupBy("donor_set", "year", "period").agg(F.sum("_s").alias("_sum"), F.count("*").alias("_n"))
+    lift = F.pow("area_km2", F.lit(b))
     pred = scaled.join(total, ["donor_set", "year", "period"]).filter("_n > 1").select(
-        "gauge", "year", "period", F.col("q").alias("observed"),
-        ((F.col("_sum") - F.col("_s")) / F.nullif(F.col("_n") - 1, F.lit(0)) * F.pow("area_km2", F.lit(b))).alias("predicted"))
+        "gauge", "year", "period", F.col("q").alias("observed"), lift.alias("_lift"), "_s", ((F.col("_sum") - F.col("_s")) / F.nullif(F.col("_n") - 1, F.lit(0)) * lift).alias("baseline"))
+    if weights is None:
+        pred = pred.withColumn("predicted", F.col("baseline"))
+    else:
+        # a set's weights are a square of its few gauges, and its series is bounded by its calendar
+        held = weights.select(F.col("point_id").alias("held"), "gauge", "weight")
+        own = held.filter("held = gauge").select(F.col("held").alias("gauge"), F.col("weight").alias("_own"))
+        sums = held.join(small(scaled.select("gauge", "year", "period", "_s")), "gauge").groupBy(F.col("held").alias("gauge"), "year", "period").agg(F.sum(F.col("weight") * F.col("_s")).alias("_ws"))
+        others = (F.col("_ws") - F.col("_own") * F.col("_s")) / F.nullif(1 - F.col("_own"), F.lit(0.0))
+        pred = pred.join(small(own), "gauge").join(sums, ["gauge", "year", "period"]).withColumn("predicted", others * F.col("_lift"))
     o, p = F.col("observed"), F.col("predicted")
     agg = pred.groupBy("gauge").agg(
-        F.sort_array(F.collect_list("observed")).alias("_o"), F.sort_array(F.collect_list("predicted")).alias("_p"),
+        *[F.sort_array(F.collect_list(c)).alias(f"_{c}") for c in ("observed", "predicted", "baseline")],
         F.sqrt(F.avg((p - o) * (p - o))).alias("rmse"), F.avg(p - o).alias("bias"))
-    out = agg.select("gauge", weibull_at(F.col("_o"), 50).alias("observed_q50"), weibull_at(F.col("_p"), 50).alias("predicted_q50"), "rmse", "bias")
-    return out.withColumn("ape_q50_pct", F.abs(F.col("predicted_q50") - F.col("observed_q50")) / F.when(F.col("observed_q50") > 0, F.col("observed_q50")) * 100)
+    out = agg.select("gauge", *[weibull_at(F.col(f"_{c}"), 50).alias(f"{c}_q50") for c in ("observed", "predicted", "baseline")], "rmse", "bias")
+    known = F.when(F.col("observed_q50") > 0, F.col("observed_q50"))
+    miss = lambda c: F.abs(F.col(c) - F.col("observed_q50")) / known * 100
+    return out.withColumns({"ape_q50_pct": miss("predicted_q50"), "baseline_ape_q50_pct": miss("baseline_q50")})
 
 
 # --- similarity ---------------------------------------------------------------------------
@@ -161,16 +175,32 @@ def model_problems(q: DataFrame, donors: DataFrame, targets: DataFrame) -> DataF
     return out if sheets is None else out.unionByName(rows(sheets, F.col("sheet"), "sheet_used_twice"))
 
 
-def warnings(pairs: DataFrame, years: DataFrame, targets: DataFrame) -> DataFrame:
-    """Warning codes per target: area ratio outside 0.5-2 of some donor, broken year range."""
-    ratio = pairs.groupBy("point_id").agg(
-        F.count_if((F.col("area_ratio") < 0.5) | (F.col("area_ratio") > 2)).alias("donors_outside_ratio"))
+def warnings(pairs: DataFrame, years: DataFrame, targets: DataFrame, *, weighted: bool = False, groundwater: DataFrame | None = None) -> DataFrame:
+    """Warning codes per target: area ratio outside 0.5-2 of some donor, broken year range, a lone donor that similarity
+    cannot weigh (``weighted``), and donors in other or unmapped groundwater basins.
+
+    ``groundwater``: ``point_id, classes`` (array of basin names) of targets and gauges with a map; a place without a row
+    is not judged.  None of the codes changes weights or discharge.
+    """
+    unknown = "Tidak diketahui"  # fixed value
+    judged = pairs.withColumns({"_differs": F.lit(None).cast("boolean"), "_unmapped": F.lit(None).cast("boolean")})
+    if groundwater is not None:
+        named = groundwater.select("point_id", F.array_remove("classes", unknown).alias("_a"))
+        judged = pairs.join(named, "point_id", "left").join(small(named.select(F.col("point_id").alias("gauge"), F.col("_a").alias("_b"))), "gauge", "left").withColumns({
+            "_unmapped": (F.size("_a") == 0) | (F.size("_b") == 0), "_differs": (F.size("_a") > 0) & (F.size("_b") > 0) & ~F.arrays_overlap("_a", "_b")})
+    each = judged.groupBy("point_id").agg(
+        F.count_if((F.col("area_ratio") < 0.5) | (F.col("area_ratio") > 2)).alias("donors_outside_ratio"), F.count("*").alias("_donors"),
+        F.bool_or(F.col("_differs") & F.col("_a").isNotNull() & F.col("_b").isNotNull() if groundwater is not None else F.col("_differs")).alias("_differs"),
+        F.bool_or(F.col("_unmapped") & F.col("_a").isNotNull() & F.col("_b").isNotNull() if groundwater is not None else F.col("_unmapped")).alias("_unmapped"))
     gaps = years.groupBy("donor_set").agg((F.max("year") - F.min("year") + 1 != F.count("*")).alias("_gap"))
-    return targets.select("point_id", "donor_set").join(small(gaps), "donor_set", "left").join(ratio, "point_id", "left").select(
+    return targets.select("point_id", "donor_set").join(small(gaps), "donor_set", "left").join(each, "point_id", "left").select(
         "point_id", F.coalesce("donors_outside_ratio", F.lit(0)).cast("long").alias("donors_outside_ratio"),
         F.array_join(F.array_compact(F.array(
             F.when(F.col("donors_outside_ratio") > 0, "area_ratio_outside_half_to_double"),
-            F.when(F.col("_gap"), "common_years_not_contiguous"))), ",").alias("warnings"))
+            F.when(F.col("_gap"), "common_years_not_contiguous"),
+            F.when((F.col("_donors") == 1) & F.lit(weighted), "one_donor_weight_is_one"),
+            F.when(F.col("_differs"), "groundwater_basin_differs"),
+            F.when(F.col("_unmapped"), "groundwater_basin_unmapped"))), ",").alias("warnings"))
 
 
 def extrapolation(targets: DataFrame, donors: DataFrame, features: DataFrame) -> DataFrame:

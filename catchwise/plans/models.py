@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,35 @@ from catchwise.runtime import cut
 from catchwise.sinks.publish import differences
 
 
-def area_ratio_model(q: DataFrame, donors: DataFrame, targets: DataFrame, *, b: float = 1.0, weights: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Transfer, statistics, dependable flow, volume, validation and warnings; bad input raises first."""
+def area_ratio_model(q: DataFrame, donors: DataFrame, targets: DataFrame, *, b: float = 1.0, distance: Callable[[DataFrame], list[DataFrame]] | None = None, groundwater: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Transfer, statistics, dependable flow, volume, validation and warnings; bad input raises first.
+
+    ``distance(points)`` returns the chosen group distances of ``points`` (``point_id, donor_set, area_km2``) to their
+    donors, one table ``point_id, gauge, d`` a group; a point without a distance in every group lacks a parameter and
+    raises.  Gauges are weighed in the same pass as targets, so that held-out gauges need no second table.
+    """
     q = cut(q)
     problem = tr.model_problems(q, donors, targets).limit(1).collect()
     if problem:
         raise ValueError(f"model input: {problem[0]['reason']} {problem[0]['subject'] or ''}")
+    weights = held = None
+    if distance is not None:
+        gauges = donors.select(F.col("gauge").alias("point_id"), "donor_set", "area_km2")
+        points = targets.select("point_id", "donor_set", "area_km2").unionByName(gauges)
+        groups = [cut(g) for g in distance(points)]
+        wanted = tr.pairs_with_distance(points, donors)
+        for g in groups:
+            lacks = wanted.join(g.filter("d is not null"), ["point_id", "gauge"], "left_anti").limit(1).collect()
+            if lacks:
+                raise ValueError(f"model input: parameter_missing {lacks[0]['point_id']} {lacks[0]['gauge']}")
+        every = cut(tr.donor_weights(groups))
+        held = every.join(gauges.select("point_id"), "point_id", "left_semi")
+        weights = every.join(gauges.select("point_id"), "point_id", "left_anti")
     flow = cut(tr.transfer(q, donors, targets, b, weights))
-    return {"flow": flow, "statistics": st.series_stats(flow, ["point_id"], bounded=True), "dependable": st.period_stats(flow, "point_id"), "volume": st.volume(flow, "point_id"),
-            "validation": tr.leave_one_out(q, donors, b), "warnings": tr.warnings(tr.pairs_with_distance(targets, donors), tr.common_years(q, donors), targets)}
+    out = {"flow": flow, "statistics": st.series_stats(flow, ["point_id"], bounded=True), "dependable": st.period_stats(flow, "point_id"), "volume": st.volume(flow, "point_id"),
+           "validation": tr.leave_one_out(q, donors, b, held),
+           "warnings": tr.warnings(tr.pairs_with_distance(targets, donors), tr.common_years(q, donors), targets, weighted=distance is not None, groundwater=groundwater)}
+    return out if weights is None else out | {"weights": weights}
 
 
 def water_balance_model(climate: DataFrame, points: DataFrame, observed: DataFrame | None = None, *, mode: str = "gis", warmup_years: int = 3, bounds: dict | None = None,

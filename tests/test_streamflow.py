@@ -141,6 +141,49 @@ def test_transfer_weights_and_volume(spark):
         tr.transfer(q, one, target, 3.5)
 
 
+def test_weighted_leave_one_out_equals_weights_over_the_others(spark):
+    import random
+
+    rnd = random.Random(4)
+    flows = {g: [rnd.uniform(1, 50) for _ in range(48)] for g in "ABCD"}
+    areas = {"A": 100.0, "B": 150.0, "C": 80.0, "D": 300.0}
+    apart = {(g, h): 0.0 if g == h else rnd.uniform(0.1, 2) for g in "ABCD" for h in "ABCD"}
+    q = spark.createDataFrame([(g, 2020 + i // 24, i % 24, v) for g, vs in flows.items() for i, v in enumerate(vs)], "gauge string, year int, period int, q double")
+    donors = spark.createDataFrame([(g, 0, a) for g, a in areas.items()], "gauge string, donor_set int, area_km2 double")
+    d = spark.createDataFrame([(g, h, v) for (g, h), v in apart.items()], "point_id string, gauge string, d double")
+    got = {r.gauge: r for r in tr.leave_one_out(q, donors, 0.8, tr.donor_weights([d])).collect()}
+    for g in "ABCD":
+        others = [h for h in "ABCD" if h != g]
+        e = [math.exp(-apart[g, h]) for h in others]
+        lifted = [[flows[h][i] * (areas[g] / areas[h]) ** 0.8 for h in others] for i in range(48)]
+        made = [sum(w * v for w, v in zip(e, row, strict=True)) / sum(e) for row in lifted]
+        median = lambda v: (sorted(v)[23] + sorted(v)[24]) / 2
+        assert got[g].predicted_q50 == pytest.approx(median(made)) and got[g].baseline_q50 == pytest.approx(median([sum(r) / 3 for r in lifted]))
+        assert got[g].bias == pytest.approx(sum(m - o for m, o in zip(made, flows[g], strict=True)) / 48)
+        assert got[g].baseline_ape_q50_pct == pytest.approx(abs(got[g].baseline_q50 - median(flows[g])) / median(flows[g]) * 100)
+
+
+def test_groundwater_changes_warnings_only(spark):
+    from catchwise.plans import models as pm
+
+    q = spark.createDataFrame([(g, 2020, p, v) for g, v in (("A", 10.0), ("B", 30.0)) for p in range(24)], "gauge string, year int, period int, q double")
+    donors = spark.createDataFrame([("A", 0, 100.0), ("B", 0, 100.0)], "gauge string, donor_set int, area_km2 double")
+    targets = spark.createDataFrame([("C", 0, 100.0), ("D", 0, 100.0), ("E", 0, 100.0)], "point_id string, donor_set int, area_km2 double")
+    shares = spark.createDataFrame([("A", "x", 1.0), ("B", "y", 1.0), ("C", "x", 1.0), ("D", "y", 1.0), ("E", "x", 1.0)], "point_id string, class string, fraction double")
+    ground = spark.createDataFrame([("A", ["a"]), ("B", ["a", "b"]), ("C", ["c"]), ("D", ["Tidak diketahui"])], "point_id string, classes array<string>")
+    by_class = lambda points: [tr.class_distance(points, donors, shares)]
+    plain, told = pm.area_ratio_model(q, donors, targets, distance=by_class), pm.area_ratio_model(q, donors, targets, distance=by_class, groundwater=ground)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(plain["flow"]) == key(told["flow"]) and key(plain["weights"]) == key(told["weights"])
+    assert {r.point_id: r.warnings for r in told["warnings"].collect()} == {"C": "groundwater_basin_differs", "D": "groundwater_basin_unmapped", "E": ""}
+    means = {r.point_id: r["mean"] for r in told["statistics"].collect()}
+    assert means["C"] == pytest.approx((10 * math.e + 30) / (1 + math.e)) and means["C"] < means["D"]
+    one = pm.area_ratio_model(q.filter("gauge = 'A'"), donors.filter("gauge = 'A'"), targets, distance=lambda p: [tr.class_distance(p, donors.filter("gauge = 'A'"), shares)])
+    assert {r.warnings for r in one["warnings"].collect()} == {"one_donor_weight_is_one"} and one["validation"].count() == 0
+    with pytest.raises(ValueError, match="parameter_missing E"):
+        pm.area_ratio_model(q, donors, targets, distance=lambda p: [tr.class_distance(p, donors, shares.filter("point_id <> 'E'"))])
+
+
 def test_rain_distance(spark):
     t = spark.createDataFrame([("T", 0)], "point_id string, donor_set int")
     d = spark.createDataFrame([("G", 0)], "gauge string, donor_set int")
