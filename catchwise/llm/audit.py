@@ -18,6 +18,7 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import count, permutations
@@ -76,11 +77,12 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 c = 100 * (len(own) - len(own.translate(None, CAPITALS))) > 10 * len(text)
                 d = len(own.translate(None, SIGNS)) < len(own)
                 # bytes.split() knows ASCII white space only
-                tokens = own.split()
-                column, times = np.unique(np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens)), return_counts=True)
+                own_counts = Counter(own.split())
+                column = np.fromiter(map(words.__getitem__, own_counts), dtype=np.int32, count=len(own_counts))
+                order = column.argsort()
                 rows.append((doc_id, part, 4 * c + 8 * d, sha256(own).digest()))
-                columns.append(column)
-                counts.append(times.astype(np.int32))
+                columns.append(column[order])
+                counts.append(np.fromiter(own_counts.values(), dtype=np.int32, count=len(own_counts))[order])
                 starts.append(starts[-1] + len(column))
                 load += len(own) + 100
                 if load > shard_bytes:
