@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,35 +38,63 @@ def halfmonth_totals(daily: DataFrame, *, lateness: str = "10 days") -> DataFram
     return agg.select("cell", y.alias("year"), q.alias("period"), "mm", "days_seen", (F.col("days_seen") == halfmonth_days(y, q)).alias("complete"))
 
 
+BALANCE = "point_id string, year int, period int, soil_mm double, groundwater_mm double, runoff_mm double, status string"
+
+
 class BalanceState(StatefulProcessor):
-    """Soil and groundwater storage of one catchment, carried across half-months."""
+    """Storages of one catchment, carried across half-months in their order, whatever order they arrive in."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.store = handle.getValueState("storage", "soil double, ground double")
+        self.store = handle.getValueState("storage", "next long, soil double, ground double")
+        self.waiting = handle.getMapState("waiting", "number long", "p double, et0 double, days int, wet int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["year", "period"])
+        pdf = pd.concat(list(rows))
         r = pdf.iloc[0]
         known = self.store.get() if self.store.exists() else None
-        soil, ground = (known[0], known[1]) if known else (None, 0.0)
-        out = []
-        for (aet, soil, ground, recharge, direct, base, runoff, residual), row in zip(
-                walk(pdf.p_mm.to_numpy(), pdf.et0_mm.to_numpy(), pdf.days.to_numpy(), pdf.wet_days.to_numpy(),
-                     r.smc_mm * r.smc_multiplier, r.infiltration, r.k30, r.exposed_fraction, soil, ground), pdf.itertuples()):
-            out.append((key[0], int(row.year), int(row.period), float(soil), float(ground), float(runoff)))
-        self.store.update((float(soil), float(ground)))
-        yield pd.DataFrame(out, columns=["point_id", "year", "period", "soil_mm", "groundwater_mm", "runoff_mm"])
+        following, soil, ground = known if known else (int(r.first_year) * 24 + int(r.first_period), None, 0.0)
+        out, here = [], {}
+        for row in pdf.itertuples():
+            n = int(row.year) * 24 + int(row.period)
+            if n < following:
+                out.append((key[0], int(row.year), int(row.period), None, None, None, "older"))
+            elif n in here or self.waiting.containsKey((n,)):
+                out.append((key[0], int(row.year), int(row.period), None, None, None, "repeated"))
+            else:
+                here[n] = (float(row.p_mm), float(row.et0_mm), int(row.days), int(row.wet_days))
+        steps = []
+        while following in here or self.waiting.containsKey((following,)):
+            if following in here:
+                steps.append((following, here.pop(following)))
+            else:
+                steps.append((following, self.waiting.getValue((following,))))
+                self.waiting.removeKey((following,))
+            following += 1
+        for n, held in here.items():
+            self.waiting.updateValue((n,), held)
+        if steps:
+            p, et0, days, wet = (np.array(v) for v in zip(*[v for _, v in steps], strict=True))
+            walked = walk(p, et0, days, wet, r.smc_mm * r.smc_multiplier, r.infiltration, r.k30, r.exposed_fraction, soil, ground)
+            for (n, _), (_, soil, ground, _, _, _, runoff, _) in zip(steps, walked, strict=True):
+                out.append((key[0], n // 24, n % 24, float(soil), float(ground), float(runoff), "done"))
+        if steps or known is None:
+            self.store.update((following, None if soil is None else float(soil), float(ground)))
+        yield pd.DataFrame(out, columns=["point_id", "year", "period", "soil_mm", "groundwater_mm", "runoff_mm", "status"])
 
     def close(self) -> None:
         pass
 
 
 def water_balance_stream(climate: DataFrame, params: DataFrame) -> DataFrame:
-    """Water balance of arriving half-months; the storages live in the state store."""
-    joined = climate.join(params.select("point_id", "smc_mm", "exposed_fraction", *PARAMETERS), "point_id")
-    return joined.groupBy("point_id").transformWithStateInPandas(
-        statefulProcessor=BalanceState(), outputStructType="point_id string, year int, period int, soil_mm double, groundwater_mm double, runoff_mm double",
-        outputMode="append", timeMode="None")
+    """Water balance of arriving half-months; the storages live in the state store.
+
+    ``params`` also name each catchment's ``first_year, first_period``.  A half-month is walked once all before it
+    are: rows ahead of a gap wait in the state, so their order of arrival does not matter and no gap is skipped.  Rows of
+    half-months already walked come out with status ``older``, second rows of waiting ones as ``repeated``; neither
+    changes the storages.
+    """
+    joined = climate.join(params.select("point_id", "smc_mm", "exposed_fraction", "first_year", "first_period", *PARAMETERS), "point_id")
+    return joined.groupBy("point_id").transformWithStateInPandas(statefulProcessor=BalanceState(), outputStructType=BALANCE, outputMode="append", timeMode="None")
 
 
 def newest_request(requests: DataFrame) -> DataFrame:

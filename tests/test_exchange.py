@@ -77,6 +77,36 @@ def test_halfmonth_stream_with_late_rows(spark):
     assert newest == {(2024, 0): (15.0, True), (2024, 1): (16.0, True), (2024, 2): (15.0, True), (2024, 3): (14.0, True), (2024, 4): (10.0, False)}
 
 
+def test_balance_of_half_months_in_any_order(spark, tmp_path):
+    import random
+
+    from catchwise.operators import water_balance as wb
+
+    rnd = random.Random(2)
+    rows = [(p, 2020 + i // 24, i % 24, 15, rnd.uniform(0, 150), 50.0, rnd.randint(0, 9)) for p in ("a", "b") for i in range(40)]
+    schema = "point_id string, year int, period int, days int, p_mm double, et0_mm double, wet_days int"
+    params = spark.createDataFrame([(p, 120.0, 0.3, 1.0, 0.4, 0.9, 2020, 0) for p in ("a", "b")], "point_id string, smc_mm double, exposed_fraction double, smc_multiplier double, infiltration double, k30 double, first_year int, first_period int")
+    want = {(r.point_id, r.year, r.period): (r.soil_mm, r.groundwater_mm, r.runoff_mm) for r in wb.mock(spark.createDataFrame(rows, schema), params).collect()}
+    held = [r for r in rows if r[:3] == ("b", 2020, 7)]
+    mixed = [r for r in rows if r not in held]
+    rnd.shuffle(mixed)
+    late = rnd.sample(mixed, 5)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = None
+    for part in (mixed[:30], mixed[30:50], mixed[50:], late):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        src = src or spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        out = fl.water_balance_stream(src, params).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        out.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    done = {(r.point_id, r.year, r.period): (r.soil_mm, r.groundwater_mm, r.runoff_mm) for r in got if r.status == "done"}
+    # b waits at the half-month that never came
+    assert done.keys() == {k for k in want if k[0] == "a" or k[1:] < (2020, 7)}
+    assert all(done[k] == pytest.approx(want[k]) for k in done)
+    assert len([r for r in got if r.status != "done"]) == 5 and {r.status for r in got if r.point_id == "a"} <= {"done", "older"}
+
+
 def test_a_day_sent_twice_counts_once(spark):
     days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(15)]
     rows = [(0, d, 1.0) for d in days[:14]] + [(0, days[3], 1.0), (0, days[3] + dt.timedelta(hours=6), 0.5), (1, days[0], None)]
