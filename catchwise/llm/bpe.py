@@ -25,6 +25,15 @@ from catchwise.llm.common import map_text
 #: Fixed value: the pattern of byte-level BPE pre-tokenisation.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Code points that are neither letters nor numbers to the tokenizer, whose character tables are older than
+#: those of the pattern engine.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F "
+    "12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 "
+    "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEWER_SET = "".join("-".join(f"\\U{int(end, 16):08X}" for end in part.split("-")) for part in NEWER.split())
+
 #: Pieces remembered per worker and generation (a speed parameter; it never changes a result).
 REMEMBERED = 150_000
 
@@ -81,7 +90,9 @@ class Codec:
             self.size[token] = len(entry)
             self.shorter[token] = next((ids[entry[:k]] for k in range(len(entry) - 1, 0, -1) if entry[:k] in ids), -1)
         self.letters = dict(enumerate(byte_letters()))
-        self.pieces = regex.compile(PATTERN).findall
+        self.plain, self.newer = regex.compile(PATTERN).findall, regex.compile(f"[{NEWER_SET}]").search
+        older = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{NEWER_SET}]|[^\s\p{{L}}\p{{N}}])").replace(r" ?\p{L}+", rf" ?(?:(?![{NEWER_SET}])\p{{L}})+").replace(r" ?\p{N}+", rf" ?(?:(?![{NEWER_SET}])\p{{N}})+")
+        self.exact = regex.compile(older).findall
         self.added = vocabulary.added
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.compatible: dict[tuple[int, int], bool] = {}
@@ -96,6 +107,9 @@ class Codec:
         self.table = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
 
+    def pieces(self, text: str) -> list[str]:
+        return self.exact(text) if not text.isascii() and self.newer(text) else self.plain(text)
+
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The parts of ``token`` that touch its end (side 2) or start (side 1), each with the rank at which it is merged away."""
         if (token, side) not in self.spines:

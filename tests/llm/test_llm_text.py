@@ -33,6 +33,29 @@ def test_bpe_equals_library(spark, sf):
         assert own.decode(own.encode(t)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_cut_as_the_library_does():
+    from tokenizers import pre_tokenizers
+
+    codec = bpe.Codec(bpe.Vocabulary.parse(open(bpe.tokenizer_path(), encoding="utf-8").read()))
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    points = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for at in range(0, len(points), 5000):
+        # a letter, a number, a sign and a space before and after each
+        text = "".join(f"a{c}b1{c}2!{c}? {c} {c}{c}a" for c in points[at : at + 5000])
+        want = [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+        assert codec.pieces(text) == want
+
+
+def test_letters_newer_than_the_library_encode_alike(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    texts = ["\U00010948\u8a9e", "\U00011db6\u6f22", "a\U000323b5b \U00012560 1\U00011de33", "plain", "\u8a9e1"]
+    got = bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bpe.tokenizer_path()).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids and r.decoded == text
+
+
 def test_bpe_frames(spark):
     df = frame(spark, ODD)
     out = bpe.round_trip(df, bpe.tokenizer_path())
