@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catchwise.runtime import Cut, cut, cuts
+from catchwise.runtime import Cut, cut, cuts, union_all
 
 MAX_ROUNDS = 40  # 2**40 hops: deeper than any network that could be stored
 
@@ -29,6 +29,22 @@ def _check_rounds(round_no: int) -> None:
         raise CyclicNetwork("downstream pointers do not terminate; run find_cycles()")
 
 
+def _frontier(start: DataFrame, jump: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Doubling over ``node, ptr, done, ...`` that sets finished rows aside.
+
+    ``jump(live, known)`` moves unfinished rows on over what is known of the rows they point to.  A round writes the rows
+    that were unfinished before it and nothing else, so a finished row is written once and never joined by its pointer
+    again: no round gathers the rows of a basin at its terminal.
+    """
+    rounds = [Cut(start, count_if=~F.col("done"))]
+    while rounds[-1].count:
+        _check_rounds(len(rounds))
+        live = rounds[-1].df.filter(~F.col("done"))
+        known = union_all([*[r.df.filter("done") for r in rounds], live])
+        rounds.append(Cut(jump(live, known), count_if=~F.col("done")))
+    return union_all([r.df.filter("done") for r in rounds])
+
+
 def to_terminal(nodes: DataFrame, carry: dict[str, str] | None = None) -> DataFrame:
     """Terminal node, hop count and carried sums for every node.
 
@@ -37,42 +53,19 @@ def to_terminal(nodes: DataFrame, carry: dict[str, str] | None = None) -> DataFr
     path from the node down to, and without, the terminal.
     """
     carry = carry or {}
-    live = nodes.select(
-        "node",
-        F.coalesce("parent", "node").alias("ptr"),
-        F.col("parent").isNull().alias("done"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops"),
-        *[F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0))).alias(o)
-          for o, c in carry.items()],
-    )
-    state = Cut(live)
-    finished: list[DataFrame] = []
-    round_no = 0
-    while True:
-        round_no += 1
-        _check_rounds(round_no)
-        other = state.df.select(
-            F.col("node").alias("_n"), F.col("ptr").alias("_ptr"), F.col("done").alias("_done"),
-            F.col("hops").alias("_hops"), *[F.col(o).alias(f"_{o}") for o in carry],
-        )
-        step = (
-            state.df.join(other, F.col("ptr") == F.col("_n"), "left")
-            .select(
-                "node",
-                F.coalesce("_ptr", "ptr").alias("ptr"),
-                # a pointer that has no row of its own leaves the table: it is a terminal
-                F.coalesce("_done", F.lit(True)).alias("done"),
-                (F.col("hops") + F.when(F.col("done"), 0).otherwise(F.coalesce("_hops", F.lit(0)))).alias("hops"),
-                *[(F.col(o) + F.when(F.col("done"), 0.0).otherwise(F.coalesce(f"_{o}", F.lit(0.0)))).alias(o)
-                  for o in carry],
-            )
-        )
-        new = Cut(step, count_if=~F.col("done"))
-        state.drop()
-        state = new
-        if new.count == 0:
-            break
-    return state.df.select("node", F.col("ptr").alias("terminal"), "hops", *carry)
+    ends = F.col("parent").isNull()
+    start = nodes.select(
+        "node", F.coalesce("parent", "node").alias("ptr"), ends.alias("done"), F.when(ends, 0).otherwise(1).cast("long").alias("hops"),
+        *[F.when(ends, 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0))).alias(o) for o, c in carry.items()])
+
+    def jump(live: DataFrame, known: DataFrame) -> DataFrame:
+        other = known.select(F.col("node").alias("_n"), *[F.col(c).alias(f"_{c}") for c in ("ptr", "done", "hops", *carry)])
+        return live.join(other, F.col("ptr") == F.col("_n"), "left").select(
+            # a pointer that has no row of its own leaves the table: it is a terminal
+            "node", F.coalesce("_ptr", "ptr").alias("ptr"), F.coalesce("_done", F.lit(True)).alias("done"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+            *[(F.col(o) + F.coalesce(f"_{o}", F.lit(0.0))).alias(o) for o in carry])
+
+    return _frontier(start, jump).select("node", F.col("ptr").alias("terminal"), "hops", *carry)
 
 
 def fold_upstream(nodes: DataFrame, values: DataFrame, aggs: dict[str, Callable[[Column], Column]],
@@ -140,27 +133,14 @@ def first_marked(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     network without meeting a mark are absent from the result.
     """
     flags = marked.select("node", F.lit(True).alias("_mark")).distinct()
-    live = (
-        nodes.join(flags, "node", "left")
-        .withColumn("_done", F.coalesce("_mark", F.lit(False)))
-        .select("node", F.when(F.col("_done"), F.col("node")).otherwise(F.col("parent")).alias("ptr"),
-                F.col("_done").alias("done"))
-        .filter(F.col("ptr").isNotNull())
-    )
-    state = Cut(live, count_if=~F.col("done"))
-    round_no = 0
-    while state.count:
-        round_no += 1
-        _check_rounds(round_no)
-        other = state.df.select(F.col("node").alias("_n"), F.col("ptr").alias("_p"), F.col("done").alias("_d"))
-        step = (
-            state.df.join(other, F.col("ptr") == F.col("_n"), "inner")
-            .select("node", F.col("_p").alias("ptr"), F.col("_d").alias("done"))
-        )
-        new = Cut(step, count_if=~F.col("done"))
-        state.drop()
-        state = new
-    return state.df.select("node", F.col("ptr").alias("mark"))
+    done = F.coalesce("_mark", F.lit(False))
+    start = nodes.join(flags, "node", "left").select("node", F.when(done, F.col("node")).otherwise(F.col("parent")).alias("ptr"), done.alias("done")).filter("ptr is not null")
+
+    def jump(live: DataFrame, known: DataFrame) -> DataFrame:
+        other = known.select(F.col("node").alias("_n"), F.col("ptr").alias("_p"), F.col("done").alias("_d"))
+        return live.join(other, F.col("ptr") == F.col("_n")).select("node", F.col("_p").alias("ptr"), F.col("_d").alias("done"))
+
+    return _frontier(start, jump).select("node", F.col("ptr").alias("mark"))
 
 
 def ancestors(tree: DataFrame) -> DataFrame:

@@ -87,6 +87,26 @@ def test_one_link_with_most_of_the_network(spark):
     assert (acc.area_km2, acc.upstream_count) == (2001.0, 2001)
 
 
+@pytest.mark.parametrize("shape", ["star", "chain"])
+def test_terminals_of_large_networks(spark, shape, monkeypatch):
+    n = 100_000
+    parent = F.when(F.col("node") > 0, F.lit(0) if shape == "star" else F.col("node") - 1)
+    nodes = spark.range(n).select(F.col("id").alias("node")).withColumn("parent", parent.cast("long")).withColumn("m", F.lit(2.0))
+    rounds = []
+    kept = doubling.Cut
+    monkeypatch.setattr(doubling, "Cut", lambda df, **more: rounds.append(kept(df, **more)) or rounds[-1])
+    got = doubling.to_terminal(nodes, {"below": "m"}).agg(F.count("*"), F.max("terminal"), F.sum("hops"), F.sum("below")).first()
+    hops = n - 1 if shape == "star" else n * (n - 1) // 2
+    assert tuple(got) == (n, 0, hops, 2.0 * hops)
+    # a round writes the rows that were unfinished before it: one round over a star, the further half in the last of a chain
+    left = [r.count for r in rounds]
+    assert left[0] == n - 1 and left[-1] == 0 and all(a > b for a, b in zip(left, left[1:])) and (len(left) == 2 if shape == "star" else left[-2] <= n // 2 and len(left) <= 18)
+    assert rounds[-1].df.count() == left[-2]
+    marks = spark.createDataFrame([(0,), (n // 2,)], "node long")
+    first = {r.mark: r.n for r in doubling.first_marked(nodes, marks).groupBy("mark").agg(F.count("*").alias("n")).collect()}
+    assert first == ({0: n - 1, n // 2: 1} if shape == "star" else {0: n // 2, n // 2: n // 2})
+
+
 def test_cycles_and_connectors(spark):
     links = spark.createDataFrame([(1, -1, 5.0), (2, 1, 5.0), (3, 2, 0.0), (4, 3, 5.0), (5, 4, 5.0), (6, 99, 5.0)], "linkno long, downstream_id long, length_m double")
     subs = spark.createDataFrame([(i,) for i in (1, 2, 4, 6)], "polygon_id long")
