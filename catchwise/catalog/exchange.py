@@ -155,9 +155,34 @@ LAB = f"""WITH {tb.CATCHMENTS_SQL}, lab AS (SELECT *, CASE WHEN s_suppkey % 4 <>
   CASE WHEN s_suppkey % 5 <> 0 THEN 'Kali ' || (s_suppkey % 9) END AS river_name, -7.5 + s_suppkey / 1000.0 AS lat, 110 + s_suppkey / 500.0 AS lon FROM catchments)"""
 
 
-@query("k1_catchment_layer", LAB + " SELECT point_id AS ID, nama AS NAMA, round(area_km2, 6) AS LUAS_KM2, basin_name AS DAS, river_name AS SUNGAI, 'uji & coba' AS SUMBER FROM lab")
+#: Parts with their rings of every polygon, as text.
+SHAPES = f"""{tb.POLYGONS_SQL}, gr AS (SELECT poly_id, part, ring, '[' || string_agg('[' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ']', ',' ORDER BY seq) || ',' || any_value(CASE WHEN seq = 0 THEN '[' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ']' END) || ']' AS c FROM edges GROUP BY 1, 2, 3),
+  gp AS (SELECT poly_id, part, '[' || string_agg(c, ',' ORDER BY ring) || ']' AS c FROM gr GROUP BY 1, 2), shapes AS (SELECT poly_id, string_agg(c, ',' ORDER BY part) AS c FROM gp GROUP BY 1)"""
+
+
+def _shapes(spark, sf):
+    return tb.polygons(spark, sf).withColumn("poly_id", F.concat(F.lit("P"), "poly_id"))
+
+
+@query("k1_catchment_layer", LAB + f""", {SHAPES} SELECT point_id AS ID, nama AS NAMA, round(area_km2, 6) AS LUAS_KM2, basin_name AS DAS, river_name AS SUNGAI, 'uji & coba' AS SUMBER,
+   '{{"type":"MultiPolygon","coordinates":[' || c || ']}}' AS GEOMETRY FROM lab LEFT JOIN shapes ON poly_id = s_suppkey""")
 def k1(spark, sf):
-    return rounded(vc.catchment_layer(_labelled(spark, sf)), 6)
+    return vc.with_areas(rounded(vc.catchment_layer(_labelled(spark, sf)), 6), _shapes(spark, sf))
+
+
+@query("k4_kml_areas", LAB + f""", {tb.POLYGONS_SQL}, r AS (SELECT poly_id, part, ring, '<LinearRing><coordinates>' || string_agg(printf('%.8f,%.8f,0', x1, y1), ' ' ORDER BY seq) || ' ' || any_value(CASE WHEN seq = 0 THEN printf('%.8f,%.8f,0', x1, y1) END) || '</coordinates></LinearRing>' AS c FROM edges GROUP BY 1, 2, 3),
+  g AS (SELECT poly_id, part, '<Polygon>' || string_agg(CASE WHEN ring = 0 THEN '<outerBoundaryIs>' || c || '</outerBoundaryIs>' ELSE '<innerBoundaryIs>' || c || '</innerBoundaryIs>' END, '' ORDER BY ring) || '</Polygon>' AS c FROM r GROUP BY 1, 2),
+  m AS (SELECT poly_id, string_agg(c, '' ORDER BY part) AS c FROM g GROUP BY 1)
+ SELECT point_id AS ID, '<Placemark><name>' || replace(replace(nama, '<', '&lt;'), '>', '&gt;') || '</name><ExtendedData><Data name="SUMBER"><value>uji &amp; coba</value></Data></ExtendedData><MultiGeometry>' || c || '</MultiGeometry></Placemark>' AS placemark FROM lab JOIN m ON poly_id = s_suppkey""")
+def k4_areas(spark, sf):
+    df = _labelled(spark, sf).select(F.col("point_id").alias("ID"), F.col("label").alias("NAMA"), F.col("source").alias("SUMBER"))
+    return vc.areas_to_kml(df, _shapes(spark, sf), ["SUMBER"])
+
+
+@query("k4_kml_lines", f"""WITH {tb.RINGS_SQL} SELECT ring_id AS ID, '<Placemark><name>R' || ring_id || '</name><LineString><coordinates>' || string_agg(printf('%.8f,%.8f,0', round(x, 3) + 0.0, round(y, 3) + 0.0), ' ' ORDER BY seq) || '</coordinates></LineString></Placemark>' AS placemark FROM rv GROUP BY 1""")
+def k4_lines(spark, sf):
+    v = tb.ring_vertices(spark, sf).select(F.col("ring_id").alias("ID"), "seq", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
+    return vc.lines_to_kml(v.select("ID").distinct().withColumn("NAMA", F.concat(F.lit("R"), "ID")), v, [])
 
 
 @query("k2_outlet_layer", LAB + " SELECT point_id AS ID, nama AS NAMA, basin_name AS DAS, river_name AS SUNGAI, round(CAST(lat AS DOUBLE), 6) AS LINTANG, round(CAST(lon AS DOUBLE), 6) AS BUJUR FROM lab")

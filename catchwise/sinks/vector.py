@@ -75,29 +75,82 @@ def ring_coordinates(edges: DataFrame, digits: int) -> DataFrame:
     return pts.select("poly_id", "part", "ring", F.concat(xy, F.slice(xy, 1, 1)).alias("coords"))
 
 
-def to_geojson(edges: DataFrame, attributes: DataFrame, *, digits: int = 7, key: str = "poly_id") -> DataFrame:
-    """One GeoJSON feature per polygon as text: ``key, feature``."""
+def multipolygons(edges: DataFrame, digits: int) -> DataFrame:
+    """``poly_id, coordinates``: parts with their rings, outer ring first."""
     rings = ring_coordinates(edges, digits)
     parts = rings.groupBy("poly_id", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", "coords"))), lambda r: r["coords"]).alias("rings"))
-    polys = parts.groupBy("poly_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "rings"))), lambda p: p["rings"]).alias("coordinates"))
+    return parts.groupBy("poly_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "rings"))), lambda p: p["rings"]).alias("coordinates"))
+
+
+def to_geojson(edges: DataFrame, attributes: DataFrame, *, digits: int = 7, key: str = "poly_id") -> DataFrame:
+    """One GeoJSON feature per polygon as text: ``key, feature``."""
     props = [c for c in attributes.columns if c != key]
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(*props).alias("properties"),
                        F.struct(F.lit("MultiPolygon").alias("type"), F.col("coordinates")).alias("geometry"))
-    return polys.withColumnRenamed("poly_id", key).join(attributes, key, "left").select(key, F.to_json(feature).alias("feature"))
+    return multipolygons(edges, digits).withColumnRenamed("poly_id", key).join(attributes, key, "left").select(key, F.to_json(feature).alias("feature"))
+
+
+def _geometry(kind: str, coordinates: Column) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+
+
+def with_areas(layer: DataFrame, edges: DataFrame, *, digits: int = 7) -> DataFrame:
+    """The layer with ``GEOMETRY``, the GeoJSON text of the polygon whose ``poly_id`` is its ``ID`` (NULL without one)."""
+    shapes = multipolygons(edges, digits).select(F.col("poly_id").alias("ID"), _geometry("MultiPolygon", F.col("coordinates")).alias("GEOMETRY"))
+    return layer.join(shapes, "ID", "left")
+
+
+def with_parameters(layer: DataFrame, vertices: DataFrame, edges: DataFrame | None = None, *, digits: int = 7) -> DataFrame:
+    """A parameter layer with ``GEOMETRY`` by its ``KIND``: lines and points from ``vertices`` (``ID, PARAM, seq, x, y``), areas from
+    ``edges`` (``poly_id`` = ``ID``).  A line is one feature and has to be one value; one vertex makes a point."""
+    xy = F.sort_array(F.collect_list(F.struct("seq", F.array(F.round("x", digits), F.round("y", digits)).alias("at"))))
+    path = vertices.groupBy("ID", "PARAM").agg(F.transform(xy, lambda v: v["at"]).alias("path"))
+    out = layer.join(path, ["ID", "PARAM"], "left")
+    area = F.lit(None).cast("string")
+    if edges is not None:
+        shapes = multipolygons(edges, digits).select(F.col("poly_id").alias("ID"), F.col("coordinates").alias("_c"))
+        out, area = out.join(shapes, "ID", "left"), F.when(F.col("_c").isNotNull(), _geometry("MultiPolygon", F.col("_c")))
+    shape = F.when(F.col("KIND") == "AREA", area).when((F.col("KIND") == "TITIK") & F.col("path").isNotNull(), _geometry("Point", F.element_at("path", 1))).when(
+        F.size("path") > 1, _geometry("LineString", F.col("path")))
+    return out.withColumn("GEOMETRY", shape).select(*layer.columns, "GEOMETRY")
 
 
 def xml_escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def to_kml(points: DataFrame, fields: list[str]) -> DataFrame:
-    """KML placemark text of point rows ``ID, NAMA, lon, lat`` with the non-empty ``fields`` as data."""
+def _placemark(fields: list[str], shape: Column) -> Column:
     data = F.concat_ws("", *[F.when(F.col(f).isNotNull() & (F.trim(F.col(f).cast("string")) != ""), F.concat(
         F.lit(f'<Data name="{f}"><value>'), xml_escape(F.col(f).cast("string")), F.lit("</value></Data>"))) for f in fields])
-    label = xml_escape(F.coalesce(F.nullif(F.col("NAMA"), F.lit("")), F.col("ID")))
-    body = F.concat(F.lit("<Placemark><name>"), label, F.lit("</name>"), F.when(data != "", F.concat(F.lit("<ExtendedData>"), data, F.lit("</ExtendedData>"))).otherwise(""),
-                    F.format_string("<Point><coordinates>%.8f,%.8f,0</coordinates></Point>", "lon", "lat"), F.lit("</Placemark>"))
-    return points.select("ID", body.alias("placemark"))
+    label = xml_escape(F.coalesce(F.nullif(F.col("NAMA"), F.lit("")), F.col("ID").cast("string")))
+    return F.concat(F.lit("<Placemark><name>"), label, F.lit("</name>"), F.when(data != "", F.concat(F.lit("<ExtendedData>"), data, F.lit("</ExtendedData>"))).otherwise(""), shape, F.lit("</Placemark>"))
+
+
+def _places(path: Column) -> Column:
+    return F.concat(F.lit("<coordinates>"), F.concat_ws(" ", F.transform(path, lambda v: F.format_string("%.8f,%.8f,0", v[0], v[1]))), F.lit("</coordinates>"))
+
+
+def to_kml(points: DataFrame, fields: list[str]) -> DataFrame:
+    """KML placemark text of point rows ``ID, NAMA, lon, lat`` with the non-empty ``fields`` as data."""
+    shape = F.format_string("<Point><coordinates>%.8f,%.8f,0</coordinates></Point>", "lon", "lat")
+    return points.select("ID", _placemark(fields, shape).alias("placemark"))
+
+
+def lines_to_kml(lines: DataFrame, vertices: DataFrame, fields: list[str]) -> DataFrame:
+    """KML placemark text of lines: rows ``ID, NAMA`` and their ``vertices`` (``ID, seq, x, y``)."""
+    path = vertices.groupBy("ID").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.array("x", "y").alias("at")))), lambda v: v["at"]).alias("path"))
+    shape = F.concat(F.lit("<LineString>"), _places(F.col("path")), F.lit("</LineString>"))
+    return lines.join(path, "ID").select("ID", _placemark(fields, shape).alias("placemark"))
+
+
+def areas_to_kml(areas: DataFrame, edges: DataFrame, fields: list[str], *, digits: int = 8) -> DataFrame:
+    """KML placemark text of polygons: rows ``ID, NAMA`` and ``edges`` with ``poly_id`` = ``ID``; holes are inner boundaries."""
+    def ring(tag: str, path: Column) -> Column:
+        return F.concat(F.lit(f"<{tag}><LinearRing>"), _places(path), F.lit(f"</LinearRing></{tag}>"))
+
+    part = lambda rings: F.concat(F.lit("<Polygon>"), ring("outerBoundaryIs", F.element_at(rings, 1)), F.concat_ws("", F.transform(F.slice(rings, 2, F.size(rings)), lambda r: ring("innerBoundaryIs", r))), F.lit("</Polygon>"))
+    shape = F.concat(F.lit("<MultiGeometry>"), F.concat_ws("", F.transform("coordinates", part)), F.lit("</MultiGeometry>"))
+    return areas.join(multipolygons(edges, digits).withColumnRenamed("poly_id", "ID"), "ID").select("ID", _placemark(fields, shape).alias("placemark"))
 
 
 KML_HEAD = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{name}</name>'
