@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from catchwise.runtime import cut
+from catchwise.runtime import cut, small
 
 
 def bucketed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -76,8 +76,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], *,
     # equal values collapse into one counted row, so ties never swell a bucket
     counted = clean.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     rows = bucketed(counted, keys, ["_v"])
-    ranked = running_sum(rows, keys, ["_v"], {"_hi": "_c"}, bucketed_already=True)
-    sizes = rows.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    totals = cut(rows.groupBy("_bucket", *keys).agg(F.sum("_c").alias("_t")))
+    sizes = totals.groupBy(*keys).agg(F.sum("_t").alias("_n"))
     wanted = sizes.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
     if weibull:
         rank = (F.col("_n") + 1) * F.col("prob")
@@ -86,11 +86,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], *,
     else:
         pos = F.lit(1.0) + (F.col("_n") - 1) * F.col("prob")
     wanted = wanted.withColumn("_pos", pos).withColumn("_lo", F.floor("_pos")).withColumn("_fr", F.col("_pos") - F.col("_lo"))
-    spans = ranked.select(*keys, "_v", (F.col("_hi") - F.col("_c") + 1).alias("_first"), F.col("_hi"))
-    hit = (
-        spans.join(F.broadcast(wanted) if not keys else wanted, keys, "inner") if keys
-        else spans.join(F.broadcast(wanted), F.lit(True))
-    )
+    # a wanted rank goes to the bucket whose counts hold it (two if it falls between), and meets the values of that bucket only
+    upto = F.sum("_t").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
+    ranges = totals.select("_bucket", *keys, (upto - F.col("_t")).alias("_from"), upto.alias("_to"))
+    holds = lambda rank: (rank > F.col("_from")) & (rank <= F.col("_to"))
+    met = wanted.join(ranges, keys) if keys else F.broadcast(wanted).join(ranges)
+    routed = met.filter(holds(F.col("_lo")) | holds(F.col("_lo") + 1)).select("_bucket", *keys, "prob", "_lo", "_fr", "_from")
+    inner = F.sum("_c").over(W.partitionBy("_bucket", *keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    spans = rows.withColumn("_in", inner)
+    hit = spans.join(small(routed), ["_bucket", *keys]).select(*keys, "_v", "prob", "_lo", "_fr", (F.col("_from") + F.col("_in") - F.col("_c") + 1).alias("_first"), (F.col("_from") + F.col("_in")).alias("_hi"))
     lo = (F.col("_lo") >= F.col("_first")) & (F.col("_lo") <= F.col("_hi"))
     hi = (F.col("_lo") + 1 >= F.col("_first")) & (F.col("_lo") + 1 <= F.col("_hi"))
     got = hit.filter(lo | hi).groupBy(*keys, "prob").agg(

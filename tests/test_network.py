@@ -157,6 +157,33 @@ def test_reconcile_siblings_chains_and_ties(spark):
     assert counts["A1"] == (1, 0) and counts["A2"] == (0, 1) and counts["E"] == (0, 2) and counts["G"] == (0, 1)
 
 
+def test_intervals_of_a_forest(spark):
+    from catchwise.operators import intervals as iv
+
+    rows = forest(11, n=80)
+    want, _ = closure(rows)
+    tree = spark.createDataFrame([(r[0], r[1]) for r in rows], "node long, parent long")
+    got = {r.node: r for r in iv.tree_intervals(tree).collect()}
+    assert sorted(r.enter for r in got.values()) == list(range(80))
+    for v, below in want.items():
+        assert got[v].leave - got[v].enter == len(below)
+        assert {u for u, r in got.items() if got[v].enter <= r.enter < got[v].leave} == below
+        assert got[v].depth == sum(v in want[u] for u in want) - 1
+    places = spark.createDataFrame([(f"p{v}", r.enter, r.leave, v % 3) for v, r in got.items()] + [("twin", got[5].enter, got[5].leave, 2)], "point_id string, enter long, leave long, code int")
+    at = {f"p{v}": v for v in want} | {"twin": 5}
+    nested = {(a, b) for a, u in at.items() for b, v in at.items() if u != v and u in want[v]}
+    assert {(r.inner.point_id, r.outer.point_id) for r in iv.nested_pairs(places, ["point_id"]).collect()} == nested
+    assert iv.nested_pairs(places, ["point_id"]).count() == len(nested)
+    code = {f"p{v}": v % 3 for v in want} | {"twin": 2}
+    for keys, same in (([], lambda a, b: True), (["code"], lambda a, b: code[a] == code[b])):
+        counts = {r.point_id: (r.above, r.below) for r in iv.counts_along(places, keys, ["point_id"]).collect()}
+        assert counts == {p: (sum(a == p and same(a, b) for a, b in nested), sum(b == p and same(a, b) for a, b in nested)) for p in at}
+    pairs = spark.createDataFrame(sorted(nested), "upstream_point string, downstream_point string")
+    again = iv.places_of_pairs(pairs.filter("upstream_point <> 'twin' and downstream_point <> 'twin'"), places.filter("point_id <> 'twin'"))
+    made = {(r.inner.point_id, r.outer.point_id) for r in iv.nested_pairs(again, ["point_id"]).collect()}
+    assert made == {(a, b) for a, b in nested if "twin" not in (a, b)}
+
+
 def test_rejected_climate_points(spark):
     import datetime as dt
 
