@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catchwise import catalog
+from catchwise.operators import spatial as sp
 from catchwise.runtime import MEASURED, STATIC, fits_broadcast, measured_broadcasts
 
 
@@ -29,3 +30,11 @@ def test_session_gets_its_broadcast_settings_back(spark, sf):
     assert spark.conf.get(STATIC) == "-1" and spark.conf.get(MEASURED) == before[0]
     measured_broadcasts(spark, on=False)
     assert (spark.conf.get(STATIC), spark.conf.get(MEASURED, None)) == before
+
+
+def test_long_segments_are_listed_where_points_are(spark):
+    points = spark.createDataFrame([("a", 0.5, 10.0), ("b", 5.0, 12.0), ("c", -0.5, 2.0)], "point_id string, x double, y double")
+    segs = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 3e9), (2, 1e6, 0.0, 1e6, 3e9), (3, -1e9, 11.0, 1e9, 11.0)], "linkno long, x1 double, y1 double, x2 double, y2 double")
+    near = {(r.point_id, r.linkno): r.d for r in sp.near_segments(points, segs, 1.0).collect()}
+    assert near == {("a", 1): 0.5, ("a", 3): 1.0, ("b", 3): 1.0, ("c", 1): 0.5}
+    assert sp.near_segments(points.limit(0), segs, 1.0).count() == 0
