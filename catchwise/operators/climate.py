@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwise.functions.calendar import halfmonth_days, period, period_start
-from catchwise.runtime import small
+from catchwise.runtime import cut, small
 
+#: Rain of at most so many rows is sent to the weights; one task then makes about so many weighted rows.
+SENT_ROWS, TASK_ROWS = 250_000, 2_000_000
 MIN_COVERAGE = 0.95
 WET_DAY_MM = 1.0
 
@@ -17,9 +21,17 @@ def areal_rain(rain: DataFrame, weights: DataFrame, areas: DataFrame, time_cols:
 
     ``rain``: ``cell, mm`` and ``time_cols``; ``weights``: ``point_id, cell, w``;
     ``areas``: ``point_id, area``.  Missing cells shrink the coverage, never the rain to zero.
+    Weights times steps is far more than either table: where the rain is counted to be small, catchments
+    are spread over as many tasks as that product needs, and their sums need no further shuffle.
     """
     valid = F.col("mm").isNotNull() & ~F.isnan("mm")
-    joined = rain.join(small(weights.filter("w > 0")), "cell")
+    rain, weights = cut(rain.select("cell", "mm", *time_cols)), weights.filter("w > 0")
+    size = rain.groupBy("cell").count().agg(F.sum("count").alias("rows"), F.max("count").alias("steps")).first()
+    if (size["rows"] or 0) <= SENT_ROWS:
+        tasks = max(int(rain.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(weights.count() * (size["steps"] or 0) / TASK_ROWS))
+        joined = weights.repartition(tasks, "point_id").join(F.broadcast(rain), "cell")
+    else:
+        joined = rain.join(small(weights), "cell")
     per_step = joined.groupBy("point_id", *time_cols).agg(
         F.sum(F.when(valid, F.col("w"))).alias("_area"), F.sum(F.when(valid, F.col("w") * F.col("mm"))).alias("_wet"),
         F.count_if((F.col("mm") < 0) | (F.col("mm") == float("inf"))).alias("invalid_cells"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catchwise import catalog
+from catchwise.operators import climate as cl
 from catchwise.operators import spatial as sp
 from catchwise.runtime import MEASURED, STATIC, fits_broadcast, measured_broadcasts
 
@@ -38,3 +39,15 @@ def test_long_segments_are_listed_where_points_are(spark):
     near = {(r.point_id, r.linkno): r.d for r in sp.near_segments(points, segs, 1.0).collect()}
     assert near == {("a", 1): 0.5, ("a", 3): 1.0, ("b", 3): 1.0, ("c", 1): 0.5}
     assert sp.near_segments(points.limit(0), segs, 1.0).count() == 0
+
+
+def test_areal_rain_spreads_catchments(spark):
+    # two days of two cells are one small partition; the weighted rows must not all be made in it
+    rain = spark.createDataFrame([(1, 0, 2.0), (1, 1, 4.0), (2, 0, None), (2, 1, 6.0)], "date int, cell int, mm double").coalesce(1)
+    weights = spark.range(400).select(F.concat(F.lit("P"), "id").alias("point_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("cell")).withColumn("w", F.lit(1.0)).coalesce(1)
+    areas = weights.select("point_id", F.lit(2.0).alias("area")).distinct()
+    out = cl.areal_rain(rain, weights, areas, ["date"])
+    assert out.filter("date = 1").select("mm", "coverage").distinct().collect() == [(3.0, 1.0)]
+    assert out.filter("date = 2").select("mm", "coverage").distinct().collect() == [(6.0, 0.5)]
+    assert out.count() == 800
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
