@@ -126,8 +126,19 @@ def _placemark(fields: list[str], shape: Column) -> Column:
     return F.concat(F.lit("<Placemark><name>"), label, F.lit("</name>"), F.when(data != "", F.concat(F.lit("<ExtendedData>"), data, F.lit("</ExtendedData>"))).otherwise(""), shape, F.lit("</Placemark>"))
 
 
+def _fixed(c: Column) -> Column:
+    """Eight decimals of the exact value of a double.
+
+    ``format_string`` pads the shortest decimal that names the double, which is off in the eighth place from about 1e7 on.
+    """
+    size, whole = F.abs(c), F.floor(F.abs(c))
+    units = F.rint((size - whole) * 1e8).cast("long")
+    text = F.concat((whole + F.floor(units / 100_000_000)).cast("string"), F.lit("."), F.lpad((units % 100_000_000).cast("string"), 8, "0"))
+    return F.when((size >= 1e7) & (size < 9e15), F.concat(F.when(c < 0, "-").otherwise(""), text)).otherwise(F.format_string("%.8f", c))
+
+
 def _places(path: Column) -> Column:
-    return F.concat(F.lit("<coordinates>"), F.concat_ws(" ", F.transform(path, lambda v: F.format_string("%.8f,%.8f,0", v[0], v[1]))), F.lit("</coordinates>"))
+    return F.concat(F.lit("<coordinates>"), F.concat_ws(" ", F.transform(path, lambda v: F.concat(_fixed(v[0]), F.lit(","), _fixed(v[1]), F.lit(",0")))), F.lit("</coordinates>"))
 
 
 def to_kml(points: DataFrame, fields: list[str]) -> DataFrame:

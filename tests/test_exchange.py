@@ -136,3 +136,10 @@ def test_entry_and_registry(spark):
     assert df.count() == 10 and "drainage_density" in df.columns
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
     assert len(entry_module.queries()) > 180
+
+
+def test_kml_lines_write_the_exact_value(spark):
+    xs = [67110547.328, -67110547.328, 120000000.123, 99999999.999999999, 0.001, -0.0004, 12345.678, 1e15 + 0.5]
+    v = spark.createDataFrame([(1, i, x, -x) for i, x in enumerate(xs)], "ID long, seq int, x double, y double")
+    text = vc.lines_to_kml(v.select("ID").distinct().withColumn("NAMA", F.lit("a")), v, []).first().placemark
+    assert text.split("<coordinates>")[1].split("</coordinates>")[0] == " ".join(f"{x:.8f},{-x:.8f},0" for x in xs)
