@@ -149,11 +149,12 @@ def main_stems(links: DataFrame) -> DataFrame:
 
     Two links share a main path exactly when they share the headwater, so the path
     of any outlet is an equality join on ``headwater`` - no walking.
-    Ties go to the smaller headwater id.
+    Paths of equal length (to a thousandth of a millimetre: sums differ in their last bits
+    by the order of adding) are ties and go to the smaller headwater id.
     """
     dist = cut(distance_to_terminal(links))
     values = dist.select(F.col("linkno").alias("node"),
-                         F.struct(F.col("path_m").alias("d"), (-F.col("linkno")).alias("n")).alias("best"))
+                         F.struct(F.round("path_m", 6).alias("r"), (-F.col("linkno")).alias("n"), F.col("path_m").alias("d")).alias("best"))
     best = doubling.fold_upstream(_graph(links), values, {"best": F.max})
     return (
         best.select(F.col("node").alias("linkno"), (-F.col("best.n")).alias("headwater"), F.col("best.d").alias("_top"))

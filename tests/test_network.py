@@ -198,3 +198,12 @@ def test_rejected_climate_points(spark):
     accepted, rejected = halfmonth_climate(rain, weights, areas, et0)
     assert {r.point_id for r in accepted.collect()} == {"ok"} and accepted.count() == 2
     assert {r.point_id for r in rejected.collect()} == {"gap", "away"} and rejected.filter("reason is null").isEmpty()
+
+
+def test_equal_paths_summed_in_another_order_are_ties(spark):
+    # 0.3 + 0.2 + 0.1 and 0.1 + 0.2 + 0.3 differ in the last bit; the smaller headwater keeps the main path
+    rows = [(1, None, 0.0), (2, 1, 0.1), (3, 2, 0.2), (4, 3, 0.3), (5, 1, 0.3), (6, 5, 0.2), (7, 6, 0.1)]
+    for flip in (False, True):
+        lengths = [rows[0], *[(i, p, round(0.4 - m, 1) if flip else m) for i, p, m in rows[1:]]]
+        links = spark.createDataFrame(lengths, "linkno long, downstream_id long, length_m double")
+        assert net.main_stems(links).filter("linkno = 1").first().headwater == 4
