@@ -38,7 +38,8 @@ def ml_features(climate: DataFrame, static: DataFrame) -> DataFrame:
 
 
 def samples(features: DataFrame, observed: DataFrame) -> DataFrame:
-    """Training rows with runoff depth as target."""
+    """Training rows with runoff depth as target; features are made of observed catchments only."""
+    features = features.join(observed.select("point_id").distinct(), "point_id", "left_semi")
     return features.join(observed.filter("q is not null").select("point_id", "year", "period", "q"), ["point_id", "year", "period"]).withColumn(
         "depth_mm", depth_from_discharge(F.col("q"), F.col("area_km2"), F.col("n_days")))
 
@@ -60,7 +61,8 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 
 def train_runoff(train: DataFrame, algorithm: str = "random_forest", *, trees: int | None = None):
-    """Fitted model; needs 24 samples."""
+    """Fitted model; needs 24 samples. Fitting reads them several times, so they are written once."""
+    train = cut(train)
     if train.limit(24).count() < 24:
         raise ValueError("training needs 24 discharge-climate pairs after the six lag periods")
     return estimator(algorithm, trees=trees).fit(_vectors(train))
@@ -94,7 +96,7 @@ def validate(train: DataFrame, algorithm: str = "random_forest", *, trees: int |
 
     One model a gauged catchment, several fitted at once so that their stages overlap.
     """
-    labelled, scheme = folds(train)
+    labelled, scheme = folds(cut(train))
     labelled = cut(labelled)
     total = labelled.count()
     sizes = labelled.filter("fold is not null").groupBy("fold").count().orderBy("fold").collect()

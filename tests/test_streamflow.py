@@ -234,3 +234,32 @@ def test_learning_features_and_holdout(spark):
     model = ml.train_runoff(train, trees=3)
     assert ml.predict_runoff(model, feats).filter("predicted < 0").count() == 0
     assert ml.importances(spark, model).count() == 16
+
+
+def _counted(df, seen):
+    """The frame with every row added to ``seen`` each time the frame is computed."""
+    def run(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    return df.mapInPandas(run, df.schema)
+
+
+def test_calibration_computes_the_feed_once(spark):
+    steps = [("P1", 2000 + i // 24, i % 24, 15, 40.0 + 30 * (i % 5), 50.0, 5) for i in range(48)]
+    schema = "point_id string, year int, period int, days int, p_mm double, et0_mm double, wet_days int"
+    seen, feed = spark.sparkContext.accumulator(0), spark.createDataFrame(steps, schema)
+    points = spark.createDataFrame([("P1", 100.0, 0.1, 50.0, 1.0, 0.4, 0.5)], "point_id string, smc_mm double, exposed_fraction double, area_km2 double, smc_multiplier double, infiltration double, k30 double")
+    observed = feed.select("point_id", "year", "period", (F.col("p_mm") / 20).alias("q"))
+    out = wb.calibrate(_counted(feed, seen), observed, points, points, steps=3, rounds=2)
+    assert out.count() == 1 and seen.value == 48
+
+
+def test_training_computes_its_samples_once(spark):
+    rows = spark.range(60).select(F.lit("P1").alias("point_id"), (2000 + F.expr("id div 24")).cast("int").alias("year"), (F.col("id") % 24).cast("int").alias("period"), F.lit(10.0).alias("area_km2"), F.lit(15).alias("n_days"),
+                                  *[((F.col("id") * (i + 3)) % 17).cast("double").alias(c) for i, c in enumerate(ml.FEATURES)], F.col("id").cast("double").alias("depth_mm"), F.col("id").cast("double").alias("q"))
+    seen = spark.sparkContext.accumulator(0)
+    ml.train_runoff(_counted(rows, seen), trees=2)
+    assert seen.value == 60
+    seen = spark.sparkContext.accumulator(0)
+    assert ml.validate(_counted(rows, seen), trees=2).count() == 1 and seen.value == 60
