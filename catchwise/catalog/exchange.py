@@ -84,8 +84,8 @@ def c4(spark, sf):
 
 @query("c17_observation_climate", f"WITH {tb.CLIMATE_SQL}, {tb.DISCHARGE_SQL} SELECT point_id, year, period, q, round(p_mm, 6) AS p_mm FROM climate JOIN discharge USING (year, period) WHERE 'P' || substr(gauge, 2) = point_id")
 def c17(spark, sf):
-    obs = tb.discharge(spark, sf).select(F.concat(F.lit("P"), F.expr("substring(gauge, 2)")).alias("point_id"), "year", "period", "q")
-    return tb.climate(spark, sf).join(obs, ["point_id", "year", "period"]).select("point_id", "year", "period", "q", F.round("p_mm", 6).alias("p_mm"))
+    obs = cut(tb.discharge(spark, sf).select(F.concat(F.lit("P"), F.expr("substring(gauge, 2)")).alias("point_id"), "year", "period", "q"))
+    return tb.climate(spark, sf, obs).join(obs, ["point_id", "year", "period"]).select("point_id", "year", "period", "q", F.round("p_mm", 6).alias("p_mm"))
 
 
 # --- text ---------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from catchwise import catalog
 from catchwise.operators import climate as cl
 from catchwise.operators import spatial as sp
 from catchwise.runtime import MEASURED, STATIC, fits_broadcast, measured_broadcasts
+from catchwise.sources import testbed as tb
 
 
 def plan(df):
@@ -51,3 +52,13 @@ def test_areal_rain_spreads_catchments(spark):
     assert out.filter("date = 2").select("mm", "coverage").distinct().collect() == [(6.0, 0.5)]
     assert out.count() == 800
     assert out.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_feed_of_observed_catchments_is_made_of_their_weights(spark, sf):
+    obs = spark.createDataFrame([("P1",), ("P3",)], "point_id string")
+    feed = tb.climate(spark, sf, obs)
+    assert sorted(r.point_id for r in feed.select("point_id").distinct().collect()) == ["P1", "P3"]
+    assert feed.exceptAll(tb.climate(spark, sf)).count() == 0 and feed.count() == tb.climate(spark, sf).filter("point_id in ('P1', 'P3')").count()
+    # below the sums of the feed, not above them
+    tree = plan(feed)
+    assert tree.index("LeftSemi") > tree.index("HashAggregate")
