@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -42,44 +40,40 @@ BALANCE = "point_id string, year int, period int, soil_mm double, groundwater_mm
 
 
 class BalanceState(StatefulProcessor):
-    """Storages of one catchment, carried across half-months in their order, whatever order they arrive in."""
+    """Storages of one catchment, carried across half-months in their order, whatever order they arrive in.
+
+    A catchment asks the state store once and writes it once a batch, however many rows arrive: the half-months that
+    wait lie beside the storages, five numbers each.  They are bounded by the calendar, 24 a year.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.store = handle.getValueState("storage", "next long, soil double, ground double")
-        self.waiting = handle.getMapState("waiting", "number long", "p double, et0 double, days int, wet int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        r = pdf.iloc[0]
-        known = self.store.get() if self.store.exists() else None
-        following, soil, ground = known if known else (int(r.first_year) * 24 + int(r.first_period), None, 0.0)
-        out, here = [], {}
-        for row in pdf.itertuples():
-            n = int(row.year) * 24 + int(row.period)
-            if n < following:
-                out.append((key[0], int(row.year), int(row.period), None, None, None, "older"))
-            elif n in here or self.waiting.containsKey((n,)):
-                out.append((key[0], int(row.year), int(row.period), None, None, None, "repeated"))
+        self.store = handle.getValueState("storage", "next long, soil double, ground double, waiting array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        r = rows[0]
+        known = self.store.get()
+        following, soil, ground, flat = known if known else (r.first_year * 24 + r.first_period, None, 0.0, [])
+        waiting = {int(flat[i]): tuple(flat[i + 1:i + 5]) for i in range(0, len(flat), 5)}
+        begin, arrived = following, 0
+        for row in rows:
+            n = row.year * 24 + row.period
+            if n < begin or n in waiting:
+                yield Row(point_id=key[0], year=row.year, period=row.period, soil_mm=None, groundwater_mm=None, runoff_mm=None, status="older" if n < begin else "repeated")
             else:
-                here[n] = (float(row.p_mm), float(row.et0_mm), int(row.days), int(row.wet_days))
+                waiting[n] = (row.p_mm, row.et0_mm, float(row.days), float(row.wet_days))
+                arrived += 1
         steps = []
-        while following in here or self.waiting.containsKey((following,)):
-            if following in here:
-                steps.append((following, here.pop(following)))
-            else:
-                steps.append((following, self.waiting.getValue((following,))))
-                self.waiting.removeKey((following,))
+        while following in waiting:
+            steps.append((following, waiting.pop(following)))
             following += 1
-        for n, held in here.items():
-            self.waiting.updateValue((n,), held)
         if steps:
-            p, et0, days, wet = (np.array(v) for v in zip(*[v for _, v in steps], strict=True))
+            p, et0, days, wet = zip(*[v for _, v in steps], strict=True)
             walked = walk(p, et0, days, wet, r.smc_mm * r.smc_multiplier, r.infiltration, r.k30, r.exposed_fraction, soil, ground)
             for (n, _), (_, soil, ground, _, _, _, runoff, _) in zip(steps, walked, strict=True):
-                out.append((key[0], n // 24, n % 24, float(soil), float(ground), float(runoff), "done"))
-        if steps or known is None:
-            self.store.update((following, None if soil is None else float(soil), float(ground)))
-        yield pd.DataFrame(out, columns=["point_id", "year", "period", "soil_mm", "groundwater_mm", "runoff_mm", "status"])
+                yield Row(point_id=key[0], year=n // 24, period=n % 24, soil_mm=float(soil), groundwater_mm=float(ground), runoff_mm=float(runoff), status="done")
+        if arrived or known is None:
+            self.store.update((following, None if soil is None else float(soil), float(ground), [x for n, held in waiting.items() for x in (float(n), *held)]))
 
     def close(self) -> None:
         pass
@@ -94,7 +88,7 @@ def water_balance_stream(climate: DataFrame, params: DataFrame) -> DataFrame:
     changes the storages.
     """
     joined = climate.join(params.select("point_id", "smc_mm", "exposed_fraction", "first_year", "first_period", *PARAMETERS), "point_id")
-    return joined.groupBy("point_id").transformWithStateInPandas(statefulProcessor=BalanceState(), outputStructType=BALANCE, outputMode="append", timeMode="None")
+    return joined.groupBy("point_id").transformWithState(statefulProcessor=BalanceState(), outputStructType=BALANCE, outputMode="append", timeMode="None")
 
 
 def newest_request(requests: DataFrame) -> DataFrame:

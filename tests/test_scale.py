@@ -77,3 +77,42 @@ def test_feed_of_observed_catchments_is_made_of_their_weights(spark, sf):
     # below the sums of the feed, not above them
     tree = plan(feed)
     assert tree.index("LeftSemi") > tree.index("HashAggregate")
+
+
+def test_balance_asks_the_state_once_a_batch():
+    from pyspark.sql import Row
+
+    from catchwise.streaming.flows import BalanceState
+
+    calls = []
+
+    class Store:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Store()
+
+        def getMapState(self, *_):
+            raise AssertionError("one call a half-month")
+
+    state = BalanceState()
+    state.init(Handle())
+    row = lambda y, p: Row(year=y, period=p, days=15, p_mm=90.0, et0_mm=40.0, wet_days=5, smc_mm=120.0, exposed_fraction=0.3, smc_multiplier=1.0, infiltration=0.4, k30=0.9, first_year=2020, first_period=0)
+    send = lambda *at: [(r.year, r.period, r.status) for r in state.handleInputRows(("a",), iter([row(*a) for a in at]), None)]
+    assert send(*[(2021, p) for p in range(24)]) == [] and calls == ["get", "update"]
+    assert send((2021, 3), (2021, 3)) == [(2021, 3, "repeated")] * 2 and calls == ["get", "update", "get"]
+    assert send(*[(2020, p) for p in range(24)]) == [(2020 + n // 24, n % 24, "done") for n in range(48)] and calls[3:] == ["get", "update"]
+    assert send((2020, 0)) == [(2020, 0, "older")]
