@@ -79,10 +79,16 @@ def water_balance_model(climate: DataFrame, points: DataFrame, observed: DataFra
     return out
 
 
-def learning_model(climate: DataFrame, static: DataFrame, observed: DataFrame, *, algorithm: str = "random_forest", trees: int | None = None) -> dict[str, DataFrame]:
-    """Features, hold-out validation, final model and predictions."""
-    feats = cut(ml.ml_features(climate, static))
-    train = cut(ml.samples(feats, observed))
+def learning_model(climate: DataFrame, static: DataFrame, observed: DataFrame, *, algorithm: str = "random_forest", trees: int | None = None, gauged: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Features, hold-out validation, final model and predictions.
+
+    ``gauged``: the feed of the observed catchments, if it can be made apart from that of all.  Training then reads it
+    alone, and the features of all catchments are made when the predictions are asked for.
+    """
+    feats = ml.ml_features(climate, static)
+    if gauged is None:
+        feats = cut(feats)
+    train = cut(ml.samples(feats if gauged is None else ml.ml_features(gauged, static), observed))
     model = ml.train_runoff(train, algorithm, trees=trees)
     return {"validation": ml.validate(train, algorithm, trees=trees), "flow": ml.predict_runoff(model, feats), "importance": ml.importances(feats.sparkSession, model)}
 

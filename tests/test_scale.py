@@ -116,3 +116,16 @@ def test_balance_asks_the_state_once_a_batch():
     assert send((2021, 3), (2021, 3)) == [(2021, 3, "repeated")] * 2 and calls == ["get", "update", "get"]
     assert send(*[(2020, p) for p in range(24)]) == [(2020 + n // 24, n % 24, "done") for n in range(48)] and calls[3:] == ["get", "update"]
     assert send((2020, 0)) == [(2020, 0, "older")]
+
+
+def test_validation_needs_the_feed_of_gauged_catchments_only(spark, sf):
+    from catchwise.catalog import streamflow as ss
+    from catchwise.plans import models as pm
+    from catchwise.runtime import cut
+
+    obs = cut(ss._observed(spark, sf))
+    gauged = cut(tb.climate(spark, sf, obs))
+    unread = gauged.withColumn("p_mm", F.raise_error(F.lit("the whole feed was made")).cast("double"))
+    out = pm.learning_model(unread, ss._static(spark, sf), obs, trees=2, gauged=gauged)
+    assert out["validation"].count() == obs.select("point_id").distinct().count()
+    assert out["flow"].columns == ["point_id", "year", "period", "depth_pred_mm", "predicted"]
