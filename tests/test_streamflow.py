@@ -263,3 +263,12 @@ def test_training_computes_its_samples_once(spark):
     assert seen.value == 60
     seen = spark.sparkContext.accumulator(0)
     assert ml.validate(_counted(rows, seen), trees=2).count() == 1 and seen.value == 60
+
+
+def test_preview_returns_the_recession_prior(spark, sf):
+    from catchwise import catalog
+
+    rows = {r.point_id: r for r in catalog.queries()["r9_parameter_preview"](spark, sf).collect()}
+    tau = 90 * (0.75 + 0.5 * (0.9 + 0.4) / 2)
+    assert rows["B0"].prior_available and (rows["B0"].tau_days, rows["B0"].k30) == pytest.approx((tau, math.exp(-30 / tau)), abs=1e-6)
+    assert rows["B0"].reason is None or rows["B0"].smc_mm is None
