@@ -35,6 +35,8 @@ from catchwise.runtime import Cut
 
 #: Bytes of texts in one shard, give or take a text.
 SHARD_BYTES = 8 * 1024 * 1024
+#: Bytes of a row group of the written shards: a few shards, however many a task makes.
+BLOCK_BYTES = 16 * 1024 * 1024
 #: Words that a task codes before it hands their codes on, shard by shard.
 CODED = 500_000
 FILTERS = "ABCDE"
@@ -150,11 +152,11 @@ def measures(matrix: DataFrame) -> DataFrame:
             code[places] = codes
             n = len(flat["ids"])
             row = np.repeat(np.arange(n), np.diff(flat["starts"].to_numpy()))
-            entries = code[flat["columns"].to_numpy()]
-            order = np.lexsort((entries, row))
-            row, entries, times = row[order], entries[order], flat["counts"].to_numpy()[order]
-            fresh = np.r_[True, (row[1:] != row[:-1]) | (entries[1:] != entries[:-1])] if len(row) else np.empty(0, dtype=bool)
-            total, distinct = np.bincount(row, weights=times, minlength=n).astype(np.int64), np.bincount(row[fresh], minlength=n)
+            # (row, code) as one number, so that sorting is plain
+            known, rank = np.unique(code, return_inverse=True)
+            entries = np.sort(row * max(len(known), 1) + rank[flat["columns"].to_numpy()])
+            fresh = entries[np.diff(entries, prepend=-1) > 0]
+            total, distinct = np.bincount(row, weights=flat["counts"].to_numpy(), minlength=n).astype(np.int64), np.bincount(fresh // max(len(known), 1), minlength=n)
             yield pa.RecordBatch.from_arrays([flat["ids"], flat["parts"], flat["flags"], flat["digests"], pa.array(total), pa.array(distinct.astype(np.int64))], names=["doc_id", "part", "flags", "digest", "total", "distinct"])
 
     return matrix.mapInArrow(run, "doc_id long, part string, flags int, digest binary, total long, distinct long")
@@ -163,7 +165,7 @@ def measures(matrix: DataFrame) -> DataFrame:
 def patterns(docs: DataFrame, labels: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(part, failed, n, good, toxic): documents by part and failed filters, bit ``k`` for letter ``k`` of ``FILTERS``."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    made = Cut(shards(read, shard_bytes), compression="zstd")
+    made = Cut(shards(read, shard_bytes), compression="zstd", block_bytes=BLOCK_BYTES)
     rows = Cut(measures(encoded(made.df)))
     made.drop()
     copies = Cut(rows.df.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"))

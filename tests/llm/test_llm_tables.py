@@ -187,3 +187,25 @@ def test_shards_are_recoded_to_one_dictionary(spark):
     assert sorted(w for w, _ in pairs) == [b"a", b"b", b"c", b"d"] and len({c for _, c in pairs}) == 4
     rows = audit.measures(audit.encoded(made)).orderBy("doc_id").select("total", "distinct").collect()
     assert [tuple(r) for r in rows] == [(3, 2), (2, 2), (0, 0), (4, 2)]
+
+
+def test_audit_writes_few_shards_to_a_row_group(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    groups = []
+
+    class Watched(audit.Cut):
+        def drop(self):
+            groups.extend(f.metadata.row_group(k).num_rows for f in map(pq.ParquetFile, glob.glob(f"{self.path.removeprefix('file:')}/*.parquet")) for k in range(f.metadata.num_row_groups))
+            super().drop()
+
+    monkeypatch.setattr(audit, "Cut", Watched)
+    monkeypatch.setattr(audit, "BLOCK_BYTES", 64 * 1024, raising=False)
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.hash("doc_id", i).cast("string")))
+    docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("x").alias("source")).withColumn("text", text)
+    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert audit.patterns(docs, marks, 9000).agg(F.sum("n")).first()[0] == 60
+    # one task makes about thirty shards, none of which may wait for the others
+    assert sum(groups) >= 25 and max(groups) <= 6
