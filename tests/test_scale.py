@@ -129,3 +129,23 @@ def test_validation_needs_the_feed_of_gauged_catchments_only(spark, sf):
     out = pm.learning_model(unread, ss._static(spark, sf), obs, trees=2, gauged=gauged)
     assert out["validation"].count() == obs.select("point_id").distinct().count()
     assert out["flow"].columns == ["point_id", "year", "period", "depth_pred_mm", "predicted"]
+
+
+def test_topology_is_refreshed_by_zones(spark, sf):
+    # a catchment lists zones; repair and increments by zones are those of the cells one by one
+    from catchwise.operators import d8
+    from catchwise.plans import network as pn
+    from catchwise.runtime import cut
+
+    pts, cells, links = tb.cell_outlets(spark, sf), tb.cells(spark, sf), tb.links(spark, sf)
+    zones, parts = (cut(df) for df in d8.hybrid_zones(cells, pts, links))
+    each = cut(d8.hybrid_cells(cells, pts, links))
+    listed = parts.join(zones, "zone").select("point_id", "row", "col")
+    assert listed.exceptAll(each).count() == each.exceptAll(listed).count() == 0
+    assert parts.count() * 10 < each.count() and zones.select("row", "col").distinct().count() == zones.count()
+    points = pts.select("point_id", "linkno").join(each.groupBy("point_id").agg((F.count("*") * 0.0009).alias("area_km2")), "point_id")
+    by_cell, by_zone = (pn.refresh_topology(m, points, links) for m in (each, parts))
+    assert sorted(by_cell["qa"].collect()) == sorted(by_zone["qa"].collect())
+    n = lambda df, total: sorted(df.groupBy("point_id").agg(total.alias("n")).collect())
+    for part in ("members", "increments"):
+        assert n(by_cell[part], F.count("*")) == n(by_zone[part], F.sum("cells")), part
