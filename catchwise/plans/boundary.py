@@ -9,6 +9,7 @@ from catchwise.operators import boundary as bd
 from catchwise.operators import geometry as ge
 from catchwise.operators import ordered, rings
 from catchwise.runtime import cut, small
+from catchwise.sources.rasters import cell_id
 
 RING = ["poly_id", "part", "ring"]
 
@@ -82,18 +83,24 @@ def cells_inside(edges: DataFrame, grid: dict) -> DataFrame:
     return ge.cell_weights(edges, **grid, width=width, height=height).filter(F.col("w") > grid["cell"] ** 2 / 2).select("poly_id", "row", "col")
 
 
-def finish_boundaries(members: DataFrame, *, grid: dict, basin_of: DataFrame | None = None, basin_edges: DataFrame | None = None, basin_cells: DataFrame | None = None,
+def finish_boundaries(members: DataFrame, *, grid: dict, zones: DataFrame | None = None, basin_of: DataFrame | None = None, basin_edges: DataFrame | None = None, basin_cells: DataFrame | None = None,
                       match_m: float = bd.MATCH_M, smooth_m: float = bd.SMOOTH_M, simplify_m: float = bd.SIMPLIFY_M) -> dict[str, DataFrame]:
     """Rings of every catchment and what becomes of them beside the official boundary.
 
-    ``members``: ``point_id, row, col``; ``basin_of``: ``point_id, basin_code``; ``basin_edges``: official polygons by
+    ``members``: ``point_id, row, col``, or ``point_id, zone`` with ``zones`` (``row, col, zone``, a row a cell); ``basin_of``: ``point_id, basin_code``; ``basin_edges``: official polygons by
     ``poly_id`` = basin code; ``basin_cells``: ``row, col, basin_code``. Small holes are filled and the largest part stays.
     A boundary that follows most of its basin's becomes that polygon, one that touches it follows it along the contact,
     all others are smoothed; a stitched boundary that leaves its catchment is given up for the smoothed one.
     Returns ``raw`` and ``final`` edges, ``runs`` of contact, and one ``summary`` row a catchment.
     """
     area = grid["cell"] ** 2
-    traced = rings.ring_edges(rings.trace(members), **grid)
+    if zones is None:
+        # each cell is a zone of its own
+        members = members.select("point_id", "row", "col", cell_id(F.col("row"), F.col("col")).alias("zone")).distinct()
+        zones = cut(members.select("row", "col", "zone").distinct())
+    sized = cut(zones.groupBy("zone").agg(F.count("*").alias("cells")))
+    members = cut(members.select("point_id", "zone").distinct().join(sized, "zone"))
+    traced = rings.ring_edges(rings.trace_edges(rings.zone_half_edges(zones, members)), **grid)
     raw = cut(ge.clean_polygon(ge.largest_component(traced)))
     names = cut(raw.select(_ring_id().alias("ring_id"), *RING).distinct())
     code = members.select("point_id").distinct().withColumn("basin_code", F.lit(None).cast("long")) if basin_of is None else basin_of
@@ -109,10 +116,11 @@ def finish_boundaries(members: DataFrame, *, grid: dict, basin_of: DataFrame | N
     dense = pieces.select(*RING, (F.col("seq") * STRIDE + F.col("piece")).alias("seq"), "x1", "y1")
     smoothed = cut(bd.smooth(dense.select(_ring_id().alias("ring_id"), "seq", F.col("x1").alias("x"), F.col("y1").alias("y")), smooth_m))
 
-    sizes = members.groupBy(F.col("point_id").alias("poly_id")).agg(F.count("*").alias("raw_cells"))
+    sizes = members.groupBy(F.col("point_id").alias("poly_id")).agg(F.sum("cells").alias("raw_cells"))
     facts = bd.diagnostics(runs).join(sizes, "poly_id").join(small(owner), "poly_id", "left")
     if by_basin is not None:
-        inside = members.withColumnRenamed("point_id", "poly_id").join(small(owner), "poly_id").join(basin_cells, ["row", "col", "basin_code"]).groupBy("poly_id").agg((F.count("*") * area).alias("overlap_m2"))
+        basins = zones.join(basin_cells, ["row", "col"]).groupBy("zone", "basin_code").agg(F.count("*").alias("n"))
+        inside = members.select(F.col("point_id").alias("poly_id"), "zone").join(small(owner), "poly_id").join(basins, ["zone", "basin_code"]).groupBy("poly_id").agg((F.sum("n") * area).alias("overlap_m2"))
         official = ge.polygon_measures(by_basin).select(F.col("poly_id").alias("basin_code"), F.col("area").alias("reference_m2"))
         facts = facts.join(inside, "poly_id", "left").join(official, "basin_code", "left")
     else:
@@ -129,7 +137,7 @@ def finish_boundaries(members: DataFrame, *, grid: dict, basin_of: DataFrame | N
         ring = bd.ring_segments(by_basin.filter("part = 0"))
         sewn = cut(edges_of(bd.simplify(stitched(joined, smoothed, ring, match_m), simplify_m), names))
         shape = cut(cells_inside(sewn, grid))
-        both = shape.join(members.withColumnRenamed("point_id", "poly_id"), ["poly_id", "row", "col"]).groupBy("poly_id").agg(F.count("*").alias("shared_cells"))
+        both = shape.join(zones, ["row", "col"]).join(members.select(F.col("point_id").alias("poly_id"), "zone"), ["poly_id", "zone"]).groupBy("poly_id").agg(F.count("*").alias("shared_cells"))
         counted = shape.groupBy("poly_id").agg(F.count("*").alias("candidate_cells")).join(both, "poly_id", "left").join(sizes, "poly_id").na.fill(0, ["shared_cells"])
         checks = cut(bd.candidate_gate(counted).select("poly_id", "jaccard", "area_ratio", "accepted"))
         good = checks.filter("accepted").select("poly_id")
