@@ -149,3 +149,15 @@ def test_topology_is_refreshed_by_zones(spark, sf):
     n = lambda df, total: sorted(df.groupBy("point_id").agg(total.alias("n")).collect())
     for part in ("members", "increments"):
         assert n(by_cell[part], F.count("*")) == n(by_zone[part], F.sum("cells")), part
+
+
+def test_clipped_pieces_are_dealt_twice(spark, monkeypatch):
+    # rows follow the answer: they are dealt for the cuts and for the parity, and neither written nor joined again
+    monkeypatch.setattr(sp, "cut", None)
+    square = spark.createDataFrame([(7, 0, 0, 0, 0.0, 0.0, 10.0, 0.0), (7, 0, 0, 1, 10.0, 0.0, 10.0, 10.0), (7, 0, 0, 2, 10.0, 10.0, 0.0, 10.0), (7, 0, 0, 3, 0.0, 10.0, 0.0, 0.0)],
+                                   "poly_id long, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+    segs = spark.createDataFrame([(1, 0, 0, -5.0, 5.0, 15.0, 5.0), (2, 0, 0, 2.0, 2.0, 2.0, 6.0), (3, 0, 0, 11.0, 1.0, 12.0, 9.0), (4, 0, 0, 8.0, 8.0, 12.0, 8.0)],
+                                  "linkno long, part int, seq int, x1 double, y1 double, x2 double, y2 double")
+    out = sp.clip_lines(segs, square, size=4.0)
+    assert plan(out).count("Exchange hashpartitioning(linkno") == 2
+    assert sorted((r.linkno, r.poly_id, round(r.t0, 9), round(r.t1, 9), round(r.length_m, 9)) for r in out.collect()) == [(1, 7, 0.25, 0.75, 10.0), (2, 7, 0.0, 1.0, 4.0), (4, 7, 0.0, 0.5, 2.0)]
